@@ -77,36 +77,37 @@ def _suffixes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _runs(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Cross-side pairs of every maximal run of adjacent suffixes whose common prefix reaches the span."""
     key, train, held = None, [], []
+    names = ("dataset_id", "span", "pos", "train_class", "held_class")
+    done: list[list] = [[] for _ in names]
+
+    def close() -> None:
+        if train and held:
+            x, y = np.repeat(train, len(held)), np.tile(held, len(train))
+            keep = x != y
+            n = int(keep.sum())
+            for column, values in zip(done, ([key[0]] * n, [key[1]] * n, [key[2]] * n, x[keep].tolist(), y[keep].tolist())):
+                column += values
+
+    def flush() -> pd.DataFrame:
+        out = pd.DataFrame(dict(zip(names, done)))
+        for column in done:
+            column.clear()
+        return out
 
-    def pairs() -> pd.DataFrame | None:
-        if not train or not held:
-            return None
-        a, b = np.array(train, np.int64), np.array(held, np.int64)
-        x, y = np.repeat(a, len(b)), np.tile(b, len(a))
-        keep = x != y
-        if not keep.any():
-            return None
-        return pd.DataFrame({"dataset_id": key[0], "span": np.int32(key[1]), "pos": np.int32(key[2]), "train_class": x[keep], "held_class": y[keep]})
-
-    wait: list[pd.DataFrame] = []
     for pdf in it:
-        for d, g, p, tc, hc, s, c, t, h in zip(pdf["dataset_id"], pdf["span"], pdf["pos"], pdf["train_chunk"], pdf["held_chunk"], pdf["suffix"], pdf["class_id"], pdf["train"], pdf["held"]):
+        for d, g, p, tc, hc, s, c, t, h in zip(*(pdf[n].tolist() for n in ("dataset_id", "span", "pos", "train_chunk", "held_chunk", "suffix", "class_id", "train", "held"))):
             now = (d, g, p, tc, hc, s[:g])
             if now != key:
-                if (out := pairs()) is not None:
-                    wait.append(out)
-                    if sum(map(len, wait)) > 20_000:
-                        yield pd.concat(wait)
-                        wait = []
+                close()
+                if len(done[0]) > 50_000:
+                    yield flush()
                 key, train, held = now, [], []
             if t:
                 train.append(c)
             if h:
                 held.append(c)
-    if (out := pairs()) is not None:
-        wait.append(out)
-    if wait:
-        yield pd.concat(wait)
+    close()
+    yield flush()
 
 
 def shared_spans(classes: DataFrame) -> DataFrame:

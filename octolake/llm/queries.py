@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolake.llm import overlap, quotas, splits
+from octolake.llm import leaks, neighbours, overlap, quotas, splits, toxicity
+
+AXES = [f"e{i}" for i in range(8)]
+#: Neighbours of a window.
+NEAREST = 5
 
 
 def _read(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
@@ -40,5 +44,32 @@ def p5_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(*_read(spark, folder, "fasta_records", "benchmark_splits", "dataset_configs", "benchmark_metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p5_found, p5_report)}
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    windows, probes = _read(spark, folder, "window_octonions", "neighbour_probes")
+    top = neighbours.nearest(windows, probes, "window_id", "axis_scheme_id", AXES, NEAREST, exact=True)
+    return top.select(F.least("query", "neighbour").alias("window_id_a"), F.greatest("query", "neighbour").alias("window_id_b")).distinct()
+
+
+def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    (windows,) = _read(spark, folder, "window_octonions")
+    return neighbours.nearest(windows, windows.where("window_id % 20 = 0").select("window_id"), "window_id", "axis_scheme_id", AXES, NEAREST)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(*_read(spark, folder, "documents", "eval_passages")).where(F.col("words_run") >= leaks.WINDOW).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.item_report(*_read(spark, folder, "documents", "eval_passages"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(*_read(spark, folder, "documents", "content_labels")).where("flagged").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.source_rates(*_read(spark, folder, "documents", "content_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p7_found, p7_items, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
