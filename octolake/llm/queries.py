@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from octolake.llm import leaks, neighbours, overlap, quotas, splits, toxicity
+from octolake.llm import leaks, neighbours, overlap, packing, quotas, splits, toxicity
 
 AXES = [f"e{i}" for i in range(8)]
 #: Neighbours of a window.
@@ -55,6 +55,19 @@ def p4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(windows, windows.where("window_id % 20 = 0").select("window_id"), "window_id", "axis_scheme_id", AXES, NEAREST)
 
 
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_tiers(*_read(spark, folder, "documents", "pack_capacities"))
+
+
+def p6_pack_each(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_each(*_read(spark, folder, "documents", "pack_capacities"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    documents, capacities = _read(spark, folder, "documents", "pack_capacities")
+    return packing.fill_report(packing.pack_tiers(documents, capacities), capacities)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(*_read(spark, folder, "documents", "eval_passages")).where(F.col("words_run") >= leaks.WINDOW).select("doc_id", "item_id")
 
@@ -71,5 +84,5 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.source_rates(*_read(spark, folder, "documents", "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p7_found, p7_items, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p7_found, p7_items, p8_found, p8_rates)}
 SQL: dict[str, str] = {}
