@@ -28,8 +28,11 @@ SIZE = 1 << BITS
 LEAST_DOCS = 6
 #: Step size where the corrected risk of the unlabelled windows is negative.
 DISCOUNT = 0.1
-#: Class prior of windows before any is scored; later the share of unlabelled windows above the parting, times SURE.
-FIRST_PRIOR, SURE = 0.002, 0.5
+#: Class prior of windows before any is scored; later twice the share of unlabelled windows that reach the median of
+#: the confirmed texts' best windows, which half of the toxic ones reach and few others.
+FIRST_PRIOR = 0.001
+#: What an unlabelled text above the parting weighs against a confirmed one.
+WRONG = 3.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНαεορυκντιΑΕΟΡΥΚΝΤΙΒΗΜΖ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHaeopukvtiAEOPYKNTIBHMZ")
@@ -97,7 +100,7 @@ class Lexicon:
 
     def __init__(self) -> None:
         self.ids: dict[str, int] = {}
-        self.features: list[list[int]] = []
+        self.features: list[np.ndarray] = []
 
     def coded(self, raw: list[str]) -> list[int]:
         ids, out = self.ids, []
@@ -105,7 +108,7 @@ class Lexicon:
             i = ids.get(w)
             if i is None:
                 i = ids[w] = len(ids)
-                self.features.append(word_features(w))
+                self.features.append(np.array(word_features(w), np.int32))
             out.append(i)
         return out
 
@@ -113,8 +116,8 @@ class Lexicon:
         """Of the words from ``start``: row of each entry, feature, weight, and the words' own hashes."""
         some = self.features[start:]
         n = np.fromiter(map(len, some), np.int64, len(some))
-        flat = np.fromiter(chain.from_iterable(some), np.int64, int(n.sum()))
-        return np.repeat(np.arange(len(n)), n), flat, np.repeat(1 / np.sqrt(np.maximum(n, 1)), n), np.fromiter((f[0] for f in some), np.int64, len(some))
+        flat = np.concatenate(some) if some else np.zeros(0, np.int32)
+        return np.repeat(np.arange(len(n), dtype=np.int32), n), flat, np.repeat((1 / np.sqrt(np.maximum(n, 1))).astype(np.float32), n), np.fromiter((f[0] for f in some), np.int64, len(some))
 
 
 @dataclass
@@ -154,17 +157,20 @@ def _known(bags: list[_Bag], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     entry_row, entry_feature, _, own = lexicon.arrays()
     start = np.searchsorted(entry_row, np.arange(len(own) + 1))
     hashes = np.append(own, 0)
-    words, pairs, at = [], [], 0
+    words, pairs = np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)
     for bag in bags:
-        seen = np.unique(np.stack([np.repeat(bag.owner.astype(np.int64) + at, WINDOW), bag.rows.ravel().astype(np.int64)], 1), axis=0)
-        seen = seen[seen[:, 1] < len(own)]
-        n = start[seen[:, 1] + 1] - start[seen[:, 1]]
-        flat = entry_feature[np.repeat(start[seen[:, 1]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        words.append(np.unique(np.repeat(seen[:, 0], n) * SIZE + flat))
-        both = pair_features(hashes[bag.rows[:, :-1]], hashes[bag.rows[:, 1:]])
-        pairs.append(np.unique((np.repeat(bag.owner.astype(np.int64) + at, WINDOW - 1) * SIZE + both.ravel())))
-        at += int(bag.owner.max()) + 1 if len(bag.owner) else 0
-    return tuple(np.bincount(np.concatenate(x) % SIZE, minlength=SIZE) >= LEAST_DOCS for x in (words, pairs))
+        edges = np.searchsorted(bag.owner, np.arange(0, int(bag.owner.max(initial=-1)) + 2, 100))
+        for lo, hi in zip(edges, np.append(edges[1:], len(bag.owner))):
+            owner, rows = bag.owner[lo:hi].astype(np.int64), bag.rows[lo:hi]
+            seen = np.unique(np.repeat(owner, WINDOW) << 32 | rows.ravel())
+            doc, word = seen >> 32, seen & 0xFFFFFFFF
+            doc, word = doc[word < len(own)], word[word < len(own)]
+            n = start[word + 1] - start[word]
+            flat = entry_feature[np.repeat(start[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            words += np.bincount(np.unique(np.repeat(doc, n) * SIZE + flat) % SIZE, minlength=SIZE)
+            both = pair_features(hashes[rows[:, :-1]], hashes[rows[:, 1:]])
+            pairs += np.bincount(np.unique(np.repeat(owner, WINDOW - 1) * SIZE + both.ravel()) % SIZE, minlength=SIZE)
+    return words >= LEAST_DOCS, pairs >= LEAST_DOCS
 
 
 def _fit(positive: np.ndarray, unlabelled: np.ndarray, lexicon: Lexicon, known: tuple[np.ndarray, np.ndarray], prior: float, rounds: int, rate: float = 0.1, decay: float = 2e-4) -> Model:
@@ -253,7 +259,7 @@ def train(confirmed: list[str], unlabelled: list[str], cleared: list[str]) -> Mo
             z_unl[1 - side] = score_rows(fitted, unl.rows, lexicon)
         best = _best(pos.owner, z, len(coded[0]))
         usual = np.array([_parting(best[np.arange(len(best)) % 2 == side], _best(unl.owner, z_unl[side], len(coded[1]))) for side in (0, 1)])
-        prior = float(np.clip(SURE * np.mean(z_unl >= usual[:, None]), 1e-5, 0.2))
+        prior = float(np.clip(2 * np.mean(z_unl >= np.median(best)), 1e-5, 0.05))
         chosen = (z >= best[pos.owner] - 1.0) & (z >= usual[half])
     model = _fit(pos.rows[chosen], unl.rows, lexicon, known, prior, 90)
     model.threshold, model.held_out_f1 = _threshold(doc_scores(model, confirmed[:held]), doc_scores(model, cleared))
@@ -261,10 +267,10 @@ def train(confirmed: list[str], unlabelled: list[str], cleared: list[str]) -> Mo
 
 
 def _parting(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The score that most positive and least unlabelled texts reach, by the difference of the shares."""
+    """The score that most positive and least unlabelled texts reach, by the weighted difference of the shares."""
     cuts = np.unique(positive)
     above = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / max(1, len(x))
-    return float(cuts[np.argmax(above(positive) - above(unlabelled))])
+    return float(cuts[np.argmax(above(positive) - WRONG * above(unlabelled))])
 
 
 def _threshold(toxic: np.ndarray, clear: np.ndarray) -> tuple[float, float]:
