@@ -28,11 +28,11 @@ SIZE = 1 << BITS
 LEAST_DOCS = 6
 #: Step size where the corrected risk of the unlabelled windows is negative.
 DISCOUNT = 0.1
-#: Class prior of windows before any is scored; later twice the share of unlabelled windows that reach the median of
-#: the confirmed texts' best windows, which half of the toxic ones reach and few others.
-FIRST_PRIOR = 0.001
+#: Class priors: of the windows of confirmed texts, which are toxic in a few places only, and of toxic windows among the
+#: unlabelled ones (about 3 % of the texts, two or three windows in a hundred of such a text).
+FIRST_PRIOR, PRIOR = 0.002, 0.0004
 #: What an unlabelled text above the parting weighs against a confirmed one.
-WRONG = 3.0
+WRONG = 1.5
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНαεορυκντιΑΕΟΡΥΚΝΤΙΒΗΜΖ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHaeopukvtiAEOPYKNTIBHMZ")
@@ -259,7 +259,7 @@ def train(confirmed: list[str], unlabelled: list[str], cleared: list[str]) -> Mo
             z_unl[1 - side] = score_rows(fitted, unl.rows, lexicon)
         best = _best(pos.owner, z, len(coded[0]))
         usual = np.array([_parting(best[np.arange(len(best)) % 2 == side], _best(unl.owner, z_unl[side], len(coded[1]))) for side in (0, 1)])
-        prior = float(np.clip(2 * np.mean(z_unl >= np.median(best)), 1e-5, 0.05))
+        prior = PRIOR
         chosen = (z >= best[pos.owner] - 1.0) & (z >= usual[half])
     model = _fit(pos.rows[chosen], unl.rows, lexicon, known, prior, 90)
     model.threshold, model.held_out_f1 = _threshold(doc_scores(model, confirmed[:held]), doc_scores(model, cleared))
