@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from octolake.plans import skew, trajectories
+from octolake.plans import sequences, skew, trajectories
 
 FLAGSHIP = "window_summary"
-MODULES = (trajectories, skew)
+MODULES = (trajectories, sequences, skew)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
