@@ -85,4 +85,41 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p7_found, p7_items, p8_found, p8_rates)}
-SQL: dict[str, str] = {}
+
+_LABEL = r"regexp_replace(lower({c}), '[\s-]+', '', 'g')"
+_FIELDS = f"{_LABEL.format(c='label')} AS label, regexp_replace({_LABEL.format(c='chromosome')}, '^chr', '') AS chromosome, gc_bin"
+_QUOTAS = (
+    f"WITH r AS (SELECT DISTINCT sequence_id, {_FIELDS} FROM coding_metadata WHERE sequence_id IS NOT NULL), "
+    f"t AS (SELECT DISTINCT target_id, request_id, sample_size, target_share, min_rows, {_FIELDS} FROM sample_targets), "
+    "a AS (SELECT t.target_id, t.request_id, t.min_rows, t.target_share * t.sample_size AS exact, count(DISTINCT r.sequence_id) AS available FROM t LEFT JOIN r ON (t.label IS NULL OR t.label = r.label) AND (t.chromosome IS NULL OR t.chromosome = r.chromosome) AND (t.gc_bin IS NULL OR t.gc_bin = r.gc_bin) GROUP BY ALL), "
+    "p AS (SELECT *, greatest(round(exact)::BIGINT, min_rows) AS wanted, available < min_rows OR available < exact AS short FROM a) "
+)
+_SUBJECT = r"regexp_replace(lower(species_or_subject), '[\s _-]+', '', 'g')"
+_GROUPS = (
+    "WITH RECURSIVE m AS (SELECT DISTINCT sequence_id, dataset_id, species_or_subject, group_column FROM benchmark_metadata JOIN dataset_configs USING (dataset_id) WHERE sequence_id IS NOT NULL), "
+    f"k AS (SELECT dataset_id || '|s|' || {_SUBJECT} AS key, sequence_id AS node FROM m WHERE group_column LIKE '%species_or_subject%' AND {_SUBJECT} NOT IN ('', 'na', 'n/a', 'unknown') "
+    "UNION SELECT dataset_id || '|h|' || homology_cluster, m.sequence_id FROM m JOIN homology_clusters h ON h.sequence_id = m.sequence_id WHERE group_column LIKE '%homology_cluster%' AND trim(homology_cluster) <> ''), "
+    "l AS (SELECT key, min(node) AS low FROM k GROUP BY 1), e AS (SELECT low AS x, node AS y FROM k JOIN l USING (key) UNION SELECT node, low FROM k JOIN l USING (key)), "
+    "reach(node, root) AS (SELECT DISTINCT node, node FROM k UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node) "
+)
+_SIDES = (
+    r"WITH s AS (SELECT DISTINCT sequence_id, upper(regexp_replace(sequence, '\s+', '', 'g')) AS t FROM fasta_records WHERE sequence_id IS NOT NULL AND regexp_replace(sequence, '\s+', '', 'g') <> ''), "
+    r"b AS (SELECT DISTINCT dataset_id, sequence_id, CASE WHEN regexp_replace(lower(split), '\s+', '', 'g') = 'train' THEN 'train' WHEN regexp_replace(lower(split), '\s+', '', 'g') IN ('val', 'validation', 'test') THEN 'held' END AS side FROM benchmark_splits), "
+    "x AS (SELECT b.dataset_id, b.sequence_id, side, t, sequence_similarity_threshold AS least FROM b JOIN s USING (sequence_id) JOIN dataset_configs c ON c.dataset_id = b.dataset_id WHERE side IS NOT NULL) "
+)
+_COMPLETE = " AND ".join(f"{e} IS NOT NULL" for e in AXES)
+_NEAR = (
+    f"WITH w AS (SELECT DISTINCT window_id, axis_scheme_id, {', '.join(AXES)} FROM window_octonions WHERE window_id IS NOT NULL AND axis_scheme_id IS NOT NULL AND {_COMPLETE}), "
+    f"d AS (SELECT q.window_id AS query, r.window_id AS neighbour, row_number() OVER (PARTITION BY q.window_id ORDER BY {' + '.join(f'power(q.{e} - r.{e}, 2)' for e in AXES)}, r.window_id) AS rank "
+    "FROM w q JOIN neighbour_probes USING (window_id) JOIN w r ON r.axis_scheme_id = q.axis_scheme_id AND r.window_id <> q.window_id) "
+)
+SQL: dict[str, str] = {
+    "p4_found": _NEAR + f"SELECT DISTINCT least(query, neighbour) AS window_id_a, greatest(query, neighbour) AS window_id_b FROM d WHERE rank <= {NEAREST}",
+    "p1_found": _GROUPS + "SELECT min(root) AS sequence_id_a, node AS sequence_id_b FROM reach GROUP BY node HAVING min(root) <> node",
+    "p2_found": _QUOTAS + "SELECT target_id FROM p WHERE short",
+    "p2_report": _QUOTAS + "SELECT target_id, request_id, available, wanted, least(wanted, available) AS sampled, wanted - least(wanted, available) AS deficit, short FROM p",
+    "p5_found": _SIDES
+    + "SELECT DISTINCT least(a.sequence_id, b.sequence_id) AS sequence_id_a, greatest(a.sequence_id, b.sequence_id) AS sequence_id_b FROM x a JOIN x b ON a.dataset_id = b.dataset_id AND a.side = 'train' AND b.side = 'held' AND a.sequence_id <> b.sequence_id "
+    "AND least(length(a.t), length(b.t)) >= a.least * greatest(length(a.t), length(b.t)) - 1e-9 "
+    "WHERE list_sum(list_transform(range(1, least(length(a.t), length(b.t)) + 1), lambda i: (substr(a.t, i, 1) = substr(b.t, i, 1))::INT))::DOUBLE / greatest(length(a.t), length(b.t)) >= a.least",
+}
