@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from octolake.functions.octonion import AXES
@@ -65,8 +65,11 @@ def tensor(df: DataFrame, key: str, position: str, length: int) -> DataFrame:
     """
     rows = df.dropna(subset=[key, position, *AXES])
     sizes = rows.groupBy(key).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("n"))
-    few = rows.where(F.col(position) < length).select(key, F.struct(F.col(position).alias("at"), *[F.col(e).cast("float") for e in AXES]).alias("u"))
+    few = rows.where(F.col(position) < length).select(key, F.struct(F.col(position).alias("at"), *[F.col(e).cast("float").alias(e) for e in AXES]).alias("u"))
     packed = few.groupBy(key).agg(F.sort_array(F.collect_list("u")).alias("us"))
     empty = F.array_repeat(F.lit(0.0).cast("float"), length)
-    rows8 = [F.slice(F.concat(F.transform("us", lambda u, e=e: u[e]), empty), 1, length) for e in AXES]
-    return sizes.join(packed, key).select(key, "n", F.array(*rows8).alias("tensor"))
+
+    def row(axis: str) -> Column:
+        return F.slice(F.concat(F.transform("us", lambda u: u[axis]), empty), 1, length)
+
+    return sizes.join(packed, key).select(key, "n", F.array(*map(row, AXES)).alias("tensor"))
