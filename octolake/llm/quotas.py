@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from octolake.sources.shared import cut
+
 FIELDS = ("label", "chromosome", "gc_bin")
 #: Rows accepted beyond a target's wanted rows: this share, and this many standard deviations.
 OVERSAMPLE, DEVIATIONS = 0.05, 6.0
@@ -48,7 +50,7 @@ def matches(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct() if found else ids.join(wanted, ids.sequence_id.isNull() & wanted.target_id.isNull()).select("target_id", "sequence_id")
 
 
-def quota_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
+def quota_plan(rows: DataFrame, targets: DataFrame, matched: DataFrame | None = None) -> DataFrame:
     """Per target: wanted (its share of the sample, at least min_rows), available, acceptance probability and deficits.
 
     available counts distinct sequences. ``short`` marks targets that cannot be met: fewer available than min_rows or
@@ -61,7 +63,7 @@ def quota_plan(rows: DataFrame, targets: DataFrame) -> DataFrame:
         F.coalesce(F.col("target_share"), F.lit(0.0)).alias("target_share"),
         F.coalesce(F.col("min_rows"), F.lit(0)).alias("min_rows"),
     )
-    counts = matches(rows, targets).groupBy("target_id").agg(F.count(F.lit(1)).alias("available"))
+    counts = (matches(rows, targets) if matched is None else matched).groupBy("target_id").agg(F.count(F.lit(1)).alias("available"))
     exact = F.col("target_share") * F.col("sample_size")
     plan = asked.join(counts, "target_id", "left").withColumn("available", F.coalesce("available", F.lit(0)))
     plan = plan.withColumn("wanted", F.greatest(F.round(exact).cast("long"), F.col("min_rows")))
@@ -83,27 +85,36 @@ def quota_sample(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFram
     of the step that holds the cut are ranked, so no task sorts a whole category. Should acceptance fall short, which
     six deviations make all but impossible, the rest of that target is taken in hash order from all its rows.
     """
-    plan = quota_plan(rows, targets).select("target_id", "request_id", "available", "drawn", "acceptance").where("drawn > 0")
+    return _drawn(rows, targets, seed)[0]
+
+
+def _drawn(rows: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The sample and the plan, from one search for matches, which is written to the shared folder."""
+    matched = cut(matches(rows, targets), "matches")
+    whole = cut(quota_plan(rows, targets, matched), "quotas")
+    plan = whole.select("target_id", "request_id", "available", "drawn", "acceptance").where("drawn > 0")
+    few = whole.count() <= BROADCAST_TARGETS
     u = (F.pmod(F.xxhash64(F.lit(seed), "target_id", "sequence_id"), F.lit(2**52)).cast("double") + 0.5) / float(2**52)
-    drawn = matches(rows, targets).withColumn("u", u).join(F.broadcast(plan) if plan.count() <= BROADCAST_TARGETS else plan, "target_id")
+    drawn = matched.withColumn("u", u).join(F.broadcast(plan) if few else plan, "target_id")
     taken = drawn.where("u < acceptance")
     got = taken.groupBy("target_id").agg(F.count(F.lit(1)).alias("_got"))
     lacking = plan.join(got, "target_id", "left").where(F.coalesce("_got", F.lit(0)) < F.col("drawn")).select("target_id")
-    rest = drawn.where("u >= acceptance").join(lacking, "target_id", "left_semi")
-    taken = taken.unionByName(rest)
+    if lacking.take(1):
+        taken = taken.unionByName(drawn.where("u >= acceptance").join(lacking, "target_id", "left_semi"))
     steps = F.greatest(F.lit(1), F.least(F.lit(MOST_STEPS), F.ceil(F.col("available") / STEP_ROWS))).cast("long")
     stepped = taken.withColumn("step", F.floor(F.col("u") * steps).cast("long"))
     hist = stepped.groupBy("target_id", "step").agg(F.count(F.lit(1)).alias("_n"))
     below = hist.withColumn("_below", F.sum("_n").over(W.partitionBy("target_id").orderBy("step")) - F.col("_n"))
     placed = stepped.join(below.select("target_id", "step", "_n", "_below"), ["target_id", "step"])
-    whole = placed.where(F.col("_below") + F.col("_n") <= F.col("drawn"))
+    kept = placed.where(F.col("_below") + F.col("_n") <= F.col("drawn"))
     edge = placed.where((F.col("_below") < F.col("drawn")) & (F.col("_below") + F.col("_n") > F.col("drawn")))
     ranked = edge.withColumn("_rank", F.row_number().over(W.partitionBy("target_id").orderBy("u", "sequence_id")))
     out = ["target_id", "request_id", "sequence_id"]
-    return whole.select(*out).unionByName(ranked.where(F.col("_below") + F.col("_rank") <= F.col("drawn")).select(*out))
+    return kept.select(*out).unionByName(ranked.where(F.col("_below") + F.col("_rank") <= F.col("drawn")).select(*out)), whole
 
 
 def quota_report(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
     """:func:`quota_plan` with the sequences that :func:`quota_sample` in fact drew, as ``sampled``."""
-    got = quota_sample(rows, targets, seed).groupBy("target_id").agg(F.count(F.lit(1)).alias("sampled"))
-    return quota_plan(rows, targets).join(got, "target_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    sample, plan = _drawn(rows, targets, seed)
+    got = sample.groupBy("target_id").agg(F.count(F.lit(1)).alias("sampled"))
+    return plan.join(got, "target_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
