@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +25,19 @@ def heavy_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> DataFram
     return counts.where(F.col("_n") >= max(least, total * HEAVY_SHARE)).select(*keys)
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 100_000) -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 100_000, heavy: list[Row] | None = None) -> DataFrame:
     """Join ``left`` with ``right``, which has one row per key, without sending a heavy key to one task.
 
     Rows of heavy keys meet a broadcast of at most HEAVY_LIMIT rows; all others are joined by a shuffle.
-    ``how`` is ``inner`` or ``left``. Null keys match nothing and are kept by ``left``.
+    ``how`` is ``inner`` or ``left``. Null keys match nothing and are kept by ``left``. ``heavy`` names the heavy keys
+    (at most HEAVY_LIMIT) where the caller knows them; otherwise the keys of ``left`` are counted.
     """
-    total = left.agg(F.count(F.lit(1))).first()[0]
-    if total < least:
-        return left.join(right, keys, how)
-    heavy = heavy_keys(left.dropna(subset=keys), keys, least).collect()  # at most HEAVY_LIMIT rows
+    if heavy is None:
+        if left.limit(least).count() < least:
+            return left.join(right, keys, how)
+        heavy = heavy_keys(left.dropna(subset=keys), keys, least).collect()  # at most HEAVY_LIMIT rows
+    if len(heavy) > HEAVY_LIMIT:
+        raise ValueError(f"more than {HEAVY_LIMIT} heavy keys")
     if not heavy:
         return left.join(right, keys, how)
     small = left.sparkSession.createDataFrame(heavy, left.select(*keys).schema)
