@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octolake.operators.skew import skew_join
+from octolake.operators.skew import HEAVY_LIMIT, skew_join
 from octolake.sources.shared import cut, drop
 
 #: Group values that mean "not known".
 NO_SUBJECT = ("", "na", "n/a", "unknown")
 #: Records of one key are first linked to the least record of their part, and the parts' least records to the key's.
 PARTS = 64
+#: Links from which a node may be joined by broadcast.
+HEAVY_LINKS = 100_000
 
 
 def subject_key(c: Column) -> Column:
@@ -45,14 +47,16 @@ def hash_to_min(links: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "links")
     for _ in range(rounds):
         both = now.select(F.col("b").alias("node"), F.col("a").alias("low")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("low")))
-        ends = both.groupBy("node").agg(F.min("low").alias("low"), F.sum(F.when(F.col("low") < F.col("node"), 1).otherwise(0)).alias("_up"))
-        # done when every node has one link at most to a lesser node, and that node has none
-        unsettled = ends.where("_up > 1").select(F.lit(1)).unionByName(now.join(now.select(F.col("b").alias("a")), "a", "left_semi").select(F.lit(1)))
-        if not unsettled.take(1):
+        up = F.sum((F.col("low") < F.col("node")).cast("long"))
+        low = cut(both.groupBy("node").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("links"), up.alias("up")), "lows")
+        # done when a node with a link to a lesser node has no other link: every component is a star around its least node
+        if not low.where("up > 0 and links > 1").take(1):
+            drop(low)
             break
-        low = cut(ends.select("node", "low"), "lows")
-        a = skew_join(now, low.withColumnsRenamed({"node": "a", "low": "ma"}), ["a"])
-        ab = skew_join(a, low.withColumnsRenamed({"node": "b", "low": "mb"}), ["b"])
+        # the nodes with the most links, if those are many: all others have less than a HEAVY_LIMIT-th of the rows
+        heavy = low.where(F.col("links") >= HEAVY_LINKS).orderBy(F.desc("links")).limit(HEAVY_LIMIT).select("node").collect()
+        a = skew_join(now, low.select(F.col("node").alias("a"), F.col("low").alias("ma")), ["a"], heavy=heavy)
+        ab = skew_join(a, low.select(F.col("node").alias("b"), F.col("low").alias("mb")), ["b"], heavy=heavy)
         told = ab.select(
             F.explode(
                 F.array(

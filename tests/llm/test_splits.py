@@ -88,3 +88,10 @@ def test_query_against_sql(same_as_sql):
 
     same_as_sql(queries.p1_found, queries.SQL["p1_found"])
     assert DATA
+
+
+def test_heavy_nodes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(splits, "HEAVY_LINKS", 5)
+    pairs = [("hub", f"x{i:02d}") for i in range(30)] + [("x03", "y1"), ("y1", "a0"), ("q1", "q2")]
+    got = {r["node"]: r["component"] for r in splits.hash_to_min(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert {got[n] for n in got if n[0] != "q"} == {"a0"} and got["q2"] == "q1" and len(got) == 35
