@@ -104,3 +104,32 @@ def collisions(df: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Groups of different codons with equal vectors within the tolerance: (codons, n_codons), none if all differ."""
     v = codon_vectors(df)
     return v.groupBy(*[F.round(F.col(e) / tolerance).alias(e) for e in O.AXES]).agg(F.array_join(F.sort_array(F.collect_list("codon")), " ").alias("codons"), F.count(F.lit(1)).alias("n_codons")).where("n_codons > 1").select("codons", "n_codons")
+
+
+def walsh_spectrum(df: DataFrame) -> DataFrame:
+    """(sequence_id, frame, coefficient, value): the Walsh-Hadamard spectrum of each trajectory's 64 codon shares.
+
+    Coefficient i is the sum of the shares with the sign of the parity of the bits that i and the codon's place share,
+    over 8; codons count in ACGT order. Ambiguous codons are left out; a trajectory of those alone gives no rows.
+    """
+    place = {c: i for i, c in enumerate(CODONS)}
+    dim = F.broadcast(df.sparkSession.createDataFrame([(c, i) for c, i in place.items()], "codon string, place int"))  # 64 rows
+    counts = distinct_codons(df).groupBy("sequence_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n")).join(dim, "codon")
+    sign = 1 - 2 * (F.bit_count(F.col("i").bitwiseAND(F.col("place"))) % 2)
+    signed = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    sums = signed.groupBy("sequence_id", "frame", "i").agg(F.sum(F.col("n") * sign).alias("s"), F.sum("n").alias("_all"))
+    return sums.select("sequence_id", "frame", F.col("i").alias("coefficient"), (F.col("s") / F.col("_all") / 8.0).alias("value"))
+
+
+def dyadic_shifts() -> list[tuple[int, float, float]]:
+    """(shift, share of codons whose partner codes the same residue, mean difference of family size) for shifts 1 to 63."""
+    out = []
+    for shift in range(1, 64):
+        pairs = [(CODONS[i], CODONS[i ^ shift]) for i in range(64)]
+        out.append((shift, sum(FAMILY[a] == FAMILY[b] for a, b in pairs) / 64, sum(abs(FAMILY_SIZE[FAMILY[a]] - FAMILY_SIZE[FAMILY[b]]) for a, b in pairs) / 64))
+    return out
+
+
+def root_degeneracy() -> list[tuple[str, int, bool]]:
+    """(root, residues, strong): the 16 first-two-base roots, and whether the third base never matters."""
+    return [(r, len({FAMILY[r + b] for b in S.BASES}), len({FAMILY[r + b] for b in S.BASES}) == 1) for r in (a + b for a in S.BASES for b in S.BASES)]
