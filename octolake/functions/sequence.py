@@ -33,14 +33,11 @@ def ratio(a: Column, b: Column) -> Column:
 def entropy(counts: list[Column], symbols: int | None = None) -> Column:
     """Shannon entropy of counts over log2 of the number of symbols; 0 without any count."""
     n = len(counts) if symbols is None else symbols
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    bits = F.lit(0.0)
-    for c in counts:
-        p = ratio(c, total)
-        bits = bits - F.when(p > 0, p * F.log2(F.when(p > 0, p))).otherwise(0.0)
-    return bits / F.log2(F.lit(float(n)))
+    # log N - (sum of c log c) / N, folded over an array, so that the generated code stays small for long alphabets
+    all_counts = F.array(*[c.cast("double") for c in counts])
+    folded = F.aggregate(all_counts, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), lambda t, c: F.struct((t["n"] + c).alias("n"), (t["s"] + F.when(c > 0, c * F.log2(F.when(c > 0, c))).otherwise(0.0)).alias("s")))
+    bits = F.aggregate(F.array(folded), F.lit(0.0), lambda t, f: t + F.when(f["n"] > 0, F.log2(F.when(f["n"] > 0, f["n"])) - f["s"] / F.when(f["n"] > 0, f["n"])).otherwise(0.0))
+    return F.greatest(bits, F.lit(0.0)) / F.log2(F.lit(float(n)))
 
 
 def kmers(c: Column, k: int) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
 from octolake.operators import trajectory as T
+from octolake.sources.shared import cut
 
 
 def polynomial_features(df: DataFrame, keys: list[str], row_id: str) -> DataFrame:
@@ -39,7 +40,7 @@ def centroid_predictions(features: DataFrame, row_id: str, label: str, fold: str
     They number folds x labels, which must not pass 10,000. A label that no other fold holds can't be predicted. Ties
     go to the lesser label.
     """
-    known = features.dropna(subset=[row_id, label, fold, *columns])
+    known = cut(features.select(row_id, label, fold, *columns).dropna(), "features")
     sums = known.groupBy(fold, label).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in columns])
     per = sums.limit(10_001).collect()
     if len(per) > 10_000:

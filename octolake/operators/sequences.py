@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from octolake.functions import sequence as S
 from octolake.operators.skew import skew_join
 
-#: Starts that one piece of a long sequence covers; a chromosome is worked on in pieces, never as one array.
-PIECE = 20_000
+#: Starts that one piece of a long sequence covers. A chromosome is worked on in pieces, never as one array, and short
+#: pieces are cheap to carry along with each of their units.
+PIECE = 512
 
 
 def records(df: DataFrame, seq_type: str | None = None) -> DataFrame:
@@ -20,7 +21,10 @@ def records(df: DataFrame, seq_type: str | None = None) -> DataFrame:
     Records delivered again with the same symbols count once. With ``seq_type`` dna or protein only records of that
     alphabet (with N or X for unknown symbols) are kept.
     """
-    rows = df.select("sequence_id", S.clean(F.col("sequence")).alias("sequence")).where(F.col("sequence_id").isNotNull() & (F.length("sequence") > 0)).distinct()
+    rows = df.select("sequence_id", S.clean(F.col("sequence")).alias("sequence")).where(F.col("sequence_id").isNotNull() & (F.length("sequence") > 0))
+    # a fixed number of parts: sequences are small but what is cut from them isn't, so parts must not be merged by size
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "sequence_id", "sequence").distinct()
     dna = F.col("sequence").rlike("^[ACGTN]+$")
     return rows if seq_type is None else rows.where(dna if seq_type == "dna" else ~dna)
 
@@ -37,8 +41,8 @@ def units(df: DataFrame, width: int, step: int, name: str = "unit") -> DataFrame
     """(sequence_id, start, unit): every substring of ``width`` symbols at a multiple of ``step``; narrow, no shuffle."""
     parts = pieces(df, width, step)
     starts = F.sequence(F.lit(0), F.length("part") - width, F.lit(step))
-    out = parts.select("sequence_id", "first", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.substring(F.col("part"), i + 1, F.lit(width)).alias("u")))).alias("x"))
-    return out.select("sequence_id", (F.col("first") + F.col("x.at")).cast("long").alias("start"), F.col("x.u").alias(name))
+    out = parts.select("sequence_id", "first", "part", F.explode(starts).alias("at"))
+    return out.select("sequence_id", (F.col("first") + F.col("at")).cast("long").alias("start"), F.expr(f"substring(part, at + 1, {width})").alias(name))
 
 
 def balances(c: Column) -> list[Column]:
@@ -103,9 +107,12 @@ def sequence_features(df: DataFrame) -> DataFrame:
 def composition(df: DataFrame, alphabet: str = S.RESIDUES) -> DataFrame:
     """sequence_id, length, share_<residue> and their entropy; unknown residues count in the length only."""
     c = F.col("sequence")
-    n = {r: S.count_of(c, r) for r in alphabet}
-    known = sum((n[r] for r in alphabet[1:]), n[alphabet[0]])
-    return df.select("sequence_id", F.length(c).cast("long").alias("length"), *[S.ratio(n[r], known).alias(f"share_{r}") for r in alphabet], S.entropy([n[r] for r in alphabet]).alias("residue_entropy"))
+    # counts are bound to columns first: each stands in the sum, its share and its entropy term
+    df = df.select("sequence_id", F.length(c).cast("long").alias("length"), *[S.count_of(c, r).alias(f"_{r}") for r in alphabet])
+    n = {r: F.col(f"_{r}") for r in alphabet}
+    df = df.withColumn("_known", sum((n[r] for r in alphabet[1:]), n[alphabet[0]]))
+    known = F.col("_known")
+    return df.select("sequence_id", "length", *[S.ratio(n[r], known).alias(f"share_{r}") for r in alphabet], S.entropy([n[r] for r in alphabet]).alias("residue_entropy"))
 
 
 def codons(df: DataFrame, frames: tuple[int, ...] = (0,)) -> DataFrame:

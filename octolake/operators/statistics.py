@@ -62,19 +62,25 @@ def average_ranks(df: DataFrame, value: str, buckets: int = 512) -> DataFrame:
     return placed.withColumn("_own", own).join(F.broadcast(before), "_b").select("value", (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's correlation as an aggregate; null where a column is constant or there is no row."""
+    spread = F.var_pop(a) * F.var_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / F.sqrt(F.when(spread > 0, spread)))
+
+
 def rank_correlation(df: DataFrame, row_id: str, x: str, y: str) -> DataFrame:
     """(n, spearman) of two columns over the rows that have both."""
     rows = df.select(row_id, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().dropDuplicates([row_id])
     for c in ("x", "y"):
         rows = skew_join(rows, average_ranks(rows, c).withColumnsRenamed({"value": c, "rank": f"r_{c}"}), [c])
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.corr("r_x", "r_y").alias("spearman"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), correlation("r_x", "r_y").alias("spearman"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_a, column_b, correlation) of all pairs of the columns from one aggregation; null for constant columns."""
     pairs = list(combinations(columns, 2))
     n = F.count(F.lit(1))
-    sums = df.select(*columns).dropna().agg(n.alias("_n"), *[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    sums = df.select(*columns).dropna().agg(n.alias("_n"), *[correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])
     return sums.select(F.explode(rows).alias("r")).select("r.*")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
 from octolake.operators.skew import skew_join
+from octolake.sources.shared import cut
 
 #: Positions of one key that a task orders together; a longer trajectory is cut into as many chunks as it needs.
 CHUNK = 4096
@@ -150,11 +151,11 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[floa
     lies, and only the different values of such buckets are ordered. Null and NaN values are left out; a group without
     a value gives no row.
     """
-    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counts")
     ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
     spread = F.col("_hi") - F.col("_lo")
     bucket = F.when(spread > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(spread > 0, spread) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = skew_join(counts, ranges, keys).withColumn("_b", bucket)
+    placed = cut(skew_join(counts, ranges, keys).withColumn("_b", bucket), "values")
     hist = placed.groupBy(*keys, "_b", "_all").agg(F.sum("_n").alias("_bn"))
     hist = hist.withColumn("_before", F.sum("_bn").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_bn"))
     ranks = [F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("_all") - 1)).cast("long").alias("rank")) for i, p in enumerate(probs) for side, f in ((0, F.floor), (1, F.ceil))]
