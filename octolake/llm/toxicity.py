@@ -31,6 +31,8 @@ DISCOUNT = 0.1
 #: Class priors: of the windows of confirmed texts, which are toxic in a few places only, and of toxic windows among the
 #: unlabelled ones (about 3 % of the texts, two or three windows in a hundred of such a text).
 FIRST_PRIOR, PRIOR = 0.002, 0.0004
+#: Share of toxic texts in a corpus, for which the threshold is set.
+TOXIC_SHARE = 0.03
 #: What an unlabelled text above the parting weighs against a confirmed one.
 WRONG = 1.5
 
@@ -274,7 +276,11 @@ def _parting(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def _threshold(toxic: np.ndarray, clear: np.ndarray) -> tuple[float, float]:
-    """The middle of the scores whose F1 is within 0.01 of the best, and the best F1. 0 without examples."""
+    """The middle of the scores whose F1 is within 0.01 of the best, and the best F1. 0 without examples.
+
+    Toxic texts are far more frequent among those that readers saw than in the corpus, so cleared texts are weighted to
+    make up 1 - TOXIC_SHARE of the sample.
+    """
     if not len(toxic) or not len(clear):
         return 0.0, float("nan")
     cuts = np.unique(np.concatenate([toxic, clear]))
@@ -282,7 +288,8 @@ def _threshold(toxic: np.ndarray, clear: np.ndarray) -> tuple[float, float]:
     cuts = np.unique(cuts[np.isfinite(cuts)])
     hits = len(toxic) - np.searchsorted(np.sort(toxic), cuts)
     wrong = len(clear) - np.searchsorted(np.sort(clear), cuts)
-    f1 = 2 * hits / (len(toxic) + hits + wrong)
+    weight = max(1.0, (1 - TOXIC_SHARE) / TOXIC_SHARE * len(toxic) / len(clear))
+    f1 = 2 * hits / (len(toxic) + hits + weight * wrong)
     good = cuts[f1 >= f1.max() - 0.01]
     return float((good[0] + good[-1]) / 2), float(f1.max())
 
