@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octolake.sources.shared import cut
+from octolake.sources.shared import cut, drop
 
 #: Rows of each scheme on which the centroids are fitted, chosen by a hash of the row's id; every row is indexed.
 FIT_ROWS = 20_000
@@ -112,13 +112,18 @@ def _complete(vectors: DataFrame, row_id: str, scheme: str, axes: list[str]) ->
     return kept.where(whole)
 
 
+def _once(rows: DataFrame, axes: list[str]) -> DataFrame:
+    """One row an id and scheme, whatever the number of its deliveries: every split sends one copy at most."""
+    return rows.groupBy("id", "scheme").agg(*[F.first(e).alias(e) for e in axes])
+
+
 def build_index(vectors: DataFrame, row_id: str, scheme: str, axes: list[str], seed: int = 7) -> tuple[MultiIndex | None, DataFrame]:
     """The index, and the table of all complete rows with their cells (written to the shared folder).
 
-    Only the centroids come from a sample. Rows with a null or NaN component, id or scheme aren't indexed. None for an
-    empty table.
+    Only the centroids come from a sample. Rows with a null or NaN component, id or scheme aren't indexed. A row that was
+    delivered several times is held and counted once. None for an empty table.
     """
-    rows = _complete(vectors, row_id, scheme, axes)
+    rows = cut(_once(_complete(vectors, row_id, scheme, axes), axes), "complete")
     counts = {r["scheme"]: r["count"] for r in rows.groupBy("scheme").count().limit(MOST_SCHEMES + 1).collect()}
     if len(counts) > MOST_SCHEMES:
         raise ValueError(f"more than {MOST_SCHEMES} schemes")
@@ -151,6 +156,7 @@ def build_index(vectors: DataFrame, row_id: str, scheme: str, axes: list[str], s
     table = cut(rows.mapInPandas(assign, rows.schema.simpleString()[7:-1].replace(":", " ") + ", cell long"), "cells")
     boxes = table.groupBy("scheme", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(e).alias(f"lo_{e}") for e in axes], *[F.max(e).alias(f"hi_{e}") for e in axes])
     index.fill(boxes.toArrow().to_pandas(), axes)  # at most MOST_CENTROIDS squared rows a scheme
+    drop(rows)
     return index, table
 
 

@@ -60,6 +60,27 @@ def test_recall_and_both_ways(spark, data, monkeypatch, few):
     assert hits / total >= 0.9
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_one_row_delivered_thousands_of_times(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(N, "FEW_QUERIES", 1)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.3, (300, 4)) for c in range(4)])
+    df = table(spark, x, ["a"] * len(x))
+    many = df.unionByName(df.where("id = 7").limit(1).crossJoin(spark.range(5000).select()))
+    index, held = N.build_index(many, "id", "s", AXES)
+    assert held.count() == len(x) and index.size["a"].sum() == len(x)
+    queries = [7, 8, 100, 900]
+    got = {}
+    for r in N.nearest(many, spark.createDataFrame([(i,) for i in queries], "id long"), "id", "s", AXES, 5, candidates=300).collect():
+        got.setdefault(r["query"], set()).add(r["neighbour"])
+    assert set(got) == set(queries) and all(len(v) == 5 and q not in v for q, v in got.items())
+    same = {}
+    for r in N.nearest(df, spark.createDataFrame([(i,) for i in queries], "id long"), "id", "s", AXES, 5, candidates=300).collect():
+        same.setdefault(r["query"], set()).add(r["neighbour"])
+    assert got == same
+
+
 def test_small_and_empty(spark):
     df = table(spark, np.zeros((3, 4)), ["a", "a", "z"])
     got = sorted((r["query"], r["neighbour"], r["distance"]) for r in N.nearest(df, df.select("id"), "id", "s", AXES, 5, exact=True).collect())
