@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from octolake.functions.octonion import AXES
+from octolake.operators.trajectory import dense_positions
 
 DIGITS = 6
 
@@ -61,15 +62,15 @@ def write_bundle(tables: dict[str, DataFrame], folder: str, cluster_by: str | No
 def tensor(df: DataFrame, key: str, position: str, length: int) -> DataFrame:
     """(key, n, tensor): trajectories as 8 x ``length`` arrays of FLOAT, cut or padded with zeros at the end.
 
-    Only the first ``length`` positions of a key are gathered, so a very long trajectory stays bounded in a task.
+    The first ``length`` units of a key are gathered in order, gaps closed, so a very long trajectory stays bounded in a
+    task. A position that was delivered several times counts once; n counts all units.
     """
-    rows = df.dropna(subset=[key, position, *AXES])
-    sizes = rows.groupBy(key).agg(F.min(position).alias("_first"), F.count(F.lit(1)).alias("n"))
-    few = rows.where(F.col(position) < length).select(key, F.struct(F.col(position).alias("at"), *[F.col(e).cast("float").alias(e) for e in AXES]).alias("u"))
-    packed = few.groupBy(key).agg(F.sort_array(F.collect_list("u")).alias("us"))
+    ranked = dense_positions(df.select(key, position, F.col(position).alias("_row"), *AXES), [key], position, "_row", "_at")
+    unit = F.struct(F.col("_at").alias("at"), *[F.col(e).cast("float").alias(e) for e in AXES])
+    packed = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("_at") < length, unit))).alias("us"))
     empty = F.array_repeat(F.lit(0.0).cast("float"), length)
 
     def row(axis: str) -> Column:
         return F.slice(F.concat(F.transform("us", lambda u: u[axis]), empty), 1, length)
 
-    return sizes.join(packed, key).select(key, "n", F.array(*map(row, AXES)).alias("tensor"))
+    return packed.select(key, "n", F.array(*map(row, AXES)).alias("tensor"))

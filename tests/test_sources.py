@@ -71,6 +71,14 @@ def test_tensor(spark):
     assert got["a"]["n"] == 5 and got["b"]["tensor"][0] == [1.0, 0.0, 0.0]
 
 
+def test_tensor_closes_gaps(spark):
+    rows = [("a", p, *[float(p + i) for i in range(8)]) for p in (0, 4, 4, 9, 12)] + [("late", p, *[float(p)] * 8) for p in (7, 8)]
+    df = spark.createDataFrame(rows, "k string, pos long, " + ", ".join(f"e{i} double" for i in range(8)))
+    got = {r["k"]: r for r in tables.tensor(df, "k", "pos", 3).collect()}
+    assert set(got) == {"a", "late"} and got["a"]["n"] == 4 and got["late"]["n"] == 2
+    assert got["a"]["tensor"][0] == [0.0, 4.0, 9.0] and got["late"]["tensor"][0] == [7.0, 8.0, 0.0]
+
+
 def test_cut_and_drop(spark):
     df = shared.cut(spark.range(5))
     assert df.count() == 5
