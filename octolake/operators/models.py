@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from octolake.sources.shared import cut
 
+#: Labels that ``cross_validated`` takes; their counts are broadcast.
+MOST_LABELS = 10_000
 MODELS = {
     "logistic": lambda seed: LogisticRegression(maxIter=30, regParam=0.01, weightCol="_w", labelCol="_y", featuresCol="_x"),
     "forest": lambda seed: RandomForestClassifier(numTrees=80, maxDepth=8, seed=seed, weightCol="_w", labelCol="_y", featuresCol="_x"),
@@ -36,7 +38,8 @@ def cross_validated(df: DataFrame, row_id: str, label: str, fold: str, columns:
     """(row_id, fold, label, predicted) of rows by a model fitted on the other folds; classes are weighted evenly.
 
     Medians, scales and kept columns come from the training folds alone. A label that a training side lacks isn't
-    predicted. Rows without id, label or fold are left out. Folds are few (at most 50): one fit each.
+    predicted. Rows without id, label or fold are left out. Folds are few (at most 50): one fit each. More than
+    MOST_LABELS labels raise an error.
     """
     rows = cut(df.select(row_id, label, fold, *[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=[row_id, label, fold]), "features")
     folds = [r[0] for r in rows.select(fold).distinct().limit(51).collect()]
@@ -46,7 +49,9 @@ def cross_validated(df: DataFrame, row_id: str, label: str, fold: str, columns:
     for f in sorted(folds):
         train, test = rows.where(F.col(fold) != f), rows.where(F.col(fold) == f)
         counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
-        weighted = train.join(F.broadcast(counts.limit(10_000)), label).withColumn("_w", 1.0 / F.col("_c"))
+        if counts.limit(MOST_LABELS + 1).count() > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels")
+        weighted = train.join(F.broadcast(counts), label).withColumn("_w", 1.0 / F.col("_c"))
         total = weighted.agg(F.sum("_w"), F.count(F.lit(1))).first()
         weighted = weighted.withColumn("_w", F.col("_w") * (total[1] / total[0] if total[0] else 1.0))
         index = StringIndexer(inputCol=label, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)

@@ -90,3 +90,9 @@ def test_auc(spark):
     r = M.rank_auc(df, "s", "y").collect()[0]
     assert (r["n_pos"], r["n_neg"]) == (2, 2) and np.isclose(r["auc"], 3.5 / 4)
     assert M.rank_auc(df.where("y = 1"), "s", "y").collect()[0]["auc"] is None
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_LABELS", 1)
+    with pytest.raises(ValueError, match="labels"):
+        M.cross_validated(frame(spark), "id", "label", "fold", ["x", "y", "flat"], "tree")
