@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from octolake.operators.skew import skew_join
 
 #: Starts that one piece of a long sequence covers. A chromosome is worked on in pieces, never as one array, and short
 #: pieces are cheap to carry along with each of their units.
-PIECE = 512
+PIECE = 256
 
 
 def records(df: DataFrame, seq_type: str | None = None) -> DataFrame:
@@ -30,11 +33,19 @@ def records(df: DataFrame, seq_type: str | None = None) -> DataFrame:
 
 
 def pieces(df: DataFrame, reach: int, step: int = 1, piece: int = PIECE) -> DataFrame:
-    """(sequence_id, first, part): parts of the sequences in which every start 0, step, 2 step.. with ``reach`` symbols stands once."""
-    piece -= piece % step
-    last = F.length("sequence") - reach
-    firsts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(piece))).otherwise(F.array().cast("array<int>"))
-    return df.select("sequence_id", "sequence", F.explode(firsts).alias("first")).select("sequence_id", "first", F.expr(f"substring(sequence, first + 1, {piece - step + reach})").alias("part"))
+    """(sequence_id, first, part): parts of the sequences in which every start 0, step, 2 step.. with ``reach`` symbols stands once.
+
+    One pass cuts a sequence into pieces; each gets the head of the next one for the units that cross its end, so the
+    work grows with the length of a sequence and not with its square.
+    """
+    piece = max(piece, reach)
+    piece += -piece % step
+    cut = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+    rows = df.where(F.length("sequence") >= reach).select("sequence_id", cut.alias("_p"))
+    longer = max(0, reach - step)
+    joined = F.transform("_p", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, longer)) if longer else x)
+    out = rows.select("sequence_id", F.posexplode(joined).alias("_i", "part"))
+    return out.select("sequence_id", (F.col("_i").cast("long") * piece).alias("first"), "part").where(F.length("part") >= reach)
 
 
 def units(df: DataFrame, width: int, step: int, name: str = "unit") -> DataFrame:
@@ -71,13 +82,55 @@ def window_descriptors(df: DataFrame, width: int = 60, step: int = 30, most_ambi
     return out.where((1 - F.col("valid_fraction") <= most_ambiguous + 1e-12) & (F.col("valid_fraction") > 0))
 
 
+def word_counts(codes: np.ndarray, edges: np.ndarray, k: int, base: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(string, word, n) of the words of k letters in strings of codes 0..base - 1; words with a code of ``base`` are no words.
+
+    Up to ``most`` starts are counted at once, so a string of any length needs bounded memory and may come several times.
+    """
+    power = base ** np.arange(k - 1, -1, -1, dtype=np.int64)
+    for lo in range(0, len(codes) - k + 1, most):
+        some = codes[lo : lo + most + k - 1].astype(np.int64)
+        n = len(some) - k + 1
+        word, known = np.zeros(n, np.int64), np.ones(n, bool)
+        for i in range(k):
+            word += some[i : i + n] * power[i]
+            known &= some[i : i + n] < base
+        start = np.arange(lo, lo + n)
+        owner = np.searchsorted(edges, start, "right") - 1
+        known &= start + k <= edges[owner + 1]
+        owner, word = owner[known], word[known]
+        order = np.lexsort((word, owner))
+        owner, word = owner[order], word[order]
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (word[1:] != word[:-1])])) if len(owner) else np.zeros(0, np.int64)
+        yield owner[new], word[new], np.diff(np.append(new, len(owner)))
+
+
 def kmer_counts(df: DataFrame, k: int, alphabet: str = S.BASES) -> DataFrame:
     """(sequence_id, kmer, n, frequency) of the k-mers over the alphabet; others aren't counted.
 
-    Map-side combine counts before the shuffle, so a long sequence sends at most one row for each k-mer and task.
+    Words are counted as numbers in each Arrow batch, so what is shuffled is one row for each k-mer of a sequence, or of
+    a million symbols of it. Words too long for a number are cut out as strings instead.
     """
-    found = units(df, k, 1, "kmer").where(F.col("kmer").rlike(f"^[{alphabet}]+$"))
-    counts = found.groupBy("sequence_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    base = len(alphabet)
+    if base**k < 1 << 62:
+        code = np.full(128, base, np.int64)
+        code[[ord(a) for a in alphabet]] = np.arange(base)
+        letters = np.frombuffer(alphabet.encode(), np.uint8)
+        schema = pa.schema([("sequence_id", pa.string()), ("kmer", pa.string()), ("n", pa.int64())])
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                flat, edges = S.symbols(batch.column(1))
+                codes = np.where(flat < 128, code[np.minimum(flat, 127)], base)
+                for owner, word, n in word_counts(codes, edges, k, base):
+                    text = letters[(word[:, None] // base ** np.arange(k - 1, -1, -1, dtype=np.int64)) % base]
+                    words = pa.Array.from_buffers(pa.large_string(), len(word), [None, pa.py_buffer(np.arange(0, (len(word) + 1) * k, k, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(text))])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)).cast(pa.string()), words.cast(pa.string()), pa.array(n.astype(np.int64))], schema=schema)
+
+        found = df.select(F.col("sequence_id").cast("string").alias("sequence_id"), "sequence").mapInArrow(counted, "sequence_id string, kmer string, n long")
+    else:
+        found = units(df, k, 1, "kmer").where(F.col("kmer").rlike(f"^[{alphabet}]+$")).withColumn("n", F.lit(1).cast("long"))
+    counts = found.groupBy("sequence_id", "kmer").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("sequence_id").agg(F.sum("n").alias("_all"))
     return skew_join(counts, totals, ["sequence_id"]).select("sequence_id", "kmer", "n", (F.col("n") / F.col("_all")).alias("frequency"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,42 @@ def test_substitutions_and_collisions(spark):
         df = df.withColumn(f"e{i}", F.lit(0.0))
     assert [r["codons"] for r in D.collisions(df).collect()] == ["AAA CCC"]
     assert D.codon_usage(df.limit(0)).count() == 0 and D.codon_pairs(df.limit(0)).count() == 0
+
+
+def test_long_record_takes_linear_time(spark):
+    """Windows, k-mers and mirrors of one record of five million bases, and of half of it."""
+    from time import perf_counter
+
+    text = "".join(np.random.default_rng(5).choice(list("ACGT"), 5_000_000))
+    seconds = []
+    for length in (100_000, 2_500_000, 5_000_000):
+        df = frame(spark, text[:length]).cache()
+        df.count()
+        start = perf_counter()
+        row = Q.sequence_features(df).collect()[0]
+        assert Q.window_descriptors(df, 60, 30).agg(F.count("*"), F.sum("mirror_similarity")).first()[0] == (length - 60) // 30 + 1
+        assert Q.kmer_counts(df, 4).agg(F.sum("n")).first()[0] == length - 3
+        seconds.append(perf_counter() - start)
+        df.unpersist()
+    half = text[:1000]
+    assert 0.2 < row["mirror_similarity"] < 0.3 and S.mirrored_places(*S.symbols(pa.array([half, "é", None, "ACGT", "xA"]))).tolist()[1:] == [1, 0, 4, 0]
+    assert seconds[2] < 60 and seconds[2] < 3 * seconds[1] + 5
+
+
+def test_mirror_against_brute_force():
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ACGTNé"), n)) for n in rng.integers(0, 40, 60)]
+    turned = str.maketrans("ACGT", "TGCA")
+    want = [sum(a == b for a, b in zip(t, t[::-1].translate(turned))) for t in texts]
+    assert S.mirrored_places(*S.symbols(pa.array(texts))).tolist() == want
+    old, S.MIRROR_SYMBOLS = S.MIRROR_SYMBOLS, 7
+    try:
+        assert S.mirrored_places(*S.symbols(pa.array(texts).slice(5, 30))).tolist() == want[5:35]
+    finally:
+        S.MIRROR_SYMBOLS = old
+
+
+def test_words_longer_than_a_number(spark):
+    text = "".join(np.random.default_rng(4).choice(list("ACGT"), 200))
+    for k in (31, 40):
+        assert {r["kmer"]: r["n"] for r in Q.kmer_counts(frame(spark, text + "N" + text[:50]), k).collect()}[text[:k]] == 2
