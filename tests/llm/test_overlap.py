@@ -23,8 +23,10 @@ def test_linked_texts_share_a_span(length, threshold, seed):
             b[i] = "N"
     a, b = "".join(a), "".join(b)
     if b and identity(a, b) >= threshold:
-        spans = set(overlap.spans_of(len(a), threshold)) & set(overlap.spans_of(len(b), threshold))
-        assert any(a[p : p + g] == b[p : p + g] for g in spans for p in range(0, min(len(a), len(b)) - g + 1, g))
+        n, short = max(len(a), len(b)), min(len(a), len(b))
+        span, extra = overlap.least_span(n, threshold)
+        assert (span, extra) in set(overlap.grids_of(len(a), threshold)) & set(overlap.grids_of(len(b), threshold))
+        assert sum(a[p : p + span] == b[p : p + span] for p in range(0, short - span + 1, span)) > extra
 
 
 def tables(spark, seqs, sides, threshold=0.9):
@@ -73,7 +75,7 @@ def test_against_brute_force(spark, monkeypatch, chunk):
 def test_copies_are_one_class(spark):
     seqs = [(f"a{i}", "ACGTACGTACGT" * 5) for i in range(40)]
     sides = [(f"a{i}", "d", "train" if i % 2 else "test") for i in range(40)]
-    links, members = overlap.split_overlaps(*tables(spark, seqs, sides))
+    links, members, _ = overlap.split_overlaps(*tables(spark, seqs, sides))
     assert links.count() == 1 and members.count() == 40
     assert overlap.overlap_pairs(*tables(spark, seqs, sides)).count() == 400
 
@@ -91,3 +93,51 @@ def test_query_against_sql(same_as_sql):
     from octolake.llm import queries
 
     same_as_sql(queries.p5_found, queries.SQL["p5_found"])
+
+
+def test_shared_anywhere(spark):
+    """A shifted copy, a verbatim part and a copy with one symbol changed are all reported, only the last by identity."""
+    rng = np.random.default_rng(1)
+    text = "".join(rng.choice(list("ACGT"), 400))
+    other = "".join(rng.choice(list("ACGT"), 400))
+    seqs = [("t", text), ("shift", text[1:] + "A"), ("part", other[:100] + text[100:300] + other[100:200]), ("near", text[:50] + "N" + text[51:]), ("none", other[200:])]
+    sides = [("t", "d", "train"), *[(s, "d", "test") for s in ("shift", "part", "near", "none")]]
+    who = spark.createDataFrame([(s, s) for s, _ in seqs], "sequence_id string, species_or_subject string")
+    got = {r["subject"]: r for r in overlap.overlap_report(*tables(spark, seqs, sides), who).collect()}
+    assert {s: (r["overlapping"], r["sharing"]) for s, r in got.items()} == {"shift": (0, 1), "part": (0, 1), "near": (1, 1), "none": (0, 0)}
+    assert got["shift"]["highest_covered"] > 0.95 and 0.45 < got["part"]["highest_covered"] <= 0.5
+
+
+def test_picked_suffixes_meet():
+    """Any shared span of LEAST + NEAR - 1 symbols has a picked suffix in both texts that goes on for LEAST symbols."""
+    rng = np.random.default_rng(8)
+    size = overlap.LEAST + overlap.NEAR - 1
+    for _ in range(200):
+        span = rng.integers(65, 69, size).astype(np.uint8)
+        texts = [np.concatenate([rng.integers(65, 69, n), span, rng.integers(65, 69, 30)]).astype(np.uint8) for n in rng.integers(0, 40, 2)]
+        edges = np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])])
+        starts = overlap.sampled(np.concatenate(texts), edges)
+        places = [{int(s) - int(edges[i]) - (len(t) - size - 30) for s in starts if edges[i] <= s < edges[i + 1]} for i, t in enumerate(texts)]
+        assert any(0 <= p <= overlap.NEAR - 1 for p in places[0] & places[1])
+
+
+@pytest.mark.parametrize("hot", [3, 10**9])
+def test_hot_blocks_lose_nothing(spark, monkeypatch, hot):
+    """All texts begin alike; the block they share is left out or met in chunks, and no pair is lost."""
+    monkeypatch.setattr(overlap, "HOT", hot)
+    monkeypatch.setattr(overlap, "CHUNK", 4)
+    rng = np.random.default_rng(2)
+    start = "".join(rng.choice(list("ACGT"), 45))
+    seqs, sides = [], []
+    for i in range(120):
+        t = start + "".join(rng.choice(list("ACGT"), 60)) if i % 3 else start + "ACGGT" * 12
+        t = list(t)
+        for p in rng.integers(45, 105, 4):
+            t[p] = rng.choice(list("ACGT"))
+        seqs.append((f"r{i}", "".join(t)))
+        sides.append((f"r{i}", "d", "train" if i % 2 else "test"))
+    got = sorted(map(tuple, overlap.overlap_pairs(*tables(spark, seqs, sides)).collect()))
+    assert got == sorted(brute(seqs, sides, 0.9)) and len(got) > 100
+    _, _, classes = overlap.split_overlaps(*tables(spark, seqs, sides))
+    covered = {r["class_id"]: r["covered"] for r in overlap.shared_anywhere(classes).collect()}
+    assert len(covered) == classes.where("held").count() and min(covered.values()) >= overlap.LEAST
