@@ -2,204 +2,258 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
-from functools import reduce
-from hashlib import blake2b
+from itertools import combinations
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octolake.llm.words import words
 
-#: Words of a window; items of fewer words are listed as one window of their own size.
-WINDOW = 12
-#: Fingerprints up to so many bits apart are candidates; BLOCKS > RADIUS makes one block of any such pair equal.
-RADIUS, BLOCKS = 3, 4
-#: Words of a shingle, and the weighted similarity that a window must reach.
+#: Words of a part of an item that leaks by itself; items of fewer words are listed as one window of their own size.
+PART = 12
+#: Item-sized windows up to so many bits apart are candidates. A pair within RADIUS bits differs by at most
+#: RADIUS // BLOCKS bits in one of the blocks, and items are listed under all such values of each block.
+RADIUS, BLOCKS = 11, 4
+#: Words of a shingle, and the share of an item's words, weighted, that must stand in shingles of the document.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Characters of passages in one index; more passages are searched in several blocks, each broadcast by itself.
+#: Windows of items up to this size have the item's own size; longer ones keep this many steps to the next power of two.
+OWN_SIZE, SIZE_STEPS = 64, 16
+#: Characters of passages in one broadcast and index. The corpus is read once, however many of them there are.
 BLOCK_CHARS = 8_000_000
-#: Words of documents that are fingerprinted at once in a task.
-CHUNK_WORDS = 150_000
+#: Words of documents that are searched at once in a task, and indexes that a worker keeps.
+CHUNK_WORDS, MOST_KEPT = 300_000, 4
 
-OUT = "doc_id long, item_id long, words_run int, similarity double"
+OUT = "doc_id long, passage_id long, words_run int, similarity double"
 
 
-def word_hash(word: str) -> int:
-    return int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little")
+class _Words(dict):
+    """Words as 64-bit hashes whose two lowest bits hold the weight less 1: longer words say more."""
 
+    def __missing__(self, word: str) -> int:
+        h = self[word] = (xxhash.xxh3_64_intdigest(word) & ~3) | min(3, len(word) // 4)
+        return h
 
-def word_weight(word: str) -> int:
-    """Longer words say more: 1 to 4."""
-    return min(4, 1 + len(word) // 4)
+    def coded(self, text: str) -> np.ndarray:
+        if len(self) > 1_000_000:
+            self.clear()
+        return np.array(list(map(self.__getitem__, words(text))), np.uint64)
 
 
-class _Words:
-    """Ids, hashes and weights of words. The items' words come first, so other words can be forgotten."""
+def weights_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(3)).astype(np.int64) + 1
 
-    def __init__(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.hashes: list[int] = []
-        self.weights: list[int] = []
 
-    def coded(self, tokens: list[str]) -> list[int]:
-        ids, out = self.ids, []
-        for w in tokens:
-            i = ids.get(w)
-            if i is None:
-                i = ids[w] = len(ids)
-                self.hashes.append(word_hash(w))
-                self.weights.append(word_weight(w))
-            out.append(i)
-        return out
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
 
-    def forget(self, keep: int) -> None:
-        self.ids = {w: i for w, i in self.ids.items() if i < keep}
-        del self.hashes[keep:], self.weights[keep:]
+def fingerprints(windows: np.ndarray) -> np.ndarray:
+    """SimHash of windows (rows of word hashes): the sign of the weighted sum of the words' bits, as uint64."""
+    n, width = windows.shape
+    out = np.zeros(n, np.uint64)
+    step = max(1, 200_000 // max(1, width))
+    for lo in range(0, n, step):
+        some = windows[lo : lo + step]
+        word, place = np.unique(some, return_inverse=True)
+        bits = np.unpackbits(mixed(word).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
+        signed = (2 * bits - 1) * weights_of(word).astype(np.int16)[:, None]
+        place = place.reshape(some.shape)
+        total = np.zeros((len(some), 64), np.int32)
+        for i in range(width):
+            total += signed[place[:, i]]
+        out[lo : lo + step] = np.packbits(total > 0, axis=1).view(np.uint64).ravel()
+    return out
 
 
-def rolling(x: np.ndarray, width: int) -> np.ndarray:
-    """Sums of ``width`` successive rows, by doubling."""
-    total, at, power, size = None, 0, x, 1
-    n = len(x) - width + 1
-    while True:
-        if width & size:
-            part = power[at : at + n]
-            total = part.copy() if total is None else total + part
-            at += size
-        size *= 2
-        if size > width:
-            return total
-        power = power[: len(power) - size // 2] + power[size // 2 :]
+def shingle_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every SHINGLE successive words."""
+    n = len(hashes) - SHINGLE + 1
+    key = np.zeros(max(n, 0), np.uint64)
+    for i in range(SHINGLE):
+        key = mixed(key ^ hashes[i : i + n]) if n > 0 else key
+    return key
 
 
-def fingerprints(hashes: np.ndarray, weights: np.ndarray, width: int) -> np.ndarray:
-    """SimHash of every window of ``width`` words: the sign of the weighted sum of the words' bits, as uint64."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
-    kind = np.int8 if 4 * width <= 127 else np.int32
-    signed = (2 * bits - 1).astype(kind) * weights.astype(kind)[:, None]
-    return np.packbits(rolling(signed, width) > 0, axis=1).view(np.uint64).ravel()
+def window_size(n: int) -> int:
+    """Words of the item-sized windows for an item of n words."""
+    if n <= OWN_SIZE:
+        return n
+    step = max(1, (1 << (n.bit_length() - 1)) // SIZE_STEPS)
+    return n - n % step
 
 
-class _Index:
-    """Windows of one size: fingerprints, listed by the value of each of their blocks."""
+class HammingIndex:
+    """Fingerprints listed by the values of their blocks, and by all values that differ from those in a few bits."""
 
-    def __init__(self, width: int, fp: np.ndarray, item: np.ndarray, ids: np.ndarray) -> None:
-        self.width, self.fp, self.item, self.ids = width, fp, item, ids
-        bits = 64 // BLOCKS
+    def __init__(self, fp: np.ndarray) -> None:
+        self.fp = fp
+        width = 64 // BLOCKS
+        near = [0]
+        for flips in range(1, RADIUS // BLOCKS + 1):
+            near += [sum(1 << b for b in c) for c in combinations(range(width), flips)]
+        near = np.array(near, np.int64)
         self.order, self.start = [], []
         for b in range(BLOCKS):
-            key = (fp >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)
-            self.order.append(np.argsort(key, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(key.astype(np.int64), minlength=1 << bits))]))
+            key = ((fp >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            listed = (key[:, None] ^ near).ravel()
+            order = np.argsort(listed, kind="stable")
+            self.order.append((order // len(near)).astype(np.int32))
+            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(listed, minlength=1 << width))]))
 
     def near(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (window of the document, window of an item) within RADIUS bits; none is missed."""
-        bits, left, right = 64 // BLOCKS, [], []
+        """Pairs (window, item window) within RADIUS bits; none is missed."""
+        width, left, right = 64 // BLOCKS, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for b in range(BLOCKS):
-            key = ((fp >> np.uint64(b * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+            key = ((fp >> np.uint64(b * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
             lo = self.start[b][key]
             n = self.start[b][key + 1] - lo
-            some = np.nonzero(n)[0]
+            some = np.flatnonzero(n)
             for part in np.array_split(some, max(1, int(n.sum()) // 2_000_000 + 1)):
                 k = n[part]
                 at = np.repeat(part, k)
                 j = self.order[b][np.repeat(lo[part], k) + np.arange(len(at)) - np.repeat(np.cumsum(k) - k, k)]
                 close = np.bitwise_count(fp[at] ^ self.fp[j]) <= RADIUS
                 left.append(at[close])
-                right.append(j[close])
+                right.append(j[close].astype(np.int64))
         pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
         return pairs[:, 0], pairs[:, 1]
 
 
-def _weighted(a: np.ndarray, b: np.ndarray, weights: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two windows' shingles; a shingle weighs as its words do together."""
-    size = min(SHINGLE, len(a))
-
-    def bag(x: np.ndarray) -> dict:
-        out: dict = {}
-        for i in range(len(x) - size + 1):
-            key = tuple(x[i : i + size].tolist())
-            out[key] = out.get(key, 0) + int(weights[list(key)].sum())
+class PassageIndex:
+    """The passages of one block: their words, their item-sized windows, and their parts."""
+
+    def __init__(self, passages: list[tuple[int, str]]) -> None:
+        code = _Words()
+        items = [(p, h) for p, h in ((p, code.coded(t)) for p, t in passages) if len(h)]
+        self.ids = np.array([p for p, _ in items], np.int64)
+        self.words = [h for _, h in items]
+        self.size = np.array([len(h) for h in self.words], np.int64)
+        self.vocabulary = np.unique(np.concatenate(self.words)) if items else np.zeros(0, np.uint64)
+        self.parts: dict[int, tuple[np.ndarray, ...]] = {}
+        self.whole: dict[int, tuple] = {}
+        sizes: dict[int, list[tuple[int, int]]] = {}
+        widths: dict[int, list[int]] = {}
+        for i, n in enumerate(self.size.tolist()):
+            widths.setdefault(min(PART, n), []).append(i)
+            if n > PART:
+                w = window_size(n)
+                sizes.setdefault(w, []).extend({(i, 0), (i, n - w)})
+        for w, who in widths.items():
+            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(self.words[i], w) for i in who])
+            item = np.repeat(who, [len(self.words[i]) - w + 1 for i in who])
+            at = np.concatenate([np.arange(len(self.words[i]) - w + 1) for i in who])
+            fp = fingerprints(windows)
+            order = np.argsort(fp, kind="stable")
+            self.parts[w] = (fp[order], windows[order], item[order], at[order])
+        for w, who in sizes.items():
+            windows = np.stack([self.words[i][a : a + w] for i, a in who])
+            least = int(np.ceil(SIMILARITY * weights_of(windows).sum(1).min()))
+            self.whole[w] = (HammingIndex(fingerprints(windows)), windows, np.array([i for i, _ in who]), least)
+
+    def search(self, hashes: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
+        """(doc, item, words_run, similarity) of the documents whose words are given one after another."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        seen = np.concatenate([[0], np.cumsum(known)])
+        weight = np.concatenate([[0], np.cumsum(np.where(known, weights_of(hashes), 0))])
+        exact, near = [], []
+        for w, (fp, windows, item, part) in self.parts.items():
+            n = len(hashes) - w + 1
+            # only windows whose words are all words of passages can equal one
+            start = np.flatnonzero((seen[w:] - seen[:-w] == w) & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
+            if not len(start):
+                continue
+            mine = np.lib.stride_tricks.sliding_window_view(hashes, w)[start]
+            key = fingerprints(mine)
+            lo, hi = np.searchsorted(fp, key, "left"), np.searchsorted(fp, key, "right")
+            k = hi - lo
+            a = np.repeat(np.arange(len(start)), k)
+            j = np.repeat(lo, k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            same = (mine[a] == windows[j]).all(1)
+            a, j = a[same], j[same]
+            exact.append(pd.DataFrame({"doc": owner[start[a]], "item": item[j], "at": start[a], "line": start[a] - part[j], "w": w}))
+        for w, (index, windows, item, least) in self.whole.items():
+            n = len(hashes) - w + 1
+            # a window whose known words weigh less can't hold enough of any item of this size
+            start = np.flatnonzero((weight[w:] - weight[:-w] >= least) & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
+            if not len(start):
+                continue
+            mine = np.lib.stride_tricks.sliding_window_view(hashes, w)[start]
+            a, j = index.near(fingerprints(mine))
+            share = np.array([covered_share(windows[y], mine[x]) for x, y in zip(a.tolist(), j.tolist())])
+            good = share >= SIMILARITY if len(share) else np.zeros(0, bool)
+            near.append(pd.DataFrame({"doc": owner[start[a[good]]], "item": item[j[good]], "similarity": share[good] if len(share) else share}))
+        runs = pd.concat(exact) if exact else pd.DataFrame({"doc": [], "item": [], "at": [], "line": [], "w": []}, dtype=np.int64)
+        runs = runs.sort_values(["doc", "item", "line", "at"])
+        new = runs[["doc", "item", "line"]].diff().ne(0).any(axis=1) | runs["at"].diff().ne(1)
+        runs = runs.assign(run=new.cumsum()).groupby(["doc", "item", "run"]).agg(n=("at", "size"), w=("w", "first")).reset_index()
+        runs["words_run"] = runs["n"] + runs["w"] - 1
+        out = runs.groupby(["doc", "item"])["words_run"].max().reset_index()
+        out["similarity"] = out["words_run"] / self.size[out["item"].to_numpy(np.int64)]
+        if near:
+            out = pd.concat([out, pd.concat(near).assign(words_run=0)]).groupby(["doc", "item"]).max().reset_index()
         return out
 
-    x, y = bag(a), bag(b)
-    return sum(min(v, y.get(k, 0)) for k, v in x.items()) / max(1, sum(max(x.get(k, 0), y.get(k, 0)) for k in x.keys() | y.keys()))
-
-
-def _build(items: list[tuple[int, str]]) -> tuple[_Words, list[_Index]]:
-    vocabulary = _Words()
-    by_width: dict[int, list] = {}
-    for item_id, passage in items:
-        ids = np.array(vocabulary.coded(words(passage)), np.int64)
-        if len(ids):
-            by_width.setdefault(min(WINDOW, len(ids)), []).append((item_id, ids))
-    hashes, weights = np.array(vocabulary.hashes, np.uint64), np.array(vocabulary.weights, np.int64)
-    made = []
-    for width, members in sorted(by_width.items()):
-        fp = np.concatenate([fingerprints(hashes[i], weights[i], width) for _, i in members])
-        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(i, width) for _, i in members])
-        made.append(_Index(width, fp, np.repeat([m for m, _ in members], [len(i) - width + 1 for _, i in members]), windows))
-    return vocabulary, made
-
-
-def _search(vocabulary: _Words, indexes: list[_Index], docs: list[tuple[int, list[int]]]) -> pd.DataFrame:
-    ids = np.concatenate([np.array(i, np.int64) for _, i in docs])
-    owner = np.repeat(np.arange(len(docs)), [len(i) for _, i in docs])
-    doc_ids = np.array([d for d, _ in docs], np.int64)
-    hashes, weights = np.array(vocabulary.hashes, np.uint64), np.array(vocabulary.weights, np.int64)
-    found = []
-    for index in indexes:
-        if len(ids) < index.width:
-            continue
-        at, j = index.near(fingerprints(hashes[ids], weights[ids], index.width))
-        inside = owner[at] == owner[at + index.width - 1]
-        at, j = at[inside], j[inside]
-        if not len(at):
-            continue
-        mine = np.lib.stride_tricks.sliding_window_view(ids, index.width)[at]
-        same = (mine == index.ids[j]).all(1)
-        similarity = np.where(same, 1.0, 0.0)
-        for k in np.nonzero(~same)[0]:
-            similarity[k] = _weighted(mine[k], index.ids[j[k]], weights)
-        keep = similarity >= SIMILARITY
-        found.append(pd.DataFrame({"doc": owner[at[keep]], "at": at[keep], "item_id": index.item[j[keep]], "j": j[keep], "same": same[keep], "similarity": similarity[keep], "width": index.width}))
-    if not found:
-        return pd.DataFrame({"doc_id": [], "item_id": [], "words_run": [], "similarity": []})
-    hits = pd.concat(found)
-    exact = hits[hits["same"]].copy()
-    exact["line"] = exact["at"] - exact["j"]
-    exact = exact.sort_values(["doc", "item_id", "line", "at"])
-    new = (exact[["doc", "item_id", "line"]].diff().ne(0).any(axis=1)) | exact["at"].diff().ne(1)
-    runs = exact.assign(run=new.cumsum()).groupby(["doc", "item_id", "run"]).agg(n=("at", "size"), width=("width", "first")).reset_index()
-    runs["words_run"] = runs["n"] + runs["width"] - 1
-    out = hits.groupby(["doc", "item_id"])["similarity"].max().reset_index()
-    out = out.merge(runs.groupby(["doc", "item_id"])["words_run"].max().reset_index(), how="left", on=["doc", "item_id"])
-    return pd.DataFrame({"doc_id": doc_ids[out["doc"]], "item_id": out["item_id"], "words_run": out["words_run"].fillna(0).astype(np.int32), "similarity": out["similarity"]})
-
-
-def _leaks(items: list[tuple[int, str]]):
+
+def covered_share(item: np.ndarray, window: np.ndarray) -> float:
+    """The weighted share of an item's words that stand in shingles which the window holds too."""
+    shared = np.isin(shingle_keys(item), shingle_keys(window))
+    inside = np.zeros(len(item), bool)
+    for i in range(SHINGLE):
+        inside[i : i + len(shared)] |= shared
+    weight = weights_of(item)
+    return float(weight[inside].sum() / weight.sum())
+
+
+_KEPT: OrderedDict[str, PassageIndex] = OrderedDict()
+
+
+def _index(key: str, block: Broadcast) -> PassageIndex:
+    """The index of a block, built once in a worker as long as MOST_KEPT others haven't been used since."""
+    if key not in _KEPT:
+        _KEPT[key] = PassageIndex(block.value)
+        if len(_KEPT) > MOST_KEPT:
+            _KEPT.popitem(last=False)
+    _KEPT.move_to_end(key)
+    return _KEPT[key]
+
+
+def _leaks(blocks: list[Broadcast], chunk: int):
+    name = uuid4().hex  # of this search, as workers serve others too
+
+    def found(wait: list[tuple[int, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        hashes = np.concatenate([h for _, h in wait])
+        owner = np.repeat(np.arange(len(wait)), [len(h) for _, h in wait])
+        names = np.array([d for d, _ in wait], np.int64)
+        for i, block in enumerate(blocks):
+            index = _index(f"{name}-{i}", block)
+            out = index.search(hashes, owner)
+            at = out["item"].to_numpy(np.int64)
+            yield pd.DataFrame({"doc_id": names[out["doc"].to_numpy(np.int64)], "passage_id": index.ids[at], "words_run": out["words_run"].astype(np.int32), "similarity": out["similarity"].astype(float)})
+
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, indexes = _build(items)
-        keep = len(vocabulary.ids)
-        wait: list[tuple[int, list[int]]] = []
-        size = 0
+        code, wait, size = _Words(), [], 0
         for pdf in it:
             for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
-                coded = vocabulary.coded(words(text))
-                if not coded:
-                    continue
-                wait.append((doc_id, coded))
-                size += len(coded)
-                if size >= CHUNK_WORDS:
-                    yield _search(vocabulary, indexes, wait)
+                coded = code.coded(text)
+                if len(coded):
+                    wait.append((doc_id, coded))
+                    size += len(coded)
+                if size >= chunk:
+                    yield from found(wait)
                     wait, size = [], 0
-                    if len(vocabulary.ids) > keep + 400_000:
-                        vocabulary.forget(keep)
         if wait:
-            yield _search(vocabulary, indexes, wait)
+            yield from found(wait)
 
     return run
 
@@ -207,29 +261,44 @@ def _leaks(items: list[tuple[int, str]]):
 def find_leaks(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id, words_run, similarity): documents with a window that an item's passage holds, or nearly holds.
 
-    A window is WINDOW successive words. Those of the items are fingerprinted and listed by the blocks of their
-    fingerprints; every window of every document is looked up, which finds all within RADIUS bits; those are verified
-    by the weighted similarity of their shingles. ``words_run`` is the longest run of the passage's words that stands
-    in the document as it is (0: only near windows), ``similarity`` that of the best window.
+    Windows of every document that have an item's size, and those of PART words, are fingerprinted, as far as enough of
+    their words are words of passages. Item-sized ones are looked up in the blocks of a multi-index, which finds all
+    within RADIUS bits of an item; those are verified by the weighted share of the item's words that stand in common
+    shingles. Parts must have an item's fingerprint and its words. ``words_run`` is the longest run of the passage's
+    words that stands in the document as it is (0: only a near window), from PART words on or the whole passage;
+    ``similarity`` is the share of the item's words that the run or the best near window holds.
 
-    The corpus is read once for each BLOCK_CHARS characters of passages and isn't shuffled. Null or wordless texts and
-    passages give no rows; two items with one passage are both found; repeated rows count once.
+    The corpus is read once and isn't shuffled; passages come in broadcasts of BLOCK_CHARS characters, one index of
+    which a task holds at a time. Null or wordless texts and passages give no rows; equal passages are searched once and
+    all their items found; repeated rows count once.
     """
     items = passages.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "passage").distinct()
-    chars = items.agg(F.sum(F.length("passage"))).first()[0] or 0
-    blocks = 1 + chars // BLOCK_CHARS
+    items = items.withColumn("passage_id", F.xxhash64("passage", F.length("passage")))
+    spark = documents.sparkSession
+    blocks: list[Broadcast] = []
+    block, size = [], 0
+    for row in items.groupBy("passage_id").agg(F.first("passage").alias("passage")).toLocalIterator():  # one partition at a time
+        if block and size + len(row["passage"]) > BLOCK_CHARS:
+            blocks.append(spark.sparkContext.broadcast(block))
+            block, size = [], 0
+        block.append((row["passage_id"], row["passage"]))
+        size += len(row["passage"])
+    blocks.append(spark.sparkContext.broadcast(block))
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = []
-    for b in range(blocks):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        found.append(docs.mapInPandas(_leaks([(r[0], r[1]) for r in some.collect()]), OUT))
-    rows = reduce(DataFrame.unionByName, found)
-    return rows.groupBy("doc_id", "item_id").agg(F.max("words_run").alias("words_run"), F.max("similarity").alias("similarity"))
-
-
-def item_report(documents: DataFrame, passages: DataFrame, least: int = WINDOW) -> DataFrame:
-    """(suite, item_id, leaking_documents, longest_run) of every item, 0 where it leaks nowhere."""
-    hits = find_leaks(documents, passages).where(F.col("words_run") >= least)
-    per = hits.groupBy("item_id").agg(F.count_distinct("doc_id").alias("leaking_documents"), F.max("words_run").alias("longest_run"))
+    found = docs.mapInPandas(_leaks(blocks, CHUNK_WORDS * len(blocks)), OUT)
+    per = found.groupBy("doc_id", "passage_id").agg(F.max("words_run").alias("words_run"), F.max("similarity").alias("similarity"))
+    return per.join(items.select("item_id", "passage_id"), "passage_id").select("doc_id", "item_id", "words_run", "similarity")
+
+
+def item_report(documents: DataFrame, passages: DataFrame, least: int = PART) -> DataFrame:
+    """(suite, item_id, leaking_documents, near_documents, longest_run) of every item, 0 where it leaks nowhere.
+
+    Leaking documents hold ``least`` successive words of the passage, near ones SIMILARITY of all its words in shingles.
+    """
+    hits = find_leaks(documents, passages).where((F.col("words_run") >= least) | (F.col("similarity") >= SIMILARITY))
+    run, near = F.col("words_run") >= least, F.col("similarity") >= SIMILARITY
+    per = hits.groupBy("item_id").agg(
+        F.count_distinct(F.when(run, F.col("doc_id"))).alias("leaking_documents"), F.count_distinct(F.when(near, F.col("doc_id"))).alias("near_documents"), F.max(F.when(run, F.col("words_run"))).alias("longest_run")
+    )
     items = passages.where(F.col("item_id").isNotNull()).select("suite", F.col("item_id").cast("long").alias("item_id")).distinct()
-    return items.join(per, "item_id", "left").select("suite", "item_id", F.coalesce("leaking_documents", F.lit(0)).alias("leaking_documents"), F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
+    return items.join(per, "item_id", "left").select("suite", "item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("leaking_documents", "near_documents", "longest_run")])

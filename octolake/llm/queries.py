@@ -69,7 +69,7 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leaks.find_leaks(*_read(spark, folder, "documents", "eval_passages")).where(F.col("words_run") >= leaks.WINDOW).select("doc_id", "item_id")
+    return leaks.find_leaks(*_read(spark, folder, "documents", "eval_passages")).where(F.col("words_run") >= leaks.PART).select("doc_id", "item_id")
 
 
 def p7_items(spark: SparkSession, folder: str) -> DataFrame:
