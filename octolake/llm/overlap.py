@@ -13,8 +13,8 @@ from octolake.functions.sequence import symbols
 from octolake.sources.shared import cut
 
 #: Symbols of a suffix that are kept for sorting and for measuring common prefixes.
-SUFFIX = 32
-#: Blocks that a pair surely shares beyond the one that finds it, so that a text may leave out that many hot ones.
+SUFFIX = 24
+#: Blocks that a text may leave out at most because they are hot.
 MOST_EXTRA = 3
 #: Classes of texts from which hot blocks are estimated, and the rows from which a block counts as hot. Both only move work.
 SAMPLE, HOT = 20_000, 1000
@@ -23,6 +23,8 @@ MOST_HOT = 1000
 CHUNK = 1000
 #: Anywhere in a text: letters of the words whose least hash in so many neighbours picks a suffix, and the least common prefix.
 WORD, NEAR, LEAST = 16, 17, 24
+#: Symbols that are kept of those suffixes.
+WIDE = 48
 #: Parts into which the held-out side of a hot word is spread.
 PARTS_OF_HOT = 64
 
@@ -40,21 +42,29 @@ def least_span(length: int, threshold: float) -> tuple[int, int]:
     """A span s and a number x: two texts of identity ``threshold``, the longer of ``length`` symbols, share more than x blocks.
 
     Blocks are the spans of s symbols that start at multiples of s. Texts with at most m unequal places have x + 1 equal
-    blocks among any m + 1 + x. There are as many as MOST_EXTRA extra blocks as long as that costs one symbol of s at most.
+    blocks among any m + 1 + x. s is chosen for x = 1 if that costs one symbol at most, and from 16 on in steps of an
+    eighth, so that texts of similar length share their s; x is what the blocks then allow.
     """
     unequal = max(0, int(np.floor((1.0 - threshold) * length + 1e-9)))
     widest = max(1, length // (unequal + 1))
-    for extra in range(MOST_EXTRA, 0, -1):
-        span = length // (unequal + 1 + extra)
-        if span >= max(1, widest - 1):
-            return span, extra
-    return widest, 0
+    span = length // (unequal + 2)
+    span = span if span >= max(1, widest - 1) else widest
+    if span >= 16:
+        span -= span % max(1, 1 << (span.bit_length() - 4))
+    return span, min(MOST_EXTRA, length // span - unequal - 1)
 
 
 def grids_of(length: int, threshold: float) -> list[tuple[int, int]]:
-    """Spans and extras under which a text must be listed: its own as the longer of a pair, and those of possible longer ones."""
+    """Spans under which a text must be listed: its own as the longer of a pair, and those of possible longer ones.
+
+    With each comes the number of blocks that it may leave out, whatever the length of the other text.
+    """
     most = int(np.floor(length / threshold + 1e-9)) if threshold > 0 else length
-    return sorted({least_span(n, threshold) for n in range(length, most + 1)})
+    found: dict[int, int] = {}
+    for n in range(length, most + 1):
+        span, extra = least_span(n, threshold)
+        found[span] = min(extra, found.get(span, extra))
+    return sorted(found.items())
 
 
 def split_members(sequences: DataFrame, splits: DataFrame, configs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -138,7 +148,7 @@ def _placed(batch: pa.RecordBatch) -> Iterator[tuple]:
         pos = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * span
         start = edges[owner] + pos
         with np.errstate(over="ignore"):
-            seed = data[owner] ^ (pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(span * 16 + extra)
+            seed = data[owner] ^ (pos.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(span)
         yield owner, pos, span, extra, _hashes(letters, start, span, seed).view(np.int64), lambda use, s=start, o=owner: _heads(letters, s[use], edges[o[use] + 1])
 
 
@@ -230,9 +240,9 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     out = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "suffix"}
     column = batch.column("suffix").cast(pa.binary())
-    data = np.frombuffer(column.buffers()[2], np.uint8) if batch.num_rows else np.zeros(0, np.uint8)
-    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if batch.num_rows else 0
-    out["suffix"] = data[first : first + batch.num_rows * SUFFIX].reshape(-1, SUFFIX)
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    first, second = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 2]
+    out["suffix"] = data[first : first + batch.num_rows * (second - first)].reshape(batch.num_rows, -1)
     return out
 
 
@@ -343,7 +353,7 @@ def _content_suffixes(hot: list[int]):
                 owner = np.searchsorted(edges, starts, "right") - 1
                 data = np.array([hash_text(d) for d in batch.column("dataset_id").to_pylist()], np.uint64)
                 block = _hashes(letters, starts, WORD, data[owner]).view(np.int64)
-                heads = _heads(letters, starts, edges[owner + 1])
+                heads = _heads(letters, starts, edges[owner + 1], WIDE)
                 classes = batch.column("class_id").to_numpy()
                 is_hot = np.isin(block, known)
                 for train in (True, False):
