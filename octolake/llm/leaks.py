@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from uuid import uuid4
 
 import numpy as np
@@ -56,24 +56,36 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def fingerprints(windows: np.ndarray) -> np.ndarray:
-    """SimHash of windows (rows of word hashes): the sign of the weighted sum of the words' bits, as uint64."""
-    n, width = windows.shape
-    out = np.zeros(n, np.uint64)
-    step = max(1, 200_000 // max(1, width))
-    for lo in range(0, n, step):
-        some = windows[lo : lo + step]
-        word, place = np.unique(some, return_inverse=True)
-        bits = np.unpackbits(mixed(word).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int16)
-        signed = (2 * bits - 1) * weights_of(word).astype(np.int16)[:, None]
-        place = place.reshape(some.shape)
-        total = np.zeros((len(some), 64), np.int32)
-        for i in range(width):
-            total += signed[place[:, i]]
-        out[lo : lo + step] = np.packbits(total > 0, axis=1).view(np.uint64).ravel()
+def running_bits(hashes: np.ndarray) -> np.ndarray:
+    """Per bit the weighted sum of the signs of the words' bits before each place: any window is a difference of two rows."""
+    bits = np.unpackbits(mixed(hashes).view(np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+    signed = (2 * bits - 1) * weights_of(hashes).astype(np.int8)[:, None]
+    out = np.zeros((len(hashes) + 1, 64), np.int32)
+    np.cumsum(signed, axis=0, dtype=np.int32, out=out[1:])
     return out
 
 
+def fingerprints(running: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of windows of ``width`` words: the sign of the weighted sum of the words' bits, as uint64."""
+    out = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(starts), 100_000):
+        some = starts[lo : lo + 100_000]
+        out[lo : lo + 100_000] = np.packbits(running[some + width] > running[some], axis=1).view(np.uint64).ravel()
+    return out
+
+
+def pair_keys(hashes: np.ndarray) -> np.ndarray:
+    """A 64-bit key of every two successive words."""
+    return mixed(mixed(hashes[:-1]) ^ hashes[1:])
+
+
+def among(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted array, and whether they stand in it."""
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), bool)
+
+
 def shingle_keys(hashes: np.ndarray) -> np.ndarray:
     """A 64-bit key of every SHINGLE successive words."""
     n = len(hashes) - SHINGLE + 1
@@ -129,72 +141,73 @@ class HammingIndex:
 
 
 class PassageIndex:
-    """The passages of one block: their words, their item-sized windows, and their parts."""
+    """The passages of one block: their pairs of words and shingles, their item-sized windows, and their parts."""
 
     def __init__(self, passages: list[tuple[int, str]]) -> None:
         code = _Words()
         items = [(p, h) for p, h in ((p, code.coded(t)) for p, t in passages) if len(h)]
         self.ids = np.array([p for p, _ in items], np.int64)
-        self.words = [h for _, h in items]
-        self.size = np.array([len(h) for h in self.words], np.int64)
-        self.vocabulary = np.unique(np.concatenate(self.words)) if items else np.zeros(0, np.uint64)
+        self.size = np.array([len(h) for _, h in items], np.int64)
+        self.words = np.concatenate([h for _, h in items]) if items else np.zeros(0, np.uint64)
+        self.first = np.concatenate([[0], np.cumsum(self.size)]).astype(np.int64)
+        owner = np.repeat(np.arange(len(items)), self.size)
+        self.pairs = np.unique(pair_keys(self.words)[owner[1:] == owner[:-1]])
+        self.keys = shingle_keys(self.words)
+        self.shingles = np.unique(self.keys)
+        running = running_bits(self.words)
         self.parts: dict[int, tuple[np.ndarray, ...]] = {}
         self.whole: dict[int, tuple] = {}
-        sizes: dict[int, list[tuple[int, int]]] = {}
-        widths: dict[int, list[int]] = {}
+        for w in np.unique(np.minimum(self.size, PART)).tolist():
+            n = np.where(np.minimum(self.size, PART) == w, self.size - w + 1, 0)
+            item = np.repeat(np.arange(len(items)), n)
+            at = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+            fp = fingerprints(running, self.first[item] + at, w)
+            order = np.argsort(fp, kind="stable")
+            self.parts[w] = (fp[order], item[order], at[order])
+        sizes: dict[int, set[tuple[int, int]]] = {}
         for i, n in enumerate(self.size.tolist()):
-            widths.setdefault(min(PART, n), []).append(i)
             if n > PART:
                 w = window_size(n)
-                sizes.setdefault(w, []).extend({(i, 0), (i, n - w)})
-        for w, who in widths.items():
-            windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(self.words[i], w) for i in who])
-            item = np.repeat(who, [len(self.words[i]) - w + 1 for i in who])
-            at = np.concatenate([np.arange(len(self.words[i]) - w + 1) for i in who])
-            fp = fingerprints(windows)
-            order = np.argsort(fp, kind="stable")
-            self.parts[w] = (fp[order], windows[order], item[order], at[order])
-        for w, who in sizes.items():
-            windows = np.stack([self.words[i][a : a + w] for i, a in who])
-            least = int(np.ceil(SIMILARITY * weights_of(windows).sum(1).min()))
-            self.whole[w] = (HammingIndex(fingerprints(windows)), windows, np.array([i for i, _ in who]), least)
+                sizes.setdefault(w, set()).update({(i, 0), (i, n - w)})
+        weight = np.concatenate([[0], np.cumsum(weights_of(self.words))])
+        for w, who in sorted(sizes.items()):
+            item, at = (np.array(x, np.int64) for x in zip(*sorted(who)))
+            start = self.first[item] + at
+            least = int(np.ceil(SIMILARITY * (weight[start + w] - weight[start]).min()))
+            self.whole[w] = (HammingIndex(fingerprints(running, start, w)), start, item, least)
 
     def search(self, hashes: np.ndarray, owner: np.ndarray) -> pd.DataFrame:
         """(doc, item, words_run, similarity) of the documents whose words are given one after another."""
-        at = np.searchsorted(self.vocabulary, hashes)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
-        seen = np.concatenate([[0], np.cumsum(known)])
-        weight = np.concatenate([[0], np.cumsum(np.where(known, weights_of(hashes), 0))])
         exact, near = [], []
-        for w, (fp, windows, item, part) in self.parts.items():
-            n = len(hashes) - w + 1
-            # only windows whose words are all words of passages can equal one
-            start = np.flatnonzero((seen[w:] - seen[:-w] == w) & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
-            if not len(start):
-                continue
-            mine = np.lib.stride_tricks.sliding_window_view(hashes, w)[start]
-            key = fingerprints(mine)
-            lo, hi = np.searchsorted(fp, key, "left"), np.searchsorted(fp, key, "right")
-            k = hi - lo
-            a = np.repeat(np.arange(len(start)), k)
-            j = np.repeat(lo, k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-            same = (mine[a] == windows[j]).all(1)
-            a, j = a[same], j[same]
-            exact.append(pd.DataFrame({"doc": owner[start[a]], "item": item[j], "at": start[a], "line": start[a] - part[j], "w": w}))
-        for w, (index, windows, item, least) in self.whole.items():
-            n = len(hashes) - w + 1
-            # a window whose known words weigh less can't hold enough of any item of this size
-            start = np.flatnonzero((weight[w:] - weight[:-w] >= least) & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
-            if not len(start):
-                continue
-            mine = np.lib.stride_tricks.sliding_window_view(hashes, w)[start]
-            a, j = index.near(fingerprints(mine))
-            share = np.array([covered_share(windows[y], mine[x]) for x, y in zip(a.tolist(), j.tolist())])
-            good = share >= SIMILARITY if len(share) else np.zeros(0, bool)
-            near.append(pd.DataFrame({"doc": owner[start[a[good]]], "item": item[j[good]], "similarity": share[good] if len(share) else share}))
-        runs = pd.concat(exact) if exact else pd.DataFrame({"doc": [], "item": [], "at": [], "line": [], "w": []}, dtype=np.int64)
-        runs = runs.sort_values(["doc", "item", "line", "at"])
+        if len(hashes) and len(self.words):
+            pair = among(pair_keys(hashes), self.pairs)[1] & (owner[1:] == owner[:-1])
+            pairs_before = np.concatenate([[0], np.cumsum(pair)])
+            beside = np.zeros(len(hashes), bool)
+            beside[1:] |= pair
+            beside[:-1] |= pair
+            weight_before = np.concatenate([[0], np.cumsum(np.where(beside, weights_of(hashes), 0))])
+            parts, whole = {}, {}
+            for w in self.parts:
+                n = len(hashes) - w + 1
+                # only windows in which all words follow each other as in passages can equal one; single words are looked up themselves
+                all_pairs = pairs_before[w - 1 : w - 1 + n] - pairs_before[:n] == w - 1 if n > 0 else np.zeros(0, bool)
+                parts[w] = np.flatnonzero(all_pairs & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
+            for w, (_, _, _, least) in self.whole.items():
+                n = len(hashes) - w + 1
+                # a window whose words beside words as in passages weigh less can't hold enough of any item of this size
+                whole[w] = np.flatnonzero((weight_before[w:] - weight_before[:-w] >= least) & (owner[w - 1 :] == owner[:n])) if n > 0 else np.zeros(0, np.int64)
+            # bits are summed over the words of such windows only
+            edge = np.zeros(len(hashes) + 1, np.int32)
+            for w, start in chain(parts.items(), whole.items()):
+                np.add.at(edge, start, 1)
+                np.add.at(edge, start + w, -1)
+            used = np.cumsum(edge[:-1]) > 0
+            place = np.concatenate([[0], np.cumsum(used)])
+            running, keys = running_bits(hashes[used]), shingle_keys(hashes)
+            exact = [self._equal(hashes, owner, fingerprints(running, place[start], w), start, w) for w, start in parts.items()]
+            near = [self._near(owner, fingerprints(running, place[start], w), keys, start, w) for w, start in whole.items()]
+        empty = pd.DataFrame({c: np.zeros(0, np.int64) for c in ("doc", "item", "at", "line", "w")})
+        runs = pd.concat([empty, *exact]).sort_values(["doc", "item", "line", "at"])
         new = runs[["doc", "item", "line"]].diff().ne(0).any(axis=1) | runs["at"].diff().ne(1)
         runs = runs.assign(run=new.cumsum()).groupby(["doc", "item", "run"]).agg(n=("at", "size"), w=("w", "first")).reset_index()
         runs["words_run"] = runs["n"] + runs["w"] - 1
@@ -204,15 +217,42 @@ class PassageIndex:
             out = pd.concat([out, pd.concat(near).assign(words_run=0)]).groupby(["doc", "item"]).max().reset_index()
         return out
 
-
-def covered_share(item: np.ndarray, window: np.ndarray) -> float:
-    """The weighted share of an item's words that stand in shingles which the window holds too."""
-    shared = np.isin(shingle_keys(item), shingle_keys(window))
-    inside = np.zeros(len(item), bool)
-    for i in range(SHINGLE):
-        inside[i : i + len(shared)] |= shared
-    weight = weights_of(item)
-    return float(weight[inside].sum() / weight.sum())
+    def _equal(self, hashes: np.ndarray, owner: np.ndarray, key: np.ndarray, start: np.ndarray, w: int) -> pd.DataFrame:
+        """Windows with a part's fingerprint and words."""
+        fp, item, part = self.parts[w]
+        lo, hi = np.searchsorted(fp, key, "left"), np.searchsorted(fp, key, "right")
+        k = hi - lo
+        a = np.repeat(start, k)
+        j = np.repeat(lo, k) + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+        same = np.ones(len(a), bool)
+        for i in range(w):
+            same &= hashes[a + i] == self.words[self.first[item[j]] + part[j] + i]
+        a, j = a[same], j[same]
+        return pd.DataFrame({"doc": owner[a], "item": item[j], "at": a, "line": a - part[j], "w": w})
+
+    def _near(self, owner: np.ndarray, key: np.ndarray, keys: np.ndarray, start: np.ndarray, w: int) -> pd.DataFrame:
+        """Windows within RADIUS bits of an item-sized one that hold enough of its words in shingles."""
+        index, first, item, _ = self.whole[w]
+        a, j = index.near(key)
+        share = np.zeros(len(a))
+        for lo in range(0, len(a), 20_000):
+            at, of = start[a[lo : lo + 20_000]], first[j[lo : lo + 20_000]]
+            share[lo : lo + 20_000] = self.covered_share(keys, at, of, w)
+        good = share >= SIMILARITY
+        return pd.DataFrame({"doc": owner[start[a[good]]], "item": item[j[good]], "similarity": share[good]})
+
+    def covered_share(self, keys: np.ndarray, at: np.ndarray, of: np.ndarray, w: int) -> np.ndarray:
+        """The weighted share of items' words that stand in shingles which the windows from ``at`` hold too."""
+        m = w - SHINGLE + 1
+        row = np.arange(len(at))[:, None] * np.int64(len(self.shingles))
+        mine, known = among(keys[at[:, None] + np.arange(m)], self.shingles)
+        theirs = np.searchsorted(self.shingles, self.keys[of[:, None] + np.arange(m)])
+        shared = np.isin(theirs + row, (mine + row)[known])
+        inside = np.zeros((len(at), w), bool)
+        for i in range(SHINGLE):
+            inside[:, i : i + m] |= shared
+        weight = weights_of(self.words[of[:, None] + np.arange(w)])
+        return (weight * inside).sum(1) / weight.sum(1)
 
 
 _KEPT: OrderedDict[str, PassageIndex] = OrderedDict()
