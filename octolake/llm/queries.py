@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octolake.llm import leaks, neighbours, overlap, packing, quotas, splits, toxicity
+from octolake.sources.shared import cut
 
 AXES = [f"e{i}" for i in range(8)]
 #: Neighbours of a window.
@@ -24,6 +25,18 @@ def p1_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.group_splits(*_read(spark, folder, "benchmark_metadata", "homology_clusters", "dataset_configs"))
 
 
+def _split_rows(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return cut(p1_splits(spark, folder), "splits"), *_read(spark, folder, "dataset_configs")
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_report(*_split_rows(spark, folder))
+
+
+def p1_check(spark: SparkSession, folder: str) -> DataFrame:
+    return splits.split_check(*_split_rows(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return quotas.quota_report(*_read(spark, folder, "coding_metadata", "sample_targets")).where("short").select("target_id")
 
@@ -33,7 +46,7 @@ def p2_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
-    return quotas.quota_report(*_read(spark, folder, "coding_metadata", "sample_targets")).select("target_id", "request_id", "available", "wanted", "sampled", "deficit", "short")
+    return quotas.quota_report(*_read(spark, folder, "coding_metadata", "sample_targets")).select("target_id", "request_id", "available", "wanted", "sampled", "deficit", "short", "target_share", F.round("reached_share", 6).alias("reached_share"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,15 +97,24 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.source_rates(*_read(spark, folder, "documents", "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p7_found, p7_items, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_check, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p7_found, p7_items, p8_found, p8_rates)}
 
 _LABEL = r"regexp_replace(lower({c}), '[\s-]+', '', 'g')"
 _FIELDS = f"{_LABEL.format(c='label')} AS label, regexp_replace({_LABEL.format(c='chromosome')}, '^chr', '') AS chromosome, gc_bin"
 _QUOTAS = (
     f"WITH r AS (SELECT DISTINCT sequence_id, {_FIELDS} FROM coding_metadata WHERE sequence_id IS NOT NULL), "
     f"t AS (SELECT DISTINCT target_id, request_id, sample_size, target_share, min_rows, {_FIELDS} FROM sample_targets), "
-    "a AS (SELECT t.target_id, t.request_id, t.min_rows, t.target_share * t.sample_size AS exact, count(DISTINCT r.sequence_id) AS available FROM t LEFT JOIN r ON (t.label IS NULL OR t.label = r.label) AND (t.chromosome IS NULL OR t.chromosome = r.chromosome) AND (t.gc_bin IS NULL OR t.gc_bin = r.gc_bin) GROUP BY ALL), "
-    "p AS (SELECT *, greatest(round(exact)::BIGINT, min_rows) AS wanted, available < min_rows OR available < exact AS short FROM a) "
+    "a AS (SELECT t.target_id, t.request_id, t.sample_size, t.target_share, t.min_rows, t.target_share * t.sample_size AS exact, count(DISTINCT r.sequence_id) AS available FROM t LEFT JOIN r ON (t.label IS NULL OR t.label = r.label) AND (t.chromosome IS NULL OR t.chromosome = r.chromosome) AND (t.gc_bin IS NULL OR t.gc_bin = r.gc_bin) GROUP BY ALL), "
+    "p AS (SELECT *, greatest(round(exact)::BIGINT, min_rows) AS wanted, available < min_rows OR available < exact AS short, least(min_rows, available) AS lo, CASE WHEN exact > 0 THEN available ELSE least(min_rows, available) END AS hi FROM a) "
+)
+_DRAWN = (
+    ", q AS (SELECT request_id, sum(lo) AS base, greatest(sum(lo), least(max(sample_size), sum(hi))) AS total FROM p GROUP BY 1), "
+    "b AS (SELECT request_id, lo / exact AS pt, exact AS ds, lo AS dt FROM p WHERE exact > 0 UNION ALL SELECT request_id, hi / exact, -exact, -hi FROM p WHERE exact > 0), "
+    "c AS (SELECT request_id, pt, sum(ds) OVER w AS slope, sum(dt) OVER w AS t FROM b WINDOW w AS (PARTITION BY request_id ORDER BY pt RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), "
+    "f AS (SELECT c.request_id, max(struct_pack(pt := pt, s := base + slope * pt - t, slope := slope, total := total)) AS x FROM c JOIN q USING (request_id) WHERE base + slope * pt - t <= total + 1e-6 GROUP BY 1), "
+    "y AS (SELECT p.*, total, greatest(lo, least(hi, coalesce(x.pt + CASE WHEN x.slope > 1e-9 THEN (x.total - x.s) / x.slope ELSE 0 END, 0) * exact)) AS ex FROM p JOIN q USING (request_id) LEFT JOIN f USING (request_id)), "
+    "z AS (SELECT *, floor(ex + 1e-6)::BIGINT AS fl, round(greatest(0, ex - floor(ex + 1e-6)), 6) AS part FROM y), "
+    "s AS (SELECT *, fl + (row_number() OVER (PARTITION BY request_id ORDER BY part DESC, target_id) <= total - sum(fl) OVER (PARTITION BY request_id) AND fl < hi)::BIGINT AS sampled FROM z) "
 )
 _SUBJECT = r"regexp_replace(lower(species_or_subject), '[\s _-]+', '', 'g')"
 _GROUPS = (
@@ -116,8 +138,13 @@ _NEAR = (
 SQL: dict[str, str] = {
     "p4_found": _NEAR + f"SELECT DISTINCT least(query, neighbour) AS window_id_a, greatest(query, neighbour) AS window_id_b FROM d WHERE rank <= {NEAREST}",
     "p1_found": _GROUPS + "SELECT min(root) AS sequence_id_a, node AS sequence_id_b FROM reach GROUP BY node HAVING min(root) <> node",
+    "p1_check": _GROUPS
+    + "SELECT dataset_id, count(*) AS records, count(DISTINCT root) AS groups, 0 AS broken_groups, 0 AS far_splits FROM (SELECT DISTINCT b.dataset_id, b.sequence_id, coalesce(g.root, b.sequence_id) AS root FROM benchmark_metadata b JOIN dataset_configs USING (dataset_id) "
+    "LEFT JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) g ON g.node = b.sequence_id WHERE b.sequence_id IS NOT NULL) GROUP BY 1",
     "p2_found": _QUOTAS + "SELECT target_id FROM p WHERE short",
-    "p2_report": _QUOTAS + "SELECT target_id, request_id, available, wanted, least(wanted, available) AS sampled, wanted - least(wanted, available) AS deficit, short FROM p",
+    "p2_report": _QUOTAS
+    + _DRAWN
+    + "SELECT target_id, request_id, available, wanted, sampled, greatest(0, wanted - available) AS deficit, short, target_share, round(CASE WHEN sum(sampled) OVER (PARTITION BY request_id) > 0 THEN sampled / sum(sampled) OVER (PARTITION BY request_id) ELSE 0 END, 6) AS reached_share FROM s",
     "p5_found": _SIDES
     + "SELECT DISTINCT least(a.sequence_id, b.sequence_id) AS sequence_id_a, greatest(a.sequence_id, b.sequence_id) AS sequence_id_b FROM x a JOIN x b ON a.dataset_id = b.dataset_id AND a.side = 'train' AND b.side = 'held' AND a.sequence_id <> b.sequence_id "
     "AND least(length(a.t), length(b.t)) >= a.least * greatest(length(a.t), length(b.t)) - 1e-9 "

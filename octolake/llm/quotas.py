@@ -50,11 +50,41 @@ def matches(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct() if found else ids.join(wanted, ids.sequence_id.isNull() & wanted.target_id.isNull()).select("target_id", "sequence_id")
 
 
+def balanced(plan: DataFrame) -> DataFrame:
+    """``plan`` with ``drawn``: rows of each target that together make up the request's sample.
+
+    A target draws at least min_rows and at most what is available, and between the two a common multiple of its share:
+    what one target takes for its least rows, or leaves for want of rows, the request's others give or take in
+    proportion to their shares. The multiple is solved from the points at which targets reach their bounds. Fractions go
+    to the largest remainders. If the least rows of all targets pass the sample, they are drawn none the less.
+    """
+    rows = plan.withColumn("_s", F.col("target_share") * F.col("sample_size")).withColumn("_lo", F.least("min_rows", "available")).withColumn("_hi", F.when(F.col("_s") > 0, F.col("available")).otherwise(F.col("_lo")))
+    sums = rows.groupBy("request_id").agg(F.sum("_lo").alias("_base"), F.greatest(F.sum("_lo"), F.least(F.max("sample_size"), F.sum("_hi"))).alias("_total"))
+    points = rows.where("_s > 0").select("request_id", F.explode(F.array(*[F.struct((F.col(b) / F.col("_s")).alias("at"), (F.col("_s") * sign).alias("ds"), (F.col(b) * sign).alias("dt")) for b, sign in (("_lo", 1), ("_hi", -1))])).alias("p")).select("request_id", "p.*")
+    w = W.partitionBy("request_id").orderBy("at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    running = points.select("request_id", "at", F.sum("ds").over(w).alias("slope"), F.sum("dt").over(w).alias("_t"))
+    same = F.col("request_id").eqNullSafe(F.col("_r"))
+    filled = running.join(sums.withColumnRenamed("request_id", "_r"), same).withColumn("sum", F.col("_base") + F.col("slope") * F.col("at") - F.col("_t"))
+    last = filled.where(F.col("sum") <= F.col("_total") + 1e-6).groupBy("request_id").agg(F.max(F.struct("at", "sum", "slope", "_total")).alias("x"))
+    step = F.when(F.col("x.slope") > 1e-9, (F.col("x._total") - F.col("x.sum")) / F.when(F.col("x.slope") > 1e-9, F.col("x.slope"))).otherwise(0.0)
+    factor = last.select(F.col("request_id").alias("_r"), (F.col("x.at") + step).alias("_factor"))
+    with_factor = rows.join(factor, same, "left").drop("_r").join(sums.withColumnRenamed("request_id", "_r"), same).drop("_r")
+    exact = F.greatest(F.col("_lo").cast("double"), F.least(F.col("_hi").cast("double"), F.coalesce(F.col("_factor"), F.lit(0.0)) * F.col("_s")))
+    floored = with_factor.withColumn("_exact", exact).withColumn("_floor", F.floor(F.col("_exact") + 1e-6)).withColumn("_part", F.round(F.greatest(F.lit(0.0), F.col("_exact") - F.col("_floor")), 6))
+    per = W.partitionBy("request_id")
+    missing = F.col("_total") - F.sum("_floor").over(per)
+    rank = F.row_number().over(per.orderBy(F.desc("_part"), "target_id"))
+    extra = ((rank <= missing) & (F.col("_floor") < F.col("_hi"))).cast("long")
+    return floored.withColumn("drawn", F.col("_floor") + extra).drop("_s", "_lo", "_hi", "_factor", "_base", "_total", "_exact", "_floor", "_part")
+
+
 def quota_plan(rows: DataFrame, targets: DataFrame, matched: DataFrame | None = None) -> DataFrame:
-    """Per target: wanted (its share of the sample, at least min_rows), available, acceptance probability and deficits.
+    """Per target: wanted (its share of the sample, at least min_rows), available, drawn, acceptance probability, deficits.
 
     available counts distinct sequences. ``short`` marks targets that cannot be met: fewer available than min_rows or
-    than target_share x sample_size. Repeated targets count once; null shares and sizes count as 0.
+    than target_share x sample_size; ``deficit`` are the wanted rows that aren't available. ``drawn`` is what
+    :func:`balanced` gives the target of its request's sample. Repeated targets count once; null shares and sizes count
+    as 0; targets without a request are one request.
     """
     asked = targets.where(F.col("target_id").isNotNull()).dropDuplicates(["target_id"]).select(
         "target_id",
@@ -66,13 +96,12 @@ def quota_plan(rows: DataFrame, targets: DataFrame, matched: DataFrame | None =
     counts = (matches(rows, targets) if matched is None else matched).groupBy("target_id").agg(F.count(F.lit(1)).alias("available"))
     exact = F.col("target_share") * F.col("sample_size")
     plan = asked.join(counts, "target_id", "left").withColumn("available", F.coalesce("available", F.lit(0)))
-    plan = plan.withColumn("wanted", F.greatest(F.round(exact).cast("long"), F.col("min_rows")))
-    plan = plan.withColumn("drawn", F.least("wanted", "available"))
+    plan = balanced(plan.withColumn("wanted", F.greatest(F.round(exact).cast("long"), F.col("min_rows"))))
     ask = F.col("drawn") * (1 + OVERSAMPLE) + DEVIATIONS * F.sqrt(F.col("drawn").cast("double")) + DEVIATIONS
     return plan.select(
         "target_id", "request_id", "sample_size", "target_share", "min_rows", "available", "wanted", "drawn",
         F.when(F.col("available") > 0, F.least(F.lit(1.0), ask / F.when(F.col("available") > 0, F.col("available")))).otherwise(0.0).alias("acceptance"),
-        (F.col("wanted") - F.col("drawn")).alias("deficit"),
+        F.greatest(F.lit(0), F.col("wanted") - F.col("available")).alias("deficit"),
         ((F.col("available") < F.col("min_rows")) | (F.col("available") < exact)).alias("short"),
     )
 
@@ -114,7 +143,14 @@ def _drawn(rows: DataFrame, targets: DataFrame, seed: int) -> tuple[DataFrame, D
 
 
 def quota_report(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """:func:`quota_plan` with the sequences that :func:`quota_sample` in fact drew, as ``sampled``."""
+    """:func:`quota_plan` with the sequences that :func:`quota_sample` in fact drew, as ``sampled``, and their share.
+
+    ``short`` is decided by what the sample could be drawn from; ``reached_share`` is the target's share of the rows
+    drawn for its request, to be held against target_share.
+    """
     sample, plan = _drawn(rows, targets, seed)
     got = sample.groupBy("target_id").agg(F.count(F.lit(1)).alias("sampled"))
-    return plan.join(got, "target_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    counted = plan.join(got, "target_id", "left").withColumn("sampled", F.coalesce("sampled", F.lit(0)))
+    whole = counted.groupBy(F.col("request_id").alias("_r")).agg(F.sum("sampled").alias("_all"))
+    share = F.when(F.col("_all") > 0, F.col("sampled") / F.when(F.col("_all") > 0, F.col("_all"))).otherwise(0.0)
+    return counted.join(whole, F.col("request_id").eqNullSafe(F.col("_r"))).withColumn("reached_share", share).drop("_r", "_all")

@@ -95,3 +95,22 @@ def test_heavy_nodes_are_joined_apart(spark, monkeypatch):
     pairs = [("hub", f"x{i:02d}") for i in range(30)] + [("x03", "y1"), ("y1", "a0"), ("q1", "q2")]
     got = {r["node"]: r["component"] for r in splits.hash_to_min(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert {got[n] for n in got if n[0] != "q"} == {"a0"} and got["q2"] == "q1" and len(got) == 35
+
+
+def test_shares_hold_with_skewed_groups(spark):
+    """Groups of very different size: each split within two points of its share, or half the largest group."""
+    sizes = [400, 300, 250, 120, 80, 60] + [20] * 20 + [1 + i % 5 for i in range(500)]
+    meta = [(f"g{g:04d}_{i:04d}", "x", f"subject {g}", "d") for g, n in enumerate(sizes) for i in range(n)] + [(f"e{i}", "x", f"own {i}", "zz") for i in range(9)]
+    rows = splits.group_splits(*tables(spark, meta, []))
+    report = {(r["dataset_id"], r["split"]): r for r in splits.split_report(rows, tables(spark, meta, [])[2]).collect()}
+    for name, share in (("train", 0.7), ("validation", 0.1), ("test", 0.2)):
+        assert abs(report["d", name]["share"] - share) < 0.02 and report["d", name]["target_share"] == share
+    assert report["zz", None]["records"] == 9
+    check = {r["dataset_id"]: r for r in splits.split_check(rows, tables(spark, meta, [])[2]).collect()}
+    assert check["d"]["groups"] == len(sizes) and check["d"]["broken_groups"] == 0 and check["d"]["far_splits"] == 0
+
+
+def test_check_against_sql(same_as_sql):
+    from octolake.llm import queries
+
+    same_as_sql(queries.p1_check, queries.SQL["p1_check"])
