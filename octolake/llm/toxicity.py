@@ -10,31 +10,31 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octolake.llm.words import KEYED, folding
+from octolake.sources.shared import cut
 
-#: Documents that the model is fitted on and its threshold is set on, chosen by a hash of doc_id. All else covers all data.
-MOST_CONFIRMED, MOST_UNLABELLED, MOST_CLEARED = 2400, 2500, 1200
-#: Share of the confirmed documents that only set the threshold.
-HELD_OUT = 0.3
+#: Documents that a model is fitted on: confirmed ones, and unlabelled ones that are drawn from the whole corpus, both
+#: chosen by a hash of doc_id. Priors of documents, thresholds and rates come from all documents and all labels.
+MOST_CONFIRMED, MOST_UNLABELLED = 2400, 2500
 #: Words of a window, and words between the windows of confirmed texts that are trained on (unlabelled ones: WINDOW).
 WINDOW, STRIDE = 6, 3
 #: Hashed features.
 BITS = 18
 SIZE = 1 << BITS
 #: A feature counts if so many of the documents fitted on have it.
-LEAST_DOCS = 6
+LEAST_DOCS = 3
 #: Step size where the corrected risk of the unlabelled windows is negative.
 DISCOUNT = 0.1
-#: Class priors: of the windows of confirmed texts, which are toxic in a few places only, and of toxic windows among the
-#: unlabelled ones (about 3 % of the texts, two or three windows in a hundred of such a text).
-FIRST_PRIOR, PRIOR = 0.002, 0.0004
-#: Share of toxic texts in a corpus, for which the threshold is set.
-TOXIC_SHARE = 0.03
+#: Class prior of the first fit, which takes all windows of confirmed texts as positive and only has to part them
+#: roughly; from then on priors are estimated, within these bounds.
+FIRST_PRIOR, LEAST_PRIOR, MOST_PRIOR = 0.002, 2e-5, 0.2
 #: What an unlabelled text above the parting weighs against a confirmed one.
 WRONG = 1.5
+#: Scores are counted in steps of this size up to this distance from 0.
+STEP, FARTHEST = 0.1, 80.0
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНαεορυκντιΑΕΟΡΥΚΝΤΙΒΗΜΖ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHaeopukvtiAEOPYKNTIBHMZ")
@@ -124,13 +124,12 @@ class Lexicon:
 
 @dataclass
 class Model:
-    """score = bias + word weights + weights of neighbouring words, summed over a window; toxic from ``threshold``."""
+    """score = bias + word weights + weights of neighbouring words, summed over a window."""
 
     words: np.ndarray
     pairs: np.ndarray
     bias: float
-    threshold: float = 0.0
-    held_out_f1: float = float("nan")
+    prior: float = float("nan")
 
 
 def _windows(n: int, stride: int) -> np.ndarray:
@@ -155,7 +154,7 @@ class _Bag:
 
 
 def _known(bags: list[_Bag], lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Which word and pair features stand in at least LEAST_DOCS documents: rarer ones would be learned by heart."""
+    """Which word and pair features stand in at least LEAST_DOCS documents of the bags: rarer ones would be learned by heart."""
     entry_row, entry_feature, _, own = lexicon.arrays()
     start = np.searchsorted(entry_row, np.arange(len(own) + 1))
     hashes = np.append(own, 0)
@@ -236,19 +235,20 @@ def _best(owner: np.ndarray, z: np.ndarray, docs: int) -> np.ndarray:
     return best
 
 
-def train(confirmed: list[str], unlabelled: list[str], cleared: list[str]) -> Model:
-    """Fit on confirmed toxic and unlabelled texts; set the threshold on texts of both kinds that were not fitted on.
+def train(confirmed: list[str], unlabelled: list[str]) -> Model | None:
+    """Fit on confirmed toxic and unlabelled texts; None with fewer than two confirmed or no unlabelled texts.
 
     A confirmed text is toxic somewhere only. The first fits take all its windows as positive; the next ones take the
     windows that were scored highest in each text, and leave out texts whose best window looks like unlabelled ones, for
     readers err. Windows of one half of the texts are scored by a fit on the other half, so no text speaks for itself.
+    The prior of toxic windows is estimated from those scores: the share of unlabelled texts above the parting against
+    that of confirmed ones, times the toxic windows of such a text, over the windows of a text.
     """
     lexicon = Lexicon()
-    held = int(len(confirmed) * HELD_OUT)
-    coded = [[lexicon.coded(spelled(tokens(t))) for t in texts] for texts in (confirmed[held:], unlabelled)]
+    coded = [[c for c in (lexicon.coded(spelled(tokens(t))) for t in texts) if c] for texts in (confirmed, unlabelled)]
     pos, unl = _Bag(coded[0], lexicon, STRIDE), _Bag(coded[1], lexicon, WINDOW)
     if len(coded[0]) < 2 or not len(unl.rows):
-        return Model(np.zeros(SIZE), np.zeros(SIZE), 0.0, np.inf)
+        return None
     known = _known([pos, unl], lexicon)
     half = pos.owner % 2
     chosen = np.ones(len(pos.rows), bool)
@@ -256,15 +256,20 @@ def train(confirmed: list[str], unlabelled: list[str], cleared: list[str]) -> Mo
     for rounds in (30, 40):
         z, z_unl = np.full(len(pos.rows), -np.inf), np.zeros((2, len(unl.rows)))
         for side in (0, 1):
-            fitted = _fit(pos.rows[chosen & (half == side)], unl.rows, lexicon, known, prior, rounds)
+            mine = chosen & (half == side)
+            fitted = _fit(pos.rows[mine if mine.any() else half == side], unl.rows, lexicon, known, prior, rounds)
             z[half != side] = score_rows(fitted, pos.rows[half != side], lexicon)
             z_unl[1 - side] = score_rows(fitted, unl.rows, lexicon)
         best = _best(pos.owner, z, len(coded[0]))
-        usual = np.array([_parting(best[np.arange(len(best)) % 2 == side], _best(unl.owner, z_unl[side], len(coded[1]))) for side in (0, 1)])
-        prior = PRIOR
+        best_unl = [_best(unl.owner, z_unl[side], len(coded[1])) for side in (0, 1)]
+        usual = np.array([_parting(best[np.arange(len(best)) % 2 == side], best_unl[side]) for side in (0, 1)])
         chosen = (z >= best[pos.owner] - 1.0) & (z >= usual[half])
+        above = best >= usual[np.arange(len(best)) % 2]
+        docs = np.mean([np.mean(b >= u) for b, u in zip(best_unl, usual)]) / max(0.05, above.mean())
+        windows = chosen.sum() / max(1, above.sum()) * STRIDE / WINDOW
+        prior = float(np.clip(docs * windows * len(coded[1]) / len(unl.rows), LEAST_PRIOR, MOST_PRIOR))
     model = _fit(pos.rows[chosen], unl.rows, lexicon, known, prior, 90)
-    model.threshold, model.held_out_f1 = _threshold(doc_scores(model, confirmed[:held]), doc_scores(model, cleared))
+    model.prior = prior
     return model
 
 
@@ -275,62 +280,66 @@ def _parting(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(cuts[np.argmax(above(positive) - WRONG * above(unlabelled))])
 
 
-def _threshold(toxic: np.ndarray, clear: np.ndarray) -> tuple[float, float]:
-    """The middle of the scores whose F1 is within 0.01 of the best, and the best F1. 0 without examples.
+def best_share(corpus: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """The share of the corpus to flag for the best F1, and the estimated share of toxic documents.
 
-    Toxic texts are far more frequent among those that readers saw than in the corpus, so cleared texts are weighted to
-    make up 1 - TOXIC_SHARE of the sample.
+    ``corpus`` and ``toxic`` are counts of documents by steps of the score, from the lowest on: of all documents, and of
+    confirmed ones that the model wasn't fitted on. At the step that parts both best, what the corpus has above is taken
+    for the share of toxic documents, and what confirmed ones have below for readers' errors; hits are the recall of the
+    others times that share. Of the steps whose F1 is within 0.01 of the best the middle one is taken. (0, 0) without
+    documents.
     """
-    if not len(toxic) or not len(clear):
-        return 0.0, float("nan")
-    cuts = np.unique(np.concatenate([toxic, clear]))
-    cuts = np.concatenate([cuts, (cuts[1:] + cuts[:-1]) / 2]) if len(cuts) > 1 else cuts
-    cuts = np.unique(cuts[np.isfinite(cuts)])
-    hits = len(toxic) - np.searchsorted(np.sort(toxic), cuts)
-    wrong = len(clear) - np.searchsorted(np.sort(clear), cuts)
-    weight = max(1.0, (1 - TOXIC_SHARE) / TOXIC_SHARE * len(toxic) / len(clear))
-    f1 = 2 * hits / (len(toxic) + hits + weight * wrong)
-    good = cuts[f1 >= f1.max() - 0.01]
-    return float((good[0] + good[-1]) / 2), float(f1.max())
+    if not corpus.sum() or not toxic.sum():
+        return 0.0, 0.0
+    flagged = corpus[::-1].cumsum()[::-1] / corpus.sum()
+    recall = toxic[::-1].cumsum()[::-1] / toxic.sum()
+    part = int(np.argmax(recall - flagged))
+    share = flagged[part]
+    f1 = 2 * share * np.minimum(1.0, recall / recall[part]) / (share + flagged)
+    good = np.flatnonzero(f1 >= f1.max() - 0.01)
+    return float(flagged[(good[0] + good[-1]) // 2]), float(share)
 
 
 class _Scorer:
-    """Scores texts by their best window of WINDOW words, at every word."""
+    """Scores texts by their best window of WINDOW words, at every word, with several models at once."""
 
-    def __init__(self, model: Model) -> None:
-        self.model = model
+    def __init__(self, models: list[Model]) -> None:
+        self.models = models
         self.reset()
 
     def reset(self) -> None:
         self.lexicon = Lexicon()
-        self.word, self.hash = np.zeros(0), np.zeros(0, np.int64)
+        self.word, self.hash = np.zeros((len(self.models), 0)), np.zeros(0, np.int64)
 
     def many(self, texts: list[str]) -> np.ndarray:
+        """A row of scores for each model; -inf for wordless texts."""
         if len(self.lexicon.ids) > 400_000:
             self.reset()
         coded = [self.lexicon.coded(spelled(tokens(t))) for t in texts]
-        if len(self.lexicon.features) > len(self.word):
-            row, feature, weight, own = self.lexicon.arrays(len(self.word))
-            self.word = np.append(self.word, np.bincount(row, weights=self.model.words[feature] * weight, minlength=len(own)))
+        if len(self.lexicon.features) > len(self.hash):
+            row, feature, weight, own = self.lexicon.arrays(len(self.hash))
+            self.word = np.concatenate([self.word, np.stack([np.bincount(row, weights=m.words[feature] * weight, minlength=len(own)) for m in self.models])], 1)
             self.hash = np.append(self.hash, own)
         sizes = np.array([len(c) for c in coded])
-        out = np.full(len(texts), -np.inf)
+        out = np.full((len(self.models), len(texts)), -np.inf)
         if not sizes.sum():
             return out
         ids = np.fromiter(chain.from_iterable(coded), np.int64, int(sizes.sum()))
         hashes = self.hash[ids]
-        pair = np.append(self.model.pairs[pair_features(hashes[:-1], hashes[1:])], 0.0)
-        total_word = np.concatenate([[0.0], np.cumsum(self.word[ids])])
-        total_pair = np.concatenate([[0.0], np.cumsum(pair)])
+        both = pair_features(hashes[:-1], hashes[1:])
         # a window starts at every word that has WINDOW words of its text from there on, or at a short text's first
         ends = np.cumsum(sizes)
         owner = np.repeat(np.arange(len(texts)), sizes)
         starts = np.arange(len(ids))
         last = np.minimum(starts + WINDOW, ends[owner])
         use = (last - starts == WINDOW) | (starts == (ends - sizes)[owner])
-        starts, last = starts[use], last[use]
-        z = self.model.bias + total_word[last] - total_word[starts] + total_pair[last - 1] - total_pair[starts]
-        return _best_in_order(owner[use], z, out)
+        starts, last, owner = starts[use], last[use], owner[use]
+        for i, model in enumerate(self.models):
+            total_word = np.concatenate([[0.0], np.cumsum(self.word[i, ids])])
+            total_pair = np.concatenate([[0.0], np.cumsum(model.pairs[both]), [0.0]])
+            z = model.bias + total_word[last] - total_word[starts] + total_pair[last - 1] - total_pair[starts]
+            _best_in_order(owner, z, out[i])
+        return out
 
 
 def _best_in_order(owner: np.ndarray, z: np.ndarray, out: np.ndarray) -> np.ndarray:
@@ -340,8 +349,8 @@ def _best_in_order(owner: np.ndarray, z: np.ndarray, out: np.ndarray) -> np.ndar
 
 
 def doc_scores(model: Model, texts: list[str]) -> np.ndarray:
-    scorer = _Scorer(model)
-    return np.concatenate([scorer.many(texts[i : i + 200]) for i in range(0, len(texts), 200)]) if texts else np.zeros(0)
+    scorer = _Scorer([model])
+    return np.concatenate([scorer.many(texts[i : i + 200])[0] for i in range(0, len(texts), 200)]) if texts else np.zeros(0)
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -351,43 +360,99 @@ def votes(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.sum(toxic).alias("toxic"), F.sum(1 - toxic).alias("clear"))
 
 
-def fit_model(documents: DataFrame, labels: DataFrame) -> Model:
-    """Train on bounded samples of documents (see MOST_CONFIRMED, MOST_UNLABELLED, MOST_CLEARED)."""
-    known = votes(labels)
-    ids = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id")
-    ranked = ids.select("doc_id", F.xxhash64("doc_id").alias("h")).join(known, "doc_id", "left")
-    groups = {
-        "confirmed": (F.col("toxic") > F.col("clear"), MOST_CONFIRMED),
-        "cleared": ((F.col("toxic") < F.col("clear")) & (F.pmod("h", F.lit(2)) == 0), MOST_CLEARED),
-        "unlabelled": (F.col("toxic").isNull() | ((F.col("toxic") < F.col("clear")) & (F.pmod("h", F.lit(2)) == 1)), MOST_UNLABELLED),
-    }
-    chosen = [ranked.where(rule).orderBy("h", "doc_id").limit(most).select("doc_id", F.lit(name).alias("kind"), "h") for name, (rule, most) in groups.items()]
-    few = chosen[0].unionByName(chosen[1]).unionByName(chosen[2]).dropDuplicates(["doc_id"])
-    table = documents.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").toArrow().to_pandas()  # bounded by the three limits
-    table = table.sort_values(["h", "doc_id"]).drop_duplicates("doc_id")
-    texts = {k: table.loc[table["kind"] == k, "text"].tolist() for k in groups}
-    return train(texts["confirmed"], texts["unlabelled"], texts["cleared"])
+def _chosen(ids: DataFrame, most: int, seed: int) -> DataFrame:
+    """About ``most`` of the ids (all if there are fewer), by a hash, without sorting them or sending them to the driver."""
+    n = ids.count()
+    share = min(1.0, most / max(1, n))
+    return ids.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score, flagged) of every document; the score is in 0..1, ``flagged`` from the threshold on.
+def _fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values(["kind", "doc_id"])
+    model = train(*[pdf.loc[pdf["kind"] == k, "text"].tolist() for k in ("confirmed", "unlabelled")])
+    out = pd.DataFrame({"part": pd.Series(dtype=np.int32), "words": pd.Series(dtype=object), "pairs": pd.Series(dtype=object), "bias": pd.Series(dtype=float), "prior": pd.Series(dtype=float)})
+    if model is not None:
+        out.loc[0] = [int(pdf["part"].iloc[0]), model.words.astype(np.float32).tobytes(), model.pairs.astype(np.float32).tobytes(), model.bias, model.prior]
+    return out
 
-    The score is that of the document's worst window, so one sentence in a long source is enough. Null, empty and
-    wordless texts score 0. Without confirmed examples nothing is flagged. The corpus isn't shuffled.
+
+def half_of(c: Column) -> Column:
+    """The half of the confirmed documents, 0 or 1, to which a document belongs."""
+    return F.pmod(F.xxhash64(c, F.lit(5)), F.lit(2)).cast("int")
+
+
+def fit_models(documents: DataFrame, labels: DataFrame) -> list[Model] | None:
+    """Three models, each fitted in a task: on all chosen confirmed documents, and on either half of them (see :func:`half_of`).
+
+    The unlabelled documents of a fit are drawn from the whole corpus, labelled or not. Texts don't pass the driver, only
+    the models do, whose size is fixed. None if a half has too few confirmed documents.
     """
-    model = fit_model(documents, labels)
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    confirmed = _chosen(votes(labels).where("toxic > clear").select("doc_id"), MOST_CONFIRMED, 1)
+    unlabelled = _chosen(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")), MOST_UNLABELLED, 2).distinct()
+    parts = F.explode(F.array(half_of(F.col("doc_id")), F.lit(2)))
+    few = confirmed.select("doc_id", F.lit("confirmed").alias("kind"), parts.alias("part")).unionByName(unlabelled.select("doc_id", F.lit("unlabelled").alias("kind"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("part")))
+    rows = texts.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id", "kind", "part"])  # MOST_CONFIRMED and MOST_UNLABELLED, thrice at most
+    made = rows.groupBy("part").applyInPandas(_fitted, "part int, words binary, pairs binary, bias double, prior double").collect()  # three rows
+    models = {r["part"]: Model(np.frombuffer(r["words"], np.float32).astype(float), np.frombuffer(r["pairs"], np.float32).astype(float), r["bias"], r["prior"]) for r in made}
+    return [models[p] for p in (2, 0, 1)] if len(models) == 3 else None
+
+
+def _raw_scores(documents: DataFrame, models: list[Model]) -> DataFrame:
+    """(doc_id, source, z, z0, z1) of every document with an id, in one pass over the corpus; null for wordless texts."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _Scorer(model)
+        scorer = _Scorer(models)
         for pdf in it:
             for part in range(0, len(pdf), 200):
                 some = pdf.iloc[part : part + 200]
                 z = scorer.many([t if isinstance(t, str) else "" for t in some["text"]])
-                shifted = np.clip(z - model.threshold, -30, 30) if np.isfinite(model.threshold) else np.full(len(z), -30.0)
-                yield pd.DataFrame({"doc_id": some["doc_id"], "source": some["source"], "score": np.where(np.isfinite(z), 1 / (1 + np.exp(-shifted)), 0.0), "flagged": np.isfinite(z) & (shifted >= 0)})
+                z = np.where(np.isfinite(z), np.clip(z, -FARTHEST, FARTHEST), np.nan)
+                yield pd.DataFrame({"doc_id": some["doc_id"], "source": some["source"], "z": z[0], "z0": z[1], "z1": z[2]})
 
     rows = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return rows.mapInPandas(run, "doc_id long, source string, score double, flagged boolean")
+    return rows.mapInPandas(run, "doc_id long, source string, z double, z0 double, z1 double")
+
+
+def threshold_of(scores: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """The score from which a document is flagged, and the estimated share of toxic documents, from all documents and labels.
+
+    Every confirmed document is judged by the model of the half that it isn't in, so none speaks for itself. For either
+    half :func:`best_share` gives the share to flag; the mean of both is the share that the model of all documents flags.
+    """
+    toxic = votes(labels).where("toxic > clear").select("doc_id", F.lit(1).alias("toxic"))
+    z = lambda c: F.when(F.isnan(c), None).otherwise(F.floor((F.col(c) + FARTHEST) / STEP).cast("int"))
+    rows = scores.join(toxic, "doc_id", "left").select(half_of(F.col("doc_id")).alias("half"), F.coalesce("toxic", F.lit(0)).alias("toxic"), F.array(z("z"), z("z0"), z("z1")).alias("steps"))
+    steps = rows.select("half", "toxic", F.posexplode("steps").alias("model", "step")).where(F.col("step").isNotNull())
+    other = F.when(F.col("half") + 1 != F.col("model"), F.col("toxic")).otherwise(0)
+    counts = steps.groupBy("model", "step").agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("t")).toPandas()  # three models, 2 FARTHEST / STEP steps each
+    size = int(2 * FARTHEST / STEP) + 1
+    table = {m: (np.bincount(g["step"], weights=g["n"], minlength=size), np.bincount(g["step"], weights=g["t"], minlength=size)) for m, g in counts.groupby("model")}
+    if len(table) < 3:
+        return np.inf, 0.0
+    flag, share = np.mean([best_share(*table[m]) for m in (1, 2)], axis=0)
+    corpus = table[0][0]
+    above = corpus[::-1].cumsum()[::-1] / corpus.sum()
+    step = int(np.argmin(np.abs(above - flag)))
+    return (step * STEP - FARTHEST if flag > 0 else np.inf), float(share)
+
+
+def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, source, score, flagged) of every document; the score is in 0..1, ``flagged`` from the threshold on.
+
+    The score is that of the document's worst window, so one sentence in a long source is enough. Null, empty and
+    wordless texts score 0. Without confirmed examples nothing is flagged. The corpus is scored in one pass and isn't
+    shuffled; the scores are written to the shared folder, and the threshold is set from them.
+    """
+    models = fit_models(documents, labels)
+    if models is None:
+        rows = documents.where(F.col("doc_id").isNotNull())
+        return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.lit(0.0).alias("score"), F.lit(False).alias("flagged"))
+    scores = cut(_raw_scores(documents, models), "scores")
+    threshold, _ = threshold_of(scores, labels)
+    known = F.col("z").isNotNull() & ~F.isnan("z")
+    score = F.when(known & F.lit(bool(np.isfinite(threshold))), 1 / (1 + F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.lit(float(min(threshold, FARTHEST))) - F.col("z")))))).otherwise(0.0)
+    return scores.select("doc_id", "source", score.alias("score"), (known & (F.col("z") >= threshold)).alias("flagged"))
 
 
 def source_rates(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -47,23 +47,41 @@ def test_windows_reach_the_end():
         assert starts[0] == 0 and (n <= T.WINDOW or starts[-1] == n - T.WINDOW)
 
 
+def steps(z):
+    z = z[np.isfinite(z)]
+    return np.bincount(np.floor((np.clip(z, -T.FARTHEST, T.FARTHEST) + T.FARTHEST) / T.STEP).astype(int), minlength=int(2 * T.FARTHEST / T.STEP) + 1)
+
+
 def test_held_out_accuracy():
     rows = corpus(900)
-    model = T.train([t for _, y, t in rows[:600] if y], [t for _, y, t in rows[:600] if not y][::2], [t for _, y, t in rows[:600] if not y][1::2])
+    model = T.train([t for _, y, t in rows[:600] if y], [t for _, _, t in rows[:600]])
     z = T.doc_scores(model, [t for _, _, t in rows[600:]])
     y = np.array([b for _, b, _ in rows[600:]])
-    said = z >= model.threshold
+    flag, share = T.best_share(steps(z), steps(z[y]))
+    said = z >= np.quantile(z, 1 - flag)
     assert (said & y).sum() / y.sum() >= 0.9 and (said & y).sum() / said.sum() >= 0.9
+    assert abs(share - y.mean()) < 0.05 and 0.005 < model.prior < 0.1
 
 
 def test_a_document_scores_as_its_worst_window():
-    rows = corpus(300)
-    model = T.train([t for _, y, t in rows if y], [t for _, y, t in rows if not y][::2], [t for _, y, t in rows if not y][1::2])
+    rows = corpus(700)
+    model = T.train([t for _, y, t in rows if y], [t for _, _, t in rows])
     rng = np.random.default_rng(9)
     bad = "you are a stupid filthy and a fool"
     long = text(rng, None, 20_000) + " " + bad
     scores = T.doc_scores(model, [bad, long, text(rng), "", "word"])
-    assert scores[0] > model.threshold and scores[1] > model.threshold and scores[2] < model.threshold and scores[3] == -np.inf
+    assert scores[0] > scores[2] + 1 and scores[1] > scores[2] + 1 and scores[3] == -np.inf
+
+
+def test_share_to_flag():
+    """With clear scores the share to flag and the share of toxic documents are those of the corpus, whatever they are."""
+    rng = np.random.default_rng(0)
+    for share in (0.005, 0.03, 0.4):
+        toxic = rng.normal(4, 1, 300)
+        corpus_z = np.where(rng.random(40_000) < share, rng.normal(4, 1, 40_000), rng.normal(-4, 1, 40_000))
+        flag, found = T.best_share(steps(corpus_z), steps(toxic))
+        assert abs(flag - share) < 0.1 * share + 0.001 and abs(found - share) < 0.1 * share + 0.001
+    assert T.best_share(np.zeros(5), np.zeros(5)) == (0.0, 0.0)
 
 
 @pytest.fixture(scope="module")
@@ -93,8 +111,7 @@ def test_scores_and_rates(spark, tables):
     assert len(got) == 702 and got[10_000]["score"] == 0 and not got[10_001]["flagged"]
     said = {i for i, r in got.items() if r["flagged"]}
     toxic = {i for i, b in truth.items() if b}
-    # a small corpus with far more toxic texts than the class prior says: recall is lower than in test_held_out_accuracy
-    assert len(said & toxic) >= 0.8 * len(toxic) and len(said & toxic) >= 0.9 * len(said)
+    assert len(said & toxic) >= 0.9 * len(toxic) and len(said & toxic) >= 0.9 * len(said)
     rates = {r["source"]: r for r in T.source_rates(docs, labels).collect()}
     assert set(rates) == {"s1", "s2", None} and sum(r["documents"] for r in rates.values()) == 702
     assert sum(r["flagged"] for r in rates.values()) == len(said)
