@@ -105,17 +105,19 @@ def control_transitions(df: DataFrame, keys: list[str], position: str, row_id: s
     return scores.groupBy("control").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("v").alias("mean_score"), F.max("v").alias("max_score"))
 
 
-def reference_distances(df: DataFrame, row_id: str, references: DataFrame, reference_id: str, columns: list[str]) -> DataFrame:
-    """(row_id, reference_id, euclidean, manhattan, cosine, correlation) of every row and every reference.
+def reference_distances(df: DataFrame, row_id: str, references: DataFrame, reference_id: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by, row_id, reference_id, euclidean, manhattan, cosine, correlation) of every row and every reference of the same ``by``.
 
     References (say, the centroid of each label) are at most MOST_REFERENCES and are broadcast; pairs of rows are left
     to the nearest-vector index. Nulls count as 0; a zero vector has cosine and correlation distance 1.
     """
     x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns]
-    refs = references.select(reference_id, F.array(*x).alias("_r")).dropDuplicates([reference_id])
+    by = by or []
+    refs = references.select(*by, reference_id, F.array(*x).alias("_r")).dropDuplicates([*by, reference_id])
     if refs.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
         raise ValueError(f"more than {MOST_REFERENCES} references")
-    rows = df.select(row_id, F.array(*x).alias("_x")).crossJoin(F.broadcast(refs))
+    rows = df.select(*by, row_id, F.array(*x).alias("_x"))
+    rows = rows.join(F.broadcast(refs), by) if by else rows.crossJoin(F.broadcast(refs))
     both = F.arrays_zip(F.col("_x").alias("a"), F.col("_r").alias("b"))
 
     def total(f) -> Column:
@@ -126,9 +128,9 @@ def reference_distances(df: DataFrame, row_id: str, references: DataFrame, refer
 
     n = float(len(columns))
     rows = rows.select(
-        row_id, reference_id, F.sqrt(total(lambda a, b: (a - b) * (a - b))).alias("euclidean"), total(lambda a, b: F.abs(a - b)).alias("manhattan"),
+        *by, row_id, reference_id, F.sqrt(total(lambda a, b: (a - b) * (a - b))).alias("euclidean"), total(lambda a, b: F.abs(a - b)).alias("manhattan"),
         total(lambda a, b: a * a).alias("aa"), total(lambda a, b: b * b).alias("bb"), total(lambda a, b: a * b).alias("ab"), total(lambda a, b: a).alias("sa"), total(lambda a, b: b).alias("sb"),
     )
     va, vb, vab = F.col("aa") - F.col("sa") * F.col("sa") / n, F.col("bb") - F.col("sb") * F.col("sb") / n, F.col("ab") - F.col("sa") * F.col("sb") / n
     flat = (va < 1e-12) | (vb < 1e-12)
-    return rows.select(row_id, reference_id, "euclidean", "manhattan", angle(F.col("aa"), F.col("bb"), F.col("ab")).alias("cosine"), F.when(flat, 1.0).otherwise(angle(va, vb, vab)).alias("correlation"))
+    return rows.select(*by, row_id, reference_id, "euclidean", "manhattan", angle(F.col("aa"), F.col("bb"), F.col("ab")).alias("cosine"), F.when(flat, 1.0).otherwise(angle(va, vb, vab)).alias("correlation"))

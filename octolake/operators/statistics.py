@@ -138,3 +138,12 @@ def project(df: DataFrame, keys: list[str], columns: list[str], to: int, seed: i
     w = projection_weights(len(columns), to, seed)
     filled = [F.coalesce(F.col(c), F.lit(0.0)) for c in columns]
     return df.select(*keys, *[sum((float(w[i, j]) * v for i, v in enumerate(filled[1:], 1)), float(w[0, j]) * filled[0]).alias(f"proj_{j}") for j in range(to)])
+
+
+def value_summary(df: DataFrame, keys: list[str], columns: list[str], name: str) -> DataFrame:
+    """(keys, name, n, mean, median, least, greatest) of every column, one row a column; nulls are left out.
+
+    Medians are exact: equal values are counted in every split, so what is held for a key are its different values.
+    """
+    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*keys, "x.*")
+    return rows.groupBy(*keys, name).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.5).alias("median"), F.min("v").alias("least"), F.max("v").alias("greatest"))

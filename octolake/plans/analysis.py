@@ -3,25 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
+from octolake.functions import sequence as S
 from octolake.operators import benchmark as B
 from octolake.operators import context as X
+from octolake.operators import controls as N
+from octolake.operators import models as M
 from octolake.operators import sequences as Q
 from octolake.operators import statistics as ST
 from octolake.operators import trajectory as T
 from octolake.plans import sequences as PS
 from octolake.plans import trajectories as PT
 from octolake.plans.common import WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, neighbours_sql, r6, rounded, sql6, table, units_sql
+from octolake.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-BINS, FOLDS, PROJECTED = 5, 5, 4
-TRACKS = ["view", "click", "purchase", "error"]
+BINS, FOLDS, PROJECTED, RESAMPLES = 5, 5, 4, 199
+TRACKS = ["view", "click", "purchase", "error", "signup"]
 
 
 def _add(name: str, sql: str | None = None):
@@ -179,46 +184,182 @@ def sequence_fingerprints(spark, folder):
     return both.fillna(0.0, subset=names).select("sequence_id", "window_units", *[r6(n) for n in names])
 
 
-_FEATURES = [f"kmer_{w}" for w in PS._WORDS]
+_PAIRS = [f"kmer_{w}" for w in PS._WORDS]
+_SHARES = [f"share_{r}" for r in S.RESIDUES]
+_FEATURES = _PAIRS + _SHARES
+#: Nested sets of features, from the least to all of them.
+LADDER = {"gc": ["kmer_GC", "kmer_CG", "kmer_GG", "kmer_CC"], "pairs": _PAIRS, "all": _FEATURES}
 _GROUP = r"coalesce(nullif(regexp_replace(lower(species_or_subject), '[\s_-]+', '', 'g'), ''), sequence_id)"
+_DATASET = ["dataset_id"]
 
 
-def _fold_features(spark, folder):
-    """One row per labelled DNA record of the coding panel: dinucleotide shares, label, and fold by subject."""
-    meta = table(spark, folder, "benchmark_metadata").where((F.col("dataset_id") == "coding_panel") & F.col("sequence_id").isNotNull())
+def _labelled(spark, folder):
+    """(dataset_id, sequence_id, label, g): one row for each labelled record of each data set, with its subject as group."""
+    meta = table(spark, folder, "benchmark_metadata").where(F.col("dataset_id").isNotNull() & F.col("sequence_id").isNotNull())
     bare = F.regexp_replace(F.lower("species_or_subject"), r"[\s_-]+", "")
-    one = meta.groupBy("sequence_id").agg(F.min("label").alias("label"), F.min(F.coalesce(F.when(bare != "", bare), F.col("sequence_id"))).alias("g"))
-    features = Q.kmer_matrix(Q.records(table(spark, folder, "fasta_records"), "dna"), 2)
-    return features.join(one.where(F.col("label").isNotNull()), "sequence_id").withColumn("fold", B.fold_of(F.col("g"), FOLDS))
-
-
-_GAP = " + ".join(f"power(f.{c} - c.{c}, 2)" for c in _FEATURES)
-_KFOLD = (
-    f"WITH m AS (SELECT sequence_id, min(label) AS label, min({_GROUP}) AS g FROM benchmark_metadata WHERE dataset_id = 'coding_panel' AND sequence_id IS NOT NULL GROUP BY 1), "
-    f"x AS ({PS.SQL['kmer_matrix'].replace('round((', '((').replace(') + 3.7e-13, 6)', '))')}), "
-    f"f AS (SELECT x.*, label, (('0x' || substr(md5(g), 1, 8))::BIGINT % {FOLDS})::INT AS fold FROM x JOIN m ON m.sequence_id = x.sequence_id WHERE label IS NOT NULL), "
-    f"c AS (SELECT k.fold, f.label, {', '.join(f'avg(f.{c}) AS {c}' for c in _FEATURES)} FROM f JOIN (SELECT DISTINCT fold FROM f) k ON k.fold <> f.fold GROUP BY 1, 2), "
-    f"p AS (SELECT f.sequence_id, f.fold, f.label, min(struct_pack(d := {_GAP}, l := c.label)).l AS predicted FROM f JOIN c ON c.fold = f.fold GROUP BY 1, 2, 3), "
-    "t AS (SELECT fold, label AS l, count(*) AS held, sum((label = predicted)::INT) AS hit FROM p GROUP BY 1, 2), s AS (SELECT fold, predicted AS l, count(*) AS said FROM p GROUP BY 1, 2), "
-    "b AS (SELECT coalesce(t.fold, s.fold) AS fold, coalesce(held, 0) AS held, coalesce(hit, 0) AS hit, coalesce(said, 0) AS said FROM t FULL JOIN s ON t.fold = s.fold AND t.l = s.l), "
-    "z AS (SELECT fold, sum(held) AS n, sum(hit) / sum(held) AS accuracy, avg(CASE WHEN held > 0 THEN hit / held END) AS balanced_accuracy, avg(2 * hit / (held + said)) AS macro_f1 FROM b GROUP BY 1) "
-)
-_METRICS = ["accuracy", "balanced_accuracy", "macro_f1"]
+    one = meta.groupBy("dataset_id", "sequence_id").agg(F.min("label").alias("label"), F.min(F.coalesce(F.when(bare != "", bare), F.col("sequence_id"))).alias("g"))
+    return one.where(F.col("label").isNotNull())
+
+
+def _features(spark, folder):
+    """One row per record: shares of pairs for DNA, of residues for protein, 0 for those of the other kind."""
+    records = table(spark, folder, "fasta_records")
+    dna = Q.kmer_matrix(Q.records(records, "dna"), 2).select("sequence_id", *_PAIRS, *[F.lit(0.0).alias(c) for c in _SHARES])
+    protein = Q.composition(Q.records(records, "protein")).select("sequence_id", *[F.lit(0.0).alias(c) for c in _PAIRS], *_SHARES)
+    return dna.unionByName(protein)
+
+
+def _fold_features(spark, folder):
+    """The features of every labelled record of every data set, with its label, and its fold by subject."""
+    return _features(spark, folder).join(_labelled(spark, folder), "sequence_id").withColumn("fold", B.fold_of(F.col("g"), FOLDS))
+
+
+def _plain(sql: str) -> str:
+    """A statement without its rounding."""
+    return sql.replace("round((", "((").replace(") + 3.7e-13, 6)", "))")
+
 
+_M = f"m AS (SELECT dataset_id, sequence_id, min(label) AS label, min({_GROUP}) AS g FROM benchmark_metadata WHERE dataset_id IS NOT NULL AND sequence_id IS NOT NULL GROUP BY 1, 2 HAVING min(label) IS NOT NULL)"
+_XF = f"x AS (SELECT sequence_id, {', '.join(_PAIRS)}, {', '.join(f'0.0::DOUBLE AS {c}' for c in _SHARES)} FROM ({_plain(PS.SQL['kmer_matrix'])}) UNION ALL SELECT sequence_id, {', '.join(f'0.0::DOUBLE AS {c}' for c in _PAIRS)}, {', '.join(_SHARES)} FROM ({_plain(PS.SQL['residue_composition'])}))"
+_FOLD_SQL = f"(('0x' || substr(md5(g), 1, 8))::BIGINT % {FOLDS})::INT"
+_FOLDED = f"WITH {_M}, {_XF}, f AS (SELECT x.*, m.dataset_id, label, g, {_FOLD_SQL} AS fold FROM x JOIN m ON m.sequence_id = x.sequence_id) "
 
-def _kfold(spark, folder):
-    predictions = B.centroid_predictions(_fold_features(spark, folder), "sequence_id", "label", "fold", _FEATURES)
-    return B.fold_metrics(predictions, "label", "fold")
 
+def _centroids_sql(columns: list[str], source: str = "f", tag: str = "") -> str:
+    """Predictions p and metrics z (with a suffix) of nearest centroids of the other folds."""
+    gap = " + ".join(f"power(f.{c} - c.{c}, 2)" for c in columns)
+    return (
+        f", c{tag} AS (SELECT k.dataset_id, k.fold, f.label, {', '.join(f'avg(f.{c}) AS {c}' for c in columns)} FROM {source} f JOIN (SELECT DISTINCT dataset_id, fold FROM {source}) k ON k.dataset_id = f.dataset_id AND k.fold <> f.fold GROUP BY 1, 2, 3), "
+        f"p{tag} AS (SELECT f.dataset_id, f.sequence_id, f.fold, f.label, min(struct_pack(d := {gap}, l := c.label)).l AS predicted FROM {source} f JOIN c{tag} c ON c.dataset_id = f.dataset_id AND c.fold = f.fold GROUP BY 1, 2, 3, 4), "
+        f"t{tag} AS (SELECT dataset_id, fold, label AS l, count(*) AS held, sum((label = predicted)::INT) AS hit FROM p{tag} GROUP BY 1, 2, 3), s{tag} AS (SELECT dataset_id, fold, predicted AS l, count(*) AS said FROM p{tag} GROUP BY 1, 2, 3), "
+        f"b{tag} AS (SELECT coalesce(t.dataset_id, s.dataset_id) AS dataset_id, coalesce(t.fold, s.fold) AS fold, coalesce(held, 0)::DOUBLE AS held, coalesce(hit, 0)::DOUBLE AS hit, coalesce(said, 0)::DOUBLE AS said FROM t{tag} t FULL JOIN s{tag} s ON t.dataset_id = s.dataset_id AND t.fold = s.fold AND t.l = s.l), "
+        f"z{tag} AS (SELECT dataset_id, fold, sum(held)::BIGINT AS n, sum(hit) / sum(held) AS accuracy, avg(CASE WHEN held > 0 THEN hit / held END) AS balanced_accuracy, avg(2 * hit / (held + said)) AS macro_f1, "
+        "CASE WHEN (sum(held) * sum(held) - sum(held * held)) * (sum(held) * sum(held) - sum(said * said)) > 0 THEN (sum(held) * sum(hit) - sum(held * said)) / sqrt((sum(held) * sum(held) - sum(held * held)) * (sum(held) * sum(held) - sum(said * said))) ELSE 0 END AS mcc "
+        f"FROM b{tag} GROUP BY 1, 2)"
+    )
 
-@_add("kfold_metrics", _KFOLD + f"SELECT fold, n, {', '.join(sql6(c, c) for c in _METRICS)} FROM z")
+
+_KFOLD = _FOLDED + _centroids_sql(_FEATURES)
+_METRICS = ["accuracy", "balanced_accuracy", "macro_f1", "mcc"]
+
+
+def _centroid_metrics(rows, columns=None):
+    predictions = B.centroid_predictions(rows, "sequence_id", "label", "fold", columns or _FEATURES, _DATASET)
+    return B.fold_metrics(predictions, "label", "fold", _DATASET)
+
+
+@_add("kfold_metrics", _KFOLD + f" SELECT dataset_id, fold, n, {', '.join(sql6(c, c) for c in _METRICS)} FROM z")
 def kfold_metrics(spark, folder):
-    return rounded(_kfold(spark, folder))
+    return rounded(_centroid_metrics(_fold_features(spark, folder)))
 
 
-@_add("kfold_summary", _KFOLD + " UNION ALL ".join(f"SELECT '{c}' AS metric, count({c}) AS n_folds, {sql6(f'avg({c})', 'mean')}, {sql6(f'coalesce(stddev_samp({c}), 0)', 'sd')}, {sql6(f'1.96 * coalesce(stddev_samp({c}), 0) / sqrt(count({c}))', 'half_interval')} FROM z" for c in _METRICS))
+@_add("kfold_summary", _KFOLD + " " + " UNION ALL ".join(f"SELECT dataset_id, '{c}' AS metric, count({c}) AS n_folds, {sql6(f'avg({c})', 'mean')}, {sql6(f'coalesce(stddev_samp({c}), 0)', 'sd')}, {sql6(f'1.96 * coalesce(stddev_samp({c}), 0) / sqrt(count({c}))', 'half_interval')} FROM z GROUP BY 1" for c in _METRICS))
 def kfold_summary(spark, folder):
-    return rounded(B.metric_summary(_kfold(spark, folder), _METRICS))
+    return rounded(B.metric_summary(_centroid_metrics(_fold_features(spark, folder)), _METRICS, _DATASET))
+
+
+_TEXT = "concat_ws('|', '7', r::VARCHAR, fold::VARCHAR)"
+_U = f"(('0x' || substr(md5({_TEXT}), 1, 8))::BIGINT / 4294967296.0)::DOUBLE"
+_STEPS, _TERM = [], 0.36787944117144233
+for _k in range(8):
+    _STEPS.append((_STEPS[-1] if _STEPS else 0.0) + _TERM)
+    _TERM /= _k + 1
+_COMPARED = (
+    f", d AS (SELECT a.dataset_id, a.fold, a.balanced_accuracy - b.balanced_accuracy AS d FROM z a JOIN z_gc b ON a.dataset_id = b.dataset_id AND a.fold = b.fold), "
+    f"w AS (SELECT dataset_id, r, d, {' + '.join(f'({_U} > {c!r})::INT' for c in _STEPS)} AS w, CASE WHEN (('0x' || substr(md5('s' || {_TEXT}), 1, 2))::BIGINT % 2) = 0 THEN 1.0 ELSE -1.0 END AS s FROM d, range(1, {RESAMPLES} + 1) t(r)), "
+    "e AS (SELECT dataset_id, r, avg(s * d) AS flipped, CASE WHEN sum(w) > 0 THEN sum(w * d) / sum(w) END AS mean FROM w GROUP BY 1, 2), "
+    "h AS (SELECT dataset_id, count(*) AS n, avg(d) AS mean_difference, stddev_samp(d) AS sd FROM d GROUP BY 1) "
+    f"SELECT h.dataset_id, n, {sql6('mean_difference', 'mean_difference')}, {sql6('sd', 'sd')}, {sql6('CASE WHEN sd > 1e-12 THEN mean_difference / sd END', 'dz')}, {sql6(f'(1 + sum((abs(flipped) >= abs(mean_difference) - 1e-12)::INT)) / {1.0 + RESAMPLES}', 'p_sign')}, {sql6('quantile_cont(mean, 0.025)', 'low')}, {sql6('quantile_cont(mean, 0.975)', 'high')} "
+    "FROM e JOIN h ON h.dataset_id = e.dataset_id GROUP BY h.dataset_id, n, mean_difference, sd"
+)
+
+
+@_add("kfold_paired_comparison", _KFOLD + _centroids_sql(LADDER["gc"], "f", "_gc") + _COMPARED)
+def kfold_paired_comparison(spark, folder):
+    """All features against those of GC pairs alone, on the same folds of every data set."""
+    rows = cut(_fold_features(spark, folder), "folded")
+    return rounded(B.paired_comparison(_centroid_metrics(rows), _centroid_metrics(rows, LADDER["gc"]), _DATASET, "fold", "balanced_accuracy", RESAMPLES))
+
+
+@_add(
+    "ablation_table",
+    _FOLDED
+    + "".join(_centroids_sql(c, "f", f"_{n}") for n, c in LADDER.items())
+    + ", g AS ("
+    + " UNION ALL ".join(f"SELECT dataset_id, {i} AS stage, '{n}' AS features, avg(balanced_accuracy) AS score FROM z_{n} GROUP BY 1" for i, n in enumerate(LADDER))
+    + f") SELECT dataset_id, stage, features, {sql6('score', 'score')}, {sql6('score - lag(score) OVER (PARTITION BY dataset_id ORDER BY stage)', 'increment')} FROM g",
+)
+def ablation_table(spark, folder):
+    """Mean balanced accuracy of nested sets of features on the same folds, and what each stage adds."""
+    rows = cut(_fold_features(spark, folder), "folded")
+    stages = [_centroid_metrics(rows, c).groupBy("dataset_id").agg(F.avg("balanced_accuracy").alias("score")).select("dataset_id", F.lit(i).alias("stage"), F.lit(n).alias("features"), "score") for i, (n, c) in enumerate(LADDER.items())]
+    both = reduce(lambda a, b: a.unionByName(b), stages)
+    return rounded(both.withColumn("increment", F.col("score") - F.lag("score").over(Window.partitionBy("dataset_id").orderBy("stage"))))
+
+
+_PLACE = lambda text: f"row_number() OVER (PARTITION BY dataset_id ORDER BY md5({text}), {text})"
+_NULL_F = f", pf AS (SELECT * EXCLUDE (label), {_PLACE('sequence_id')} AS place FROM f), pl AS (SELECT dataset_id, label, {_PLACE(chr(39) + '1|' + chr(39) + ' || sequence_id')} AS place FROM f), fn AS (SELECT pf.* EXCLUDE (place), pl.label FROM pf JOIN pl ON pl.dataset_id = pf.dataset_id AND pl.place = pf.place)"
+
+
+@_add("null_label_metrics", _FOLDED + _NULL_F + _centroids_sql(_FEATURES, "fn", "_n") + f" SELECT dataset_id, fold, n, {', '.join(sql6(c, c) for c in _METRICS)} FROM z_n")
+def null_label_metrics(spark, folder):
+    """The metrics of the same folds with labels in another order: what no relation between features and labels gives."""
+    rows = cut(_fold_features(spark, folder), "folded")
+    return rounded(_centroid_metrics(B.permuted_labels(rows, _DATASET, "sequence_id", "label", 1)))
+
+
+_STRATA = (
+    f"WITH {_M}, n AS (SELECT dataset_id, g, label, count(*) AS n FROM m GROUP BY ALL), q AS (SELECT dataset_id, g, min(struct_pack(n := -n, l := label)).l AS l, floor(log2(sum(n)) + 1e-9)::INT AS s FROM n GROUP BY 1, 2), "
+    f"d AS (SELECT dataset_id, g, ((row_number() OVER (PARTITION BY dataset_id, l, s ORDER BY md5(g), g) - 1) % {FOLDS})::INT AS fold FROM q) "
+)
+
+
+@_add("stratified_folds", _STRATA + "SELECT m.dataset_id, d.fold, m.label, count(*) AS records, count(DISTINCT m.g) AS groups FROM m JOIN d ON d.dataset_id = m.dataset_id AND d.g = m.g GROUP BY ALL")
+def stratified_folds(spark, folder):
+    """Records and groups of every label in folds that keep subjects whole and labels even."""
+    rows = B.stratified_group_folds(_labelled(spark, folder), _DATASET, "sequence_id", "g", "label", FOLDS)
+    return rows.groupBy("dataset_id", "fold", "label").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("g").alias("groups"))
+
+
+@_add(
+    "label_ranking_scores",
+    _FOLDED
+    + f", c AS (SELECT dataset_id, label, {', '.join(f'avg({c}) AS {c}' for c in _FEATURES)} FROM f GROUP BY 1, 2), e AS (SELECT f.dataset_id, c.label AS reference, (f.label = c.label)::INT AS y, -round(sqrt({' + '.join(f'power(f.{c} - c.{c}, 2)' for c in _FEATURES)}), 9) AS s FROM f JOIN c ON c.dataset_id = f.dataset_id), "
+    "k AS (SELECT dataset_id, reference, s, sum(y) AS p, sum(1 - y) AS q FROM e GROUP BY 1, 2, 3), r AS (SELECT *, sum(p) OVER w AS tp, sum(q) OVER w AS fp FROM k WINDOW w AS (PARTITION BY dataset_id, reference ORDER BY s DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    f"SELECT dataset_id, reference, sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg, {sql6('CASE WHEN sum(p) * sum(q) > 0 THEN sum(q * (tp - p / 2.0)) / (sum(p) * sum(q)) END', 'roc_auc')}, {sql6('CASE WHEN sum(p) > 0 THEN sum(p * tp / (tp + fp)) / sum(p) END', 'pr_auc')} FROM r GROUP BY 1, 2",
+)
+def label_ranking_scores(spark, folder):
+    """How well the distance to a label's mean ranks that label's records before the others, for each label of a data set."""
+    rows = cut(_fold_features(spark, folder), "folded")
+    means = rows.groupBy("dataset_id", F.col("label").alias("reference")).agg(*[F.avg(c).alias(c) for c in _FEATURES])
+    far = N.reference_distances(rows.withColumn("_id", F.struct("sequence_id", "label")), "_id", means, "reference", _FEATURES, _DATASET)
+    scored = far.select("dataset_id", "reference", (-F.round("euclidean", 9)).alias("s"), (F.col("_id.label") == F.col("reference")).alias("y"))
+    return rounded(B.ranking_scores(scored, ["dataset_id", "reference"], "s", "y"))
+
+
+@_add(
+    "kfold_line",
+    _FOLDED
+    + f", y AS (SELECT sequence_id, max(length(s))::DOUBLE AS y FROM ({PS._CLEAN}) WHERE s <> '' GROUP BY 1), l AS (SELECT f.dataset_id, f.sequence_id, f.fold, f.kmer_CG AS x, y.y FROM f JOIN y ON y.sequence_id = f.sequence_id), "
+    "o AS (SELECT dataset_id, fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM l GROUP BY 1, 2), t AS (SELECT dataset_id, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM o GROUP BY 1), "
+    "b AS (SELECT o.dataset_id, o.fold, t.n - o.n AS n, t.sx - o.sx AS sx, t.sy - o.sy AS sy, t.sxx - o.sxx AS sxx, t.sxy - o.sxy AS sxy FROM o JOIN t ON t.dataset_id = o.dataset_id), "
+    "p AS (SELECT l.*, sy / n + CASE WHEN n * sxx - sx * sx > 1e-12 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END * (x - sx / n) AS p FROM l JOIN b ON b.dataset_id = l.dataset_id AND b.fold = l.fold) "
+    f"SELECT dataset_id, fold, count(*) AS n, {sql6('CASE WHEN var_pop(y) > 1e-12 THEN 1 - avg((y - p) * (y - p)) / var_pop(y) END', 'r2')}, {sql6('sqrt(avg((y - p) * (y - p)))', 'rmse')}, {sql6('avg(abs(y - p))', 'mae')} FROM p WHERE p IS NOT NULL GROUP BY 1, 2",
+)
+def kfold_line(spark, folder):
+    """Length of a record from its share of CG pairs, by the line of the other folds."""
+    length = Q.records(table(spark, folder, "fasta_records")).groupBy("sequence_id").agg(F.max(F.length("sequence")).cast("double").alias("length"))
+    rows = _fold_features(spark, folder).select("dataset_id", "sequence_id", "fold", "kmer_CG").join(length, "sequence_id")
+    return rounded(B.regression_metrics(M.line_predictions(rows, "sequence_id", "length", "fold", "kmer_CG", _DATASET), ["dataset_id", "fold"], "length", "predicted"))
+
+
+@_add("kfold_ridge")
+def kfold_ridge(spark, folder):
+    """Length of a record from all its shares, by ridge regression on the other folds."""
+    length = Q.records(table(spark, folder, "fasta_records")).groupBy("sequence_id").agg(F.max(F.length("sequence")).cast("double").alias("length"))
+    rows = _fold_features(spark, folder).join(length, "sequence_id")
+    found = M.cross_validated_values(rows, "sequence_id", "length", "fold", _FEATURES, "ridge", by=_DATASET)
+    return rounded(B.regression_metrics(found, ["dataset_id", "fold"], "length", "predicted"))
 
 
 @_add(

@@ -13,9 +13,11 @@ from octolake.operators import codon as D
 from octolake.operators import controls as N
 from octolake.operators import models as M
 from octolake.operators import sequences as Q
+from octolake.operators import statistics as ST
 from octolake.plans import analysis as PA
 from octolake.plans import sequences as PS
 from octolake.plans.common import WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, Sql, neighbours_sql, norm, rounded, sql6, table, units_sql
+from octolake.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,31 +64,41 @@ def codon_walsh_spectrum(spark, folder):
 
 
 _F = PA._FEATURES
-_X = PA._KFOLD.split(", c AS (SELECT k.fold")[0]
 _DOT = lambda f: " + ".join(f.format(c=c) for c in _F)
 _VAR = lambda a, b: f"(({_DOT('%s.{c} * %s.{c}' % (a, b))}) - ({_DOT('%s.{c}' % a)}) * ({_DOT('%s.{c}' % b)}) / {len(_F)}.0)"
+_FAR = (
+    PA._FOLDED
+    + f", c AS (SELECT dataset_id, label AS reference, {', '.join(f'avg({c}) AS {c}' for c in _F)} FROM f GROUP BY 1, 2), far AS (SELECT f.dataset_id, f.sequence_id, f.label, c.reference, sqrt({_DOT('power(f.{c} - c.{c}, 2)')}) AS euclidean, {_DOT('abs(f.{c} - c.{c})')} AS manhattan, "
+    + f"CASE WHEN ({_DOT('f.{c} * f.{c}')}) > 0 AND ({_DOT('c.{c} * c.{c}')}) > 0 THEN 1 - ({_DOT('f.{c} * c.{c}')}) / sqrt(({_DOT('f.{c} * f.{c}')}) * ({_DOT('c.{c} * c.{c}')})) ELSE 1 END AS cosine, "
+    + f"CASE WHEN {_VAR('f', 'f')} < 1e-12 OR {_VAR('c', 'c')} < 1e-12 THEN 1 ELSE 1 - {_VAR('f', 'c')} / sqrt({_VAR('f', 'f')} * {_VAR('c', 'c')}) END AS correlation FROM f JOIN c ON c.dataset_id = f.dataset_id) "
+)
+_DISTANCES = ("euclidean", "manhattan", "cosine", "correlation")
 
 
-@_add(
-    "label_distances",
-    _X
-    + f", c AS (SELECT label AS reference, {', '.join(f'avg({c}) AS {c}' for c in _F)} FROM f GROUP BY 1) SELECT f.sequence_id, c.reference, {sql6('sqrt(' + _DOT('power(f.{c} - c.{c}, 2)') + ')', 'euclidean')}, {sql6(_DOT('abs(f.{c} - c.{c})'), 'manhattan')}, "
-    + sql6(f"CASE WHEN ({_DOT('f.{c} * f.{c}')}) > 0 AND ({_DOT('c.{c} * c.{c}')}) > 0 THEN 1 - ({_DOT('f.{c} * c.{c}')}) / sqrt(({_DOT('f.{c} * f.{c}')}) * ({_DOT('c.{c} * c.{c}')})) ELSE 1 END", "cosine")
-    + ", "
-    + sql6(f"CASE WHEN {_VAR('f', 'f')} < 1e-12 OR {_VAR('c', 'c')} < 1e-12 THEN 1 ELSE 1 - {_VAR('f', 'c')} / sqrt({_VAR('f', 'f')} * {_VAR('c', 'c')}) END", "correlation")
-    + " FROM f CROSS JOIN c",
-)
+def _label_distances(spark, folder):
+    rows = cut(PA._fold_features(spark, folder), "folded")
+    means = rows.groupBy("dataset_id", F.col("label").alias("reference")).agg(*[F.avg(c).alias(c) for c in _F])
+    return rows, N.reference_distances(rows, "sequence_id", means, "reference", _F, ["dataset_id"])
+
+
+@_add("label_distances", _FAR + f"SELECT dataset_id, sequence_id, reference, {', '.join(sql6(d, d) for d in _DISTANCES)} FROM far")
 def label_distances(spark, folder):
-    """Four distances of every labelled record to the mean of each label."""
-    rows = PA._fold_features(spark, folder)
-    means = rows.groupBy(F.col("label").alias("reference")).agg(*[F.avg(c).alias(c) for c in _F])
-    return rounded(N.reference_distances(rows, "sequence_id", means, "reference", _F))
+    """Four distances of every labelled record to the mean of each label of its data set."""
+    return rounded(_label_distances(spark, folder)[1])
+
+
+@_add("distance_summary", _FAR + " UNION ALL ".join(f"SELECT dataset_id, label = reference AS own, '{d}' AS distance, count(*) AS n, {sql6(f'avg({d})', 'mean')}, {sql6(f'quantile_cont({d}, 0.5)', 'median')}, {sql6(f'min({d})', 'least')}, {sql6(f'max({d})', 'greatest')} FROM far GROUP BY 1, 2" for d in _DISTANCES))
+def distance_summary(spark, folder):
+    """Each distance to the own label's mean and to the other labels', by data set."""
+    rows, far = _label_distances(spark, folder)
+    marked = far.join(rows.select("dataset_id", "sequence_id", "label"), ["dataset_id", "sequence_id"]).withColumn("own", F.col("label") == F.col("reference"))
+    return rounded(ST.value_summary(marked, ["dataset_id", "own"], list(_DISTANCES), "distance"))
 
 
 def _fitted(model: str):
     def query(spark, folder):
         rows = PA._fold_features(spark, folder)
-        return rounded(B.fold_metrics(M.cross_validated(rows, "sequence_id", "label", "fold", _F, model), "label", "fold"))
+        return rounded(B.fold_metrics(M.cross_validated(rows, "sequence_id", "label", "fold", _F, model, by=["dataset_id"]), "label", "fold", ["dataset_id"]))
 
     return query
 
@@ -97,7 +109,9 @@ for _name in ("logistic", "tree"):
 
 @_add("cluster_agreement")
 def cluster_agreement(spark, folder):
-    """How k-means clusters of dinucleotide shares agree with the labels."""
-    rows = PA._fold_features(spark, folder)
-    found = M.clustered(rows, "sequence_id", _F, 4).join(rows.select("sequence_id", "label"), "sequence_id")
-    return rounded(M.agreement(found, "cluster", "label"))
+    """How k-means clusters of the shares agree with the labels of each data set, and how well they are parted."""
+    rows = cut(PA._fold_features(spark, folder), "folded")
+    found = M.clustered(rows, "sequence_id", _F, 4, by=["dataset_id"])
+    both = found.join(rows.select("dataset_id", "sequence_id", "label"), ["dataset_id", "sequence_id"])
+    width = found.groupBy("dataset_id").agg(F.max("silhouette").alias("silhouette"))
+    return rounded(M.agreement(both, "cluster", "label", ["dataset_id"]).join(width, "dataset_id"))
