@@ -9,6 +9,9 @@ from collections.abc import Sequence
 from itertools import product as pairs
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Oriented lines of the Fano plane. Fixed values.
 LINES = ((1, 2, 3), (1, 4, 5), (1, 7, 6), (2, 4, 6), (2, 5, 7), (3, 4, 7), (3, 6, 5))
 AXES = tuple(f"e{i}" for i in range(8))
@@ -71,3 +74,30 @@ def squared_norm(x: Sequence[Any]) -> Any:
     for v in x[1:]:
         total = total + v * v
     return total
+
+
+def add(x: Sequence[Any], y: Sequence[Any]) -> list[Any]:
+    return [a + b for a, b in zip(x, y)]
+
+
+def subtract(x: Sequence[Any], y: Sequence[Any]) -> list[Any]:
+    return [a - b for a, b in zip(x, y)]
+
+
+def scaled(x: Sequence[Any], factor: Any) -> list[Any]:
+    return [v * factor for v in x]
+
+
+def divided(x: Sequence[Any], divisor: Any) -> list[Any]:
+    """x over a number; dividing by 0 is an error, for Columns when the row is computed."""
+    if isinstance(divisor, Column):
+        checked = F.when(divisor == 0, F.raise_error(F.lit("division of an octonion by 0")).cast("double")).otherwise(divisor)
+        return [v / checked for v in x]
+    if divisor == 0:
+        raise ZeroDivisionError("division of an octonion by 0")
+    return [v / divisor for v in x]
+
+
+def cross(x: Sequence[Any], y: Sequence[Any]) -> list[Any]:
+    """The seven-dimensional cross product of the parts on e1..e7: half their commutator."""
+    return [v / 2.0 for v in commutator(x, y)]

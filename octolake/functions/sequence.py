@@ -15,6 +15,13 @@ RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 CODE_ORDER = "TCAG"
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 STARTS = ("TTG", "CTG", "ATG")
+#: Further codes of the NCBI's list by number: name, residues in the same order, starts. Fixed values.
+CODES = {
+    1: ("standard", STANDARD_CODE, STARTS),
+    2: ("vertebrate_mitochondrial", "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIMMTTTTNNKKSS**VVVVAAAADDEEGGGG", ("ATT", "ATC", "ATA", "ATG", "GTG")),
+    4: ("mold_mitochondrial", "FFLLSSSSYY**CCWWLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG", ("TTA", "TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+    11: ("bacterial", STANDARD_CODE, ("TTG", "CTG", "ATT", "ATC", "ATA", "ATG", "GTG")),
+}
 #: Symbols that are compared at once.
 MIRROR_SYMBOLS = 1 << 20
 
@@ -46,12 +53,47 @@ def entropy(counts: list[Column], symbols: int | None = None) -> Column:
     return F.greatest(bits, F.lit(0.0)) / F.log2(F.lit(float(n)))
 
 
-def amino_acid(codon: Column) -> Column:
+def genetic_code(code: int | str = 1) -> tuple[str, tuple[str, ...]]:
+    """Residues in the order of TCAG and start codons of a code by its number or name; an unknown one is an error."""
+    for number, (name, residues, starts) in CODES.items():
+        if code in (number, name):
+            return residues, starts
+    raise ValueError(f"unknown genetic code: {code!r}")
+
+
+def _known_codon(codon: Column) -> Column:
+    return codon.rlike("^[ACGT]{3}$")
+
+
+def amino_acid(codon: Column, code: int | str = 1) -> Column:
     """The residue of a codon, * for stops, X where a base is ambiguous."""
+    residues, _ = genetic_code(code)
     at = [F.instr(F.lit(CODE_ORDER), F.substring(codon, i, 1)) for i in (1, 2, 3)]
     index = (at[0] - 1) * 16 + (at[1] - 1) * 4 + at[2]
-    known = codon.rlike("^[ACGT]{3}$")
-    return F.when(known, F.substring(F.lit(STANDARD_CODE), F.when(known, index).otherwise(1), F.lit(1))).otherwise(F.lit("X"))
+    known = _known_codon(codon)
+    return F.when(known, F.substring(F.lit(residues), F.when(known, index).otherwise(1), F.lit(1))).otherwise(F.lit("X"))
+
+
+def is_start(codon: Column, code: int | str = 1) -> Column:
+    return codon.isin(*genetic_code(code)[1])
+
+
+def substitution_type(a: Column, b: Column) -> Column:
+    """transition within purines or pyrimidines, transversion between them, null for equal or unknown bases."""
+    known = a.isin(*BASES) & b.isin(*BASES) & (a != b)
+    return F.when(known, F.when(a.isin("A", "G") == b.isin("A", "G"), F.lit("transition")).otherwise(F.lit("transversion")))
+
+
+def position_fraction(position: Column, length: Column) -> Column:
+    """position / (length - 1); NaN before the start and for lengths up to 1."""
+    return F.when((position >= 0) & (length > 1), position / F.when(length > 1, length - 1)).otherwise(F.lit(float("nan")))
+
+
+def codon_cell(codon: Column) -> tuple[Column, Column]:
+    """Row and column of an unambiguous codon in an 8 x 8 table in ACGT order, null for others."""
+    at = [F.instr(F.lit(BASES), F.substring(codon, i, 1)) - 1 for i in (1, 2, 3)]
+    index = F.when(_known_codon(codon), at[0] * 16 + at[1] * 4 + at[2])
+    return F.floor(index / 8).cast("int"), F.pmod(index, F.lit(8)).cast("int")
 
 
 def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

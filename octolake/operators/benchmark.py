@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +31,37 @@ def antisymmetric_features(df: DataFrame, keys: list[str], position: str, row_id
     return wide.groupBy(*keys).agg(*[f(n).alias(f"{s}_{n}") for n in terms for s, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))])
 
 
+def randomised_structure_features(df: DataFrame, keys: list[str], position: str, row_id: str, seed: int = 7) -> DataFrame:
+    """Per key: statistics of seven random combinations of the 21 antisymmetric terms: the algebra's structure at random.
+
+    The commutator's own seven components are such combinations as well, so this is its control. Rows of weights are of
+    unit length (see :func:`structure_weights`).
+    """
+    rows = T.gap_blind_products(df, keys, position, row_id)
+    terms = [F.col(f"x.e{a}") * F.col(f"y.e{b}") - F.col(f"x.e{b}") * F.col(f"y.e{a}") for a, b in combinations(range(1, 8), 2)]
+    bound = rows.select(*keys, *[t.alias(f"_t{i}") for i, t in enumerate(terms)])
+    made = {f"r_{j}": sum((F.col(f"_t{i}") * float(v) for i, v in enumerate(w[1:], 1)), F.col("_t0") * float(w[0])) for j, w in enumerate(structure_weights(seed))}
+    wide = bound.select(*keys, *[c.alias(n) for n, c in made.items()])
+    return wide.groupBy(*keys).agg(*[f(n).alias(f"{s}_{n}") for n in made for s, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))])
+
+
+def structure_weights(seed: int = 7) -> np.ndarray:
+    """Seven rows of 21 Gaussian weights, each of unit length."""
+    w = np.random.default_rng(seed).normal(size=(7, 21))
+    return w / np.linalg.norm(w, axis=1, keepdims=True)
+
+
+def balanced_sample(df: DataFrame, by: list[str], label: str, row_id: str, most: int | None = None) -> DataFrame:
+    """Rows of every label in equal number: that of the rarest label of ``by``, and ``most`` at most, in the md5 order of the id.
+
+    Rows with a null are left out; ``row_id`` must be unique in ``by``.
+    """
+    rows = placed_in_order(df.dropna(subset=[*by, label, row_id]), [*by, label], F.col(row_id).cast("string"))
+    sizes = rows.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n")).groupBy(*by).agg(F.min("_n").alias("_least"))
+    least = F.least("_least", F.lit(most)) if most is not None else F.col("_least")
+    return skew_join(rows, sizes, by).where(F.col("place") < least).select(*df.columns)
+
+
 def fold_of(group: Column, folds: int) -> Column:
     """A fold from the md5 of the group, so that a group stays in one fold, in any engine."""
     return F.pmod(F.conv(F.substring(F.md5(group), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
@@ -112,17 +144,17 @@ def placed_in_order(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return inside.join(before, [*keys, "_range"]).withColumn("place", F.col("_before") + F.col("_at") - 1).drop("_md5", "_order", "_range", "_before", "_at")
 
 
-def stratified_group_folds(df: DataFrame, by: list[str], row_id: str, group: str, label: str, folds: int) -> DataFrame:
+def stratified_group_folds(df: DataFrame, by: list[str], row_id: str, group: str, label: str, folds: int, strict: bool = True) -> DataFrame:
     """(by, row_id, group, label, fold): whole groups in folds, with the labels and sizes of groups spread evenly.
 
     Groups are dealt out in the order of their md5 within strata of their most frequent label (ties: the lesser) and the
     power of two of their size, so that of each stratum no fold has two groups more than another. Rows with a null are
-    left out; repeated rows count once. A value of ``by`` with fewer groups than folds, or a label that stands in fewer
-    groups than folds, is an error.
+    left out; repeated rows count once. A label that stands in fewer groups than there are folds is an error, or, unless
+    ``strict``, is lacking in some folds.
     """
     rows = df.select(*by, row_id, group, label).dropna().distinct()
     counts = rows.groupBy(*by, group, label).agg(F.count(F.lit(1)).alias("_n"))
-    few = counts.groupBy(*by, label).agg(F.count_distinct(group).alias("groups")).where(F.col("groups") < folds).take(1)
+    few = strict and counts.groupBy(*by, label).agg(F.count_distinct(group).alias("groups")).where(F.col("groups") < folds).take(1)
     if few:
         raise ValueError(f"a label stands in fewer groups than there are folds: {few[0].asDict()}")
     groups = counts.groupBy(*by, group).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(label).alias("l")))["l"].alias("_label"), F.floor(F.log2(F.sum("_n").cast("double")) + 1e-9).cast("int").alias("_size"))
@@ -149,7 +181,7 @@ def paired_comparison(a: DataFrame, b: DataFrame, by: list[str], unit: str, metr
     a plain sum. Units with a null metric are left out.
     """
     pair = a.select(*by, unit, F.col(metric).alias("_a")).join(b.select(*by, unit, F.col(metric).alias("_b")), [*by, unit]).dropna()
-    rows = pair.select(*by, unit, (F.col("_a") - F.col("_b")).alias("d"))
+    rows = pair.select(*by, unit, (F.col("_a") - F.col("_b")).alias("_d"))
     drawn = rows.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
     text = F.concat_ws("|", F.lit(str(seed)), F.col("_r").cast("string"), F.col(unit).cast("string"))
     u = hex_number(text) / float(1 << 32)
@@ -159,12 +191,12 @@ def paired_comparison(a: DataFrame, b: DataFrame, by: list[str], unit: str, metr
         weight = weight + (u > cut_at).cast("int")
         term /= k + 1
     sign = F.when(F.pmod(hex_number(F.concat(F.lit("s"), text), 2), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    sums = drawn.withColumn("_w", weight).groupBy(*by, "_r").agg(F.avg(sign * F.col("d")).alias("flipped"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("d")).alias("s"))
-    means = sums.withColumn("mean", F.when(F.col("w") > 0, F.col("s") / F.when(F.col("w") > 0, F.col("w"))))
-    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"))
+    sums = drawn.withColumn("_w", weight).groupBy(*by, "_r").agg(F.avg(sign * F.col("_d")).alias("_flipped"), F.sum("_w").alias("_all"), F.sum(F.col("_w") * F.col("_d")).alias("_s"))
+    means = sums.withColumn("_mean", F.when(F.col("_all") > 0, F.col("_s") / F.when(F.col("_all") > 0, F.col("_all"))))
+    whole = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_difference"), F.stddev_samp("_d").alias("sd"))
     joined = means.join(whole, by) if by else means.crossJoin(whole)
-    far = (F.abs("flipped") >= F.abs("mean_difference") - 1e-12).cast("long")
-    per = joined.groupBy(*by, "n", "mean_difference", "sd").agg(((1 + F.sum(far)) / (1.0 + resamples)).alias("p_sign"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
+    far = (F.abs("_flipped") >= F.abs("mean_difference") - 1e-12).cast("long")
+    per = joined.groupBy(*by, "n", "mean_difference", "sd").agg(((1 + F.sum(far)) / (1.0 + resamples)).alias("p_sign"), F.percentile("_mean", 0.025).alias("low"), F.percentile("_mean", 0.975).alias("high"))
     return per.select(*by, "n", "mean_difference", "sd", F.when(F.col("sd") > 1e-12, F.col("mean_difference") / F.when(F.col("sd") > 1e-12, F.col("sd"))).alias("dz"), "p_sign", "low", "high")
 
 
@@ -194,7 +226,9 @@ def regression_metrics(df: DataFrame, keys: list[str], truth: str, predicted: st
 
 
 def line_stability(products: DataFrame, keys: list[str], position: str, resamples: int = 20, seed: int = 7) -> DataFrame:
-    """(keys, resamples, dominant_share): how often the dominant line stays so when pairs are drawn again.
+    """(keys, resamples, dominant_share, mean_cosine, least_cosine): how stable the line totals are when pairs are drawn again.
+
+    dominant_share is how often the dominant line stays so; the cosines are those of the totals with the whole ones.
 
     Each pair enters a resample with a Poisson(1) weight from a hash of seed, key, position and resample, so resamples
     are plain sums that need no group in one task, and results don't depend on the partitioning.
@@ -211,5 +245,8 @@ def line_stability(products: DataFrame, keys: list[str], position: str, resample
     sums = drawn.groupBy(*keys, "r").agg(*[F.sum(F.col("w") * F.col(f"l{i}")).alias(f"l{i}") for i in range(7)])
     best = F.array_max(F.array(*[F.struct(F.round(f"l{i}", 9).alias("s"), F.lit(-i).alias("i")) for i in range(7)]))["i"]
     marked = sums.withColumn("best", best)
-    whole = marked.where("r = 0").select(*keys, F.col("best").alias("_whole"))
-    return marked.where("r > 0").join(whole, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("resamples"), F.avg((F.col("best") == F.col("_whole")).cast("double")).alias("dominant_share"))
+    whole = marked.where("r = 0").select(*keys, F.col("best").alias("_whole"), *[F.col(f"l{i}").alias(f"w{i}") for i in range(7)])
+    dot = lambda a, b: sum((F.col(f"{a}{i}") * F.col(f"{b}{i}") for i in range(1, 7)), F.col(f"{a}0") * F.col(f"{b}0"))
+    length = F.sqrt(dot("l", "l") * dot("w", "w"))
+    cosine = F.when(length > 0, dot("l", "w") / F.when(length > 0, length)).otherwise(0.0)
+    return marked.where("r > 0").join(whole, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("resamples"), F.avg((F.col("best") == F.col("_whole")).cast("double")).alias("dominant_share"), F.avg(cosine).alias("mean_cosine"), F.min(cosine).alias("least_cosine"))

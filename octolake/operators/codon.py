@@ -65,6 +65,48 @@ def codon_summary(df: DataFrame) -> DataFrame:
     return other.join(terms, ["sequence_id", "frame"]).withColumn("stop_density", F.col("n_stops") / F.col("n_codons"))
 
 
+def usage_matrix(df: DataFrame) -> DataFrame:
+    """One row a trajectory: frequency of each of the 64 codons among the unambiguous ones, of each residue, entropy, GC by place.
+
+    The entropy is over log2 64; GC at a place is the share of codons with G or C there. Trajectories without an
+    unambiguous codon give no row.
+    """
+    kinds = distinct_codons(df).where(F.col("codon").isin(*CODONS)).groupBy("sequence_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("n").cast("double")
+    part = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) / n
+    residues = sorted(FAMILY_SIZE)
+    gc = [part(F.substring("codon", i, 1).isin("G", "C")).alias(f"gc_at_{i}") for i in (1, 2, 3)]
+    entropy = F.greatest(F.lit(0.0), F.log2(n) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / n) / 6.0
+    return kinds.groupBy("sequence_id", "frame").agg(
+        F.sum("n").alias("n_codons"), *[part(F.col("codon") == c).alias(f"codon_{c}") for c in CODONS], *[part(F.col("codon").isin(*[c for c in CODONS if FAMILY[c] == a])).alias(f"residue_{'stop' if a == '*' else a}") for a in residues], entropy.alias("entropy"), *gc
+    )
+
+
+def codon_components(df: DataFrame) -> DataFrame:
+    """(sequence_id, frame, codon, n, mean_e0..mean_e7): the mean components of every codon of a trajectory; nulls are left out."""
+    return distinct_codons(df).groupBy("sequence_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n"), *[F.avg(e).alias(f"mean_{e}") for e in O.AXES])
+
+
+def pair_categories(df: DataFrame) -> DataFrame:
+    """(category, n, mean, median, least, greatest) of the distance of codon pairs a < b, in overlapping categories.
+
+    All pairs; those that code the same residue or different ones; those that are one, two or three bases apart; of those
+    one base apart, the transitions, the transversions and those that differ at each place; pairs with one stop codon.
+    """
+    pairs = codon_pairs(df)
+    base = lambda side, i: F.substring(f"codon_{side}", i, 1)
+    one = F.col("bases_apart") == 1
+    differs = {i: base("a", i) != base("b", i) for i in (1, 2, 3)}
+    kind = F.coalesce(*[F.when(differs[i], S.substitution_type(base("a", i), base("b", i))) for i in (1, 2, 3)])
+    stops = [c for c in CODONS if FAMILY[c] == "*"]
+    category = {
+        "all": F.lit(True), "synonymous": F.col("synonymous"), "different": ~F.col("synonymous"), "one_base": one, "two_bases": F.col("bases_apart") == 2, "three_bases": F.col("bases_apart") == 3,
+        "transition": one & (kind == "transition"), "transversion": one & (kind == "transversion"), **{f"place_{i}": one & differs[i] for i in (1, 2, 3)}, "one_stop": F.col("codon_a").isin(*stops) != F.col("codon_b").isin(*stops),
+    }
+    rows = pairs.select("distance", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in category.items()]))).alias("category"))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean"), F.percentile("distance", 0.5).alias("median"), F.min("distance").alias("least"), F.max("distance").alias("greatest"))
+
+
 def codon_vectors(df: DataFrame) -> DataFrame:
     """(codon, amino_acid, n, e0..e7) of the 64 unambiguous codons that the table holds: at most 64 rows."""
     rows = df.where(F.col("codon").isin(*CODONS)).dropna(subset=["codon_row_id", *O.AXES]).dropDuplicates(["codon_row_id"])
@@ -110,15 +152,16 @@ def walsh_spectrum(df: DataFrame) -> DataFrame:
     """(sequence_id, frame, coefficient, value): the Walsh-Hadamard spectrum of each trajectory's 64 codon shares.
 
     Coefficient i is the sum of the shares with the sign of the parity of the bits that i and the codon's place share,
-    over 8; codons count in ACGT order. Ambiguous codons are left out; a trajectory of those alone gives no rows.
+    over 8; codons count in ACGT order. Ambiguous codons are left out; a trajectory of those alone gives no rows. Only
+    counts by codon are shuffled; the 64 coefficients are made from a trajectory's one array of counts.
     """
-    place = {c: i for i, c in enumerate(CODONS)}
-    dim = F.broadcast(df.sparkSession.createDataFrame([(c, i) for c, i in place.items()], "codon string, place int"))  # 64 rows
-    counts = distinct_codons(df).groupBy("sequence_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n")).join(dim, "codon")
-    sign = 1 - 2 * (F.bit_count(F.col("i").bitwiseAND(F.col("place"))) % 2)
-    signed = counts.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(63))))
-    sums = signed.groupBy("sequence_id", "frame", "i").agg(F.sum(F.col("n") * sign).alias("s"), F.sum("n").alias("_all"))
-    return sums.select("sequence_id", "frame", F.col("i").alias("coefficient"), (F.col("s") / F.col("_all") / 8.0).alias("value"))
+    place = F.create_map(*[F.lit(x) for pair in ((c, i) for i, c in enumerate(CODONS)) for x in pair])
+    rows = distinct_codons(df).where(F.col("codon").isin(*CODONS))
+    counts = rows.groupBy("sequence_id", "frame", "codon").agg(F.count(F.lit(1)).alias("n"))
+    arrays = counts.groupBy("sequence_id", "frame").agg(F.collect_list(F.struct(place[F.col("codon")].alias("p"), "n")).alias("c"), F.sum("n").alias("_all"))
+    signed = lambda i: F.aggregate("c", F.lit(0).cast("long"), lambda t, c: t + c["n"] * (1 - 2 * (F.bit_count(i.bitwiseAND(c["p"])) % 2)))
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.struct(i.alias("coefficient"), (signed(i) / F.col("_all") / 8.0).alias("value")))
+    return arrays.select("sequence_id", "frame", F.explode(values).alias("v")).select("sequence_id", "frame", "v.coefficient", "v.value")
 
 
 def dyadic_shifts() -> list[tuple[int, float, float]]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
 from octolake.operators import trajectory as T
+from octolake.operators.codon import FAMILY
 
 #: References that rows are compared with at most; they are broadcast.
 MOST_REFERENCES = 2000
@@ -61,18 +62,29 @@ def dinucleotide_shuffle(text: str, rng: np.random.Generator) -> str:
 def shuffled(df: DataFrame, key: str, text: str, kind: str = "dinucleotide", seed: int = 7) -> DataFrame:
     """The rows with ``text`` shuffled: symbols, codons (frame 0, a rest stays last) or neighbouring pairs are kept in number.
 
+    ``synonymous`` shuffles codons among the places of their residue, which keeps the protein as well.
+
     Each row has its own seed from ``key``, so results don't depend on the partitioning. Null texts stay null.
     """
-    if kind not in ("symbols", "codons", "dinucleotide"):
+    if kind not in ("symbols", "codons", "dinucleotide", "synonymous"):
         raise ValueError(kind)
 
     def one(name: str, s: str) -> str:
         rng = _seed(seed, name)
         if kind == "dinucleotide":
             return dinucleotide_shuffle(s, rng)
-        width = 3 if kind == "codons" else 1
+        width = 1 if kind == "symbols" else 3
         end = len(s) - len(s) % width
         units = [s[i : i + width] for i in range(0, end, width)]
+        if kind == "synonymous":  # codons change places within their residue, so the protein and the usage stay
+            places: dict[str, list[int]] = {}
+            for i, codon in enumerate(units):
+                places.setdefault(FAMILY.get(codon, codon), []).append(i)
+            moved = list(units)
+            for at in places.values():
+                for i, j in zip(at, rng.permutation(at)):
+                    moved[i] = units[j]
+            return "".join(moved) + s[end:]
         return "".join(units[i] for i in rng.permutation(len(units))) + s[end:]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,6 +117,31 @@ def control_transitions(df: DataFrame, keys: list[str], position: str, row_id: s
     return scores.groupBy("control").agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("v").alias("mean_score"), F.max("v").alias("max_score"))
 
 
+def orthogonal_matrices(n: int, seed: int = 0) -> list[tuple[str, list[list[float]]]]:
+    """(name, rows) of n random orthogonal 7 x 7 matrices, uniform over rotations and reflections."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in range(n):
+        q, r = np.linalg.qr(rng.normal(size=(7, 7)))
+        out.append((f"orthogonal_{i}", (q * np.sign(np.diag(r))).tolist()))
+    return out
+
+
+def orthogonal_transitions(df: DataFrame, keys: list[str], position: str, row_id: str, matrices: list[tuple[str, list[list[float]]]]) -> DataFrame:
+    """(control, n_pairs, mean_score, max_score): transition scores of all neighbours with e1..e7 turned by each matrix."""
+    pairs = T.adjacent_products(df, keys, position, row_id)
+    columns = []
+    for k, (_, rows) in enumerate(matrices):
+        for u in "xy":
+            columns += [sum((F.col(f"{u}.e{j + 2}") * v for j, v in enumerate(row[1:])), F.col(f"{u}.e1") * row[0]).alias(f"{u}{k}_{i + 1}") for i, row in enumerate(rows)]
+    turned = pairs.select(*columns)  # bound to columns before the commutator takes each several times
+    zero = F.lit(0.0)
+    scores = turned.select(*[F.sqrt(O.squared_norm(O.commutator(*[[zero, *[F.col(f"{u}{k}_{i}") for i in range(1, 8)]] for u in "xy"]))).alias(f"_{k}") for k in range(len(matrices))])
+    agg = scores.agg(F.count(F.lit(1)).alias("n_pairs"), *[f(f"_{k}").alias(f"{s}_{k}") for k in range(len(matrices)) for s, f in (("mean", F.avg), ("max", F.max))])
+    rows = F.array(*[F.struct(F.lit(name).alias("control"), F.col("n_pairs"), F.col(f"mean_{k}").alias("mean_score"), F.col(f"max_{k}").alias("max_score")) for k, (name, _) in enumerate(matrices)])
+    return agg.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def reference_distances(df: DataFrame, row_id: str, references: DataFrame, reference_id: str, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, row_id, reference_id, euclidean, manhattan, cosine, correlation) of every row and every reference of the same ``by``.
 

@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationE
 from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,10 +57,10 @@ def _values(rows: DataFrame, columns: list[str]) -> list[tuple]:
     return sorted(map(tuple, found), key=repr)
 
 
-def _each(f, values: list) -> list:
+def _each(spark: SparkSession, f, values: list) -> list:
     """The function of every value, a few at a time: each is a row of small jobs, which leave the cluster idle by themselves."""
     with ThreadPool(FITS_AT_ONCE) as pool:
-        return pool.map(inheritable_thread_target(f), values)
+        return pool.map(inheritable_thread_target(spark)(f), values)
 
 
 def _matching(by: list[str], value: tuple) -> Column:
@@ -109,7 +109,7 @@ def cross_validated(df: DataFrame, row_id: str, label: str, fold: str, columns:
         named = F.element_at(F.array(*[F.lit(n) for n in names]), F.least(F.col("prediction").cast("int") + 1, F.lit(len(names))))
         return fitted.transform(test).select(*out, named.alias("predicted"))
 
-    out = _each(one, values)
+    out = _each(df.sparkSession, one, values)
     return reduce(DataFrame.unionByName, out) if out else rows.select(*by, row_id, fold, label, F.lit(None).cast("string").alias("predicted"))
 
 
@@ -131,7 +131,7 @@ def cross_validated_values(df: DataFrame, row_id: str, target: str, fold: str, c
         fitted = Pipeline(stages=[*_prepared(columns), MODELS_OF_VALUES[model](seed, target)]).fit(train)
         return fitted.transform(test).select(*out, F.col("prediction").alias("predicted"))
 
-    made = _each(one, values)
+    made = _each(df.sparkSession, one, values)
     return reduce(DataFrame.unionByName, made) if made else rows.select(*out, F.lit(None).cast("double").alias("predicted"))
 
 
@@ -172,7 +172,7 @@ def clustered(df: DataFrame, row_id: str, columns: list[str], k: int, seed: int
         width = ClusteringEvaluator(featuresCol="_x").evaluate(found) if many else None
         return found.select(*by, row_id, F.col("prediction").alias("cluster"), F.lit(width).cast("double").alias("silhouette"))
 
-    made = _each(one, _values(rows, by) if by else [()] if rows.take(1) else [])
+    made = _each(df.sparkSession, one, _values(rows, by) if by else [()] if rows.take(1) else [])
     return reduce(DataFrame.unionByName, made) if made else rows.select(*by, row_id, F.lit(None).cast("int").alias("cluster"), F.lit(None).cast("double").alias("silhouette"))
 
 

@@ -168,15 +168,52 @@ def composition(df: DataFrame, alphabet: str = S.RESIDUES) -> DataFrame:
     return df.select("sequence_id", "length", *[S.ratio(n[r], known).alias(f"share_{r}") for r in alphabet], S.entropy([n[r] for r in alphabet]).alias("residue_entropy"))
 
 
-def codons(df: DataFrame, frames: tuple[int, ...] = (0,)) -> DataFrame:
-    """(sequence_id, frame, codon_index, codon, amino_acid, is_stop) of the complete in-frame triplets."""
+def codons(df: DataFrame, frames: tuple[int, ...] = (0,), code: int | str = 1, partial: bool = False) -> DataFrame:
+    """(sequence_id, frame, codon_index, codon, amino_acid, is_start, is_stop) of the in-frame triplets.
+
+    With ``partial`` the one or two bases left at the end are a codon filled up with N; else they are dropped.
+    """
     out = None
     for f in frames:
-        shifted = df.select("sequence_id", F.substring("sequence", f + 1, 2**31 - 1).alias("sequence"))
-        rows = units(shifted, 3, 3, "codon").select("sequence_id", F.lit(f).alias("frame"), (F.col("start") / 3).cast("long").alias("codon_index"), "codon")
+        text = F.substring("sequence", f + 1, 2**31 - 1)
+        if partial:
+            text = F.concat(text, F.repeat(F.lit("N"), F.pmod(-F.length(text), F.lit(3))))
+        rows = units(df.select("sequence_id", text.alias("sequence")), 3, 3, "codon").select("sequence_id", F.lit(f).alias("frame"), (F.col("start") / 3).cast("long").alias("codon_index"), "codon")
         out = rows if out is None else out.unionByName(rows)
-    aa = S.amino_acid(F.col("codon"))
-    return out.withColumn("amino_acid", aa).withColumn("is_stop", F.col("amino_acid") == "*")
+    aa = S.amino_acid(F.col("codon"), code)
+    return out.withColumn("amino_acid", aa).withColumn("is_start", S.is_start(F.col("codon"), code)).withColumn("is_stop", F.col("amino_acid") == "*")
+
+
+def kmer_entropies(df: DataFrame, k: int, alphabet: str = S.BASES) -> DataFrame:
+    """(sequence_id, n_kmers, entropy): Shannon entropy of the k-mers over log2 of their possible number, 0 without any."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    counts = kmer_counts(df, k, alphabet)
+    n, s = F.sum("n").cast("double"), F.sum(F.col("n") * F.log2(F.col("n").cast("double")))
+    found = counts.groupBy("sequence_id").agg(F.sum("n").alias("n_kmers"), (F.greatest(F.lit(0.0), F.log2(n) - s / n) / (k * float(np.log2(len(alphabet))))).alias("entropy"))
+    return df.select("sequence_id").distinct().join(found, "sequence_id", "left").fillna(0, subset=["n_kmers"]).fillna(0.0, subset=["entropy"])
+
+
+def kmer_space(df: DataFrame, k: int) -> DataFrame:
+    """(sequence_id, kmer, x, y, n, frequency) of every possible k-mer of every sequence, 0 where it doesn't occur: for small k.
+
+    x and y are the cell of the chaos-game matrix, as in :func:`fcgr`.
+    """
+    words = ["".join(w) for w in product(S.BASES, repeat=k)]
+    cell = [(w, *(int("".join(bits["ACGT".index(b)] for b in w), 2) for bits in ("0011", "0110"))) for w in words]
+    dim = F.broadcast(df.sparkSession.createDataFrame(cell, "kmer string, x int, y int"))  # 4^k rows
+    rows = df.select("sequence_id").distinct().crossJoin(dim)
+    return rows.join(kmer_counts(df, k), ["sequence_id", "kmer"], "left").fillna(0, subset=["n"]).fillna(0.0, subset=["frequency"])
+
+
+def deduplicated(df: DataFrame, text: str, order: list[str]) -> DataFrame:
+    """The first row, in the given order, of all rows with the same text; rows with a null text are left out.
+
+    A minimum over a struct of all columns, so copies fall out before the shuffle, however many there are.
+    """
+    rest = [c for c in df.columns if c not in (text, *order)]
+    first = F.min(F.struct(*order, *rest))
+    return df.where(F.col(text).isNotNull()).groupBy(text).agg(first.alias("_r")).select(*[F.col(c) if c == text else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def base_context(df: DataFrame) -> DataFrame:

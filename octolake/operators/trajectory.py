@@ -126,6 +126,17 @@ def line_features(products: DataFrame, keys: list[str]) -> DataFrame:
     return agg.select("*", (bits / F.log(F.lit(7.0))).alias("line_entropy"), F.sqrt(square).alias("line_concentration"), F.when(F.col("total") > 0, best["line"]).alias("dominant_line"), F.greatest(*[F.col(f"{c}_share") for c in names]).alias("dominant_share"))
 
 
+def axis_shares(features: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, share_e1..share_e7, dominant_axis, dominant_axis_share from :func:`line_features`: each line counts for its three axes.
+
+    Shares add up to 1 (0 without any norm). Of equal axes the first is dominant.
+    """
+    share = {a: sum((F.col("line_" + "_".join(map(str, line)) + "_share") for line in O.LINES if a in line), F.lit(0.0)) / 3.0 for a in range(1, 8)}
+    rows = features.select(*keys, "total", *[v.alias(f"share_e{a}") for a, v in share.items()])
+    best = F.array_max(F.array(*[F.struct(F.round(f"share_e{a}", 12).alias("share"), F.lit(-a).alias("i")) for a in share]))
+    return rows.select(*keys, *[f"share_e{a}" for a in share], F.when(F.col("total") > 0, F.concat(F.lit("e"), (-best["i"]).cast("string"))).alias("dominant_axis"), F.greatest(*[F.col(f"share_e{a}") for a in share]).alias("dominant_axis_share"))
+
+
 def trajectory_summary(df: DataFrame, keys: list[str], position: str, row_id: str) -> DataFrame:
     """Per key: units, mean and greatest transition and associator score (0 without any), mean and deviation of e0..e7.
 

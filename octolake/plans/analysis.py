@@ -317,7 +317,7 @@ _STRATA = (
 @_add("stratified_folds", _STRATA + "SELECT m.dataset_id, d.fold, m.label, count(*) AS records, count(DISTINCT m.g) AS groups FROM m JOIN d ON d.dataset_id = m.dataset_id AND d.g = m.g GROUP BY ALL")
 def stratified_folds(spark, folder):
     """Records and groups of every label in folds that keep subjects whole and labels even."""
-    rows = B.stratified_group_folds(_labelled(spark, folder), _DATASET, "sequence_id", "g", "label", FOLDS)
+    rows = B.stratified_group_folds(_labelled(spark, folder), _DATASET, "sequence_id", "g", "label", FOLDS, strict=False)
     return rows.groupBy("dataset_id", "fold", "label").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("g").alias("groups"))
 
 

@@ -58,12 +58,40 @@ class Sql:
         return Sql(f"(-{self.text})")
 
 
+def quaternion(a: list[Sql], b: list[Sql]) -> list[Sql]:
+    """Hamilton's product."""
+    (p, q, r, s), (t, u, v, w) = a, b
+    return [p * t - q * u - r * v - s * w, p * u + q * t + r * w - s * v, p * v - q * w + r * t + s * u, p * w + q * v - r * u + s * t]
+
+
+def doubled(x: list[Sql], y: list[Sql]) -> list[Sql]:
+    """The octonion product by doubling quaternions: (a, b)(c, d) = (a c - d* b, d a + b c*). Statements use it instead of
+    the library's table of signs, so that a wrong sign there can't be wrong on both sides."""
+    bar = lambda q: [q[0], -q[1], -q[2], -q[3]]
+    (a, b), (c, d) = (x[:4], x[4:]), (y[:4], y[4:])
+    left = [m - n for m, n in zip(quaternion(a, c), quaternion(bar(d), b))]
+    return left + [m + n for m, n in zip(quaternion(d, a), quaternion(b, bar(c)))]
+
+
+def turned(x: list[Sql], y: list[Sql]) -> list[Sql]:
+    """The seven components of x y - y x."""
+    return [m - n for m, n in zip(doubled(x, y), doubled(y, x))][1:]
+
+
+#: Lines of the plane, written out once more for the statements. Fixed values.
+PLANE = ((1, 2, 3), (1, 4, 5), (1, 7, 6), (2, 4, 6), (2, 5, 7), (3, 4, 7), (3, 6, 5))
+
+
+def wedges(x: list[Sql], y: list[Sql]) -> list[tuple[Sql, Sql, Sql]]:
+    return [(x[a] * y[b] - x[b] * y[a], x[b] * y[c] - x[c] * y[b], x[c] * y[a] - x[a] * y[c]) for a, b, c in PLANE]
+
+
 def parts(alias: str, prefix: str = "e") -> list[Sql]:
     return [Sql(f"{alias}.{prefix}{i}") for i in range(8)]
 
 
 def norm(x: list[Sql]) -> str:
-    return f"sqrt({O.squared_norm(x).text})"
+    return f"sqrt({' + '.join(f'{v.text} * {v.text}' for v in x)})"
 
 
 def units_sql(source: str, keys: list[str], position: str, row_id: str) -> str:

@@ -16,7 +16,7 @@ from octolake.operators import sequences as Q
 from octolake.operators import statistics as ST
 from octolake.plans import analysis as PA
 from octolake.plans import sequences as PS
-from octolake.plans.common import WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, Sql, neighbours_sql, norm, rounded, sql6, table, units_sql
+from octolake.plans.common import WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, neighbours_sql, norm, rounded, Sql, sql6, table, turned, units_sql
 from octolake.sources.shared import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +41,7 @@ def _moved(side: str, perm: list[int], sign: list[int]) -> list[Sql]:
 @_add(
     "axis_control_transitions",
     f"WITH u AS ({units_sql('window_octonions', WINDOW_KEYS, WINDOW_POSITION, WINDOW_ID)}), c AS ("
-    + " UNION ALL ".join(f"SELECT '{n}' AS control, {norm(O.commutator(_moved('x', p, s), _moved('y', p, s)))} AS v {neighbours_sql(WINDOW_KEYS)}" for n, p, s in CONTROLS)
+    + " UNION ALL ".join(f"SELECT '{n}' AS control, {norm(turned(_moved('x', p, s), _moved('y', p, s)))} AS v {neighbours_sql(WINDOW_KEYS)}" for n, p, s in CONTROLS)
     + f") SELECT control, count(*) AS n_pairs, {sql6('avg(v)', 'mean_score')}, {sql6('max(v)', 'max_score')} FROM c GROUP BY 1",
 )
 def axis_control_transitions(spark, folder):

@@ -12,7 +12,7 @@ from octolake.functions import octonion as O
 from octolake.functions import sequence as S
 from octolake.operators import codon as D
 from octolake.operators import sequences as Q
-from octolake.plans.common import norm, parts, r6, rounded, sql6, table
+from octolake.plans.common import norm, parts, r6, rounded, sql6, table, turned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,7 +164,7 @@ _VEC = "v AS (SELECT codon, min(amino_acid) AS amino_acid, " + ", ".join(f"min({
 
 @_add(
     "codon_pair_geometry",
-    f"WITH {_VEC} SELECT a.codon AS codon_a, b.codon AS codon_b, {sql6('sqrt(' + ' + '.join(f'power(a.{e} - b.{e}, 2)' for e in O.AXES) + ')', 'distance')}, {sql6(norm(O.commutator(parts('a'), parts('b'))), 'commutator_norm')}, {sql6(' + '.join(f'a.{e} * b.{e}' for e in O.AXES), 'dot')}, a.amino_acid = b.amino_acid AS synonymous, "
+    f"WITH {_VEC} SELECT a.codon AS codon_a, b.codon AS codon_b, {sql6('sqrt(' + ' + '.join(f'power(a.{e} - b.{e}, 2)' for e in O.AXES) + ')', 'distance')}, {sql6(norm(turned(parts('a'), parts('b'))), 'commutator_norm')}, {sql6(' + '.join(f'a.{e} * b.{e}' for e in O.AXES), 'dot')}, a.amino_acid = b.amino_acid AS synonymous, "
     + " + ".join(f"(substr(a.codon, {i}, 1) <> substr(b.codon, {i}, 1))::INT" for i in (1, 2, 3)) + " AS bases_apart FROM v a JOIN v b ON a.codon < b.codon",
 )
 def codon_pair_geometry(spark, folder):

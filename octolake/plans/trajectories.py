@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
 from octolake.operators import trajectory as T
-from octolake.plans.common import CODON_ID, CODON_KEYS, CODON_POSITION, WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, neighbours_sql, norm, parts, r6, rounded, sql6, table, units_sql
+from octolake.plans.common import CODON_ID, CODON_KEYS, CODON_POSITION, WINDOW_ID, WINDOW_KEYS, WINDOW_POSITION, doubled, neighbours_sql, norm, parts, r6, rounded, sql6, table, turned, units_sql, wedges
 
 W = (WINDOW_KEYS, WINDOW_POSITION, WINDOW_ID)
 C = (CODON_KEYS, CODON_POSITION, CODON_ID)
@@ -38,9 +38,9 @@ def _units(source: str, spec: tuple) -> str:
 def _products_sql(source: str, spec: tuple, tail: str = "") -> str:
     keys, position, _ = spec
     x, y = parts("x"), parts("y")
-    p = O.multiply(x, y)
+    p = doubled(x, y)
     cols = [f"x.{k}" for k in keys] + [f"x.pos AS {position}"] + [sql6(v.text, f"p{i}") for i, v in enumerate(p)]
-    cols += [sql6(norm(p), "product_norm"), sql6(norm(O.commutator(x, y)), "transition_score")]
+    cols += [sql6(norm(p), "product_norm"), sql6(norm(turned(x, y)), "transition_score")]
     return f"{_units(source, spec)} SELECT {', '.join(cols)} {neighbours_sql(keys)}{tail}"
 
 
@@ -48,9 +48,9 @@ def _triplets_sql(source: str, spec: tuple) -> str:
     keys, position, _ = spec
     x, y, z = parts("x"), parts("y"), parts("z")
     inner = [f"x.{k}" for k in keys] + [f"x.pos AS {position}"]
-    inner += [f"{v.text} AS l{i}" for i, v in enumerate(O.multiply(x, y))] + [f"{v.text} AS r{i}" for i, v in enumerate(O.multiply(y, z))]
+    inner += [f"{v.text} AS l{i}" for i, v in enumerate(doubled(x, y))] + [f"{v.text} AS r{i}" for i, v in enumerate(doubled(y, z))]
     inner += [f"x.e{i} AS x{i}, z.e{i} AS z{i}" for i in range(8)]
-    left, right = O.multiply(parts("t", "l"), parts("t", "z")), O.multiply(parts("t", "x"), parts("t", "r"))
+    left, right = doubled(parts("t", "l"), parts("t", "z")), doubled(parts("t", "x"), parts("t", "r"))
     a = [f"({p.text}) - ({q.text})" for p, q in zip(left, right)]
     cols = [*keys, position, *[sql6(v, f"a{i}") for i, v in enumerate(a)], sql6("sqrt(" + " + ".join(f"power({v}, 2)" for v in a) + ")", "associator_score")]
     return f"{_units(source, spec)} SELECT {', '.join(cols)} FROM (SELECT {', '.join(inner)} {neighbours_sql(keys, 2)}) t"
@@ -61,7 +61,7 @@ def _summary_sql(source: str, spec: tuple) -> str:
     k = ", ".join(keys)
     on = lambda b: " AND ".join(f"n.{c} = {b}.{c}" for c in keys)
     stats = ", ".join(f"avg({e}) AS mean_{e}, stddev_pop({e}) AS std_{e}" for e in O.AXES)
-    move = norm(O.commutator(parts("x"), parts("y")))
+    move = norm(turned(parts("x"), parts("y")))
     triplets = _triplets_sql(source, spec)
     unrounded = triplets.replace(_units(source, spec), "")
     out = ", ".join([*[f"n.{c}" for c in keys], "n_units", *[sql6(f"{s}_{e}", f"{s}_{e}") for e in O.AXES for s in ("mean", "std")], *[sql6(f"coalesce({c}, 0)", c) for c in ("mean_transition", "max_transition", "mean_associator", "max_associator")]])
@@ -122,7 +122,7 @@ def transition_topk(spark, folder):
 
 
 def _attribution_sql() -> str:
-    terms = O.line_terms(parts("x"), parts("y"))
+    terms = wedges(parts("x"), parts("y"))
     keys = "x.sequence_id, x.axis_scheme_id, x.pos AS position"
     one = [
         f"SELECT {keys}, '({a},{b},{c})' AS fano_line, {sql6(t[0].text, 'term_c')}, {sql6(t[1].text, 'term_a')}, {sql6(t[2].text, 'term_b')}, {sql6(norm(list(t)), 'line_norm')} {neighbours_sql(WINDOW_KEYS)}"
@@ -138,7 +138,7 @@ def fano_attribution(spark, folder):
 
 def _line_features_sql() -> str:
     k = ", ".join(WINDOW_KEYS)
-    norms = ", ".join(f"{norm(list(t))} AS {n}" for n, t in zip(LINE_NAMES, O.line_terms(parts("x"), parts("y"))))
+    norms = ", ".join(f"{norm(list(t))} AS {n}" for n, t in zip(LINE_NAMES, wedges(parts("x"), parts("y"))))
     agg = ", ".join(f"sum({n}) AS {n}_total, avg({n}) AS {n}_mean, max({n}) AS {n}_max" for n in LINE_NAMES)
     total = " + ".join(f"{n}_total" for n in LINE_NAMES)
     shares = ", ".join(f"CASE WHEN total > 0 THEN {n}_total / total ELSE 0 END AS {n}_share" for n in LINE_NAMES)
@@ -198,11 +198,14 @@ def window_inverses(spark, folder):
 
 @_add("tensor_products", _products_sql("codon_octonions", C))
 def tensor_products(spark, folder):
-    """codon_products through the structure constants as a table: unpivot both units, join on (i, j), sum by k."""
+    """codon_products through the structure constants as data: per component a fold over its eight (i, j, sign)."""
     pairs = T.adjacent_products(table(spark, folder, "codon_octonions"), *C)
-    constants = F.broadcast(spark.createDataFrame([list(s) for s in O.STRUCTURE], "i int, j int, sign int, k int"))  # 64 rows
     unit = lambda n: F.array(*[F.col(f"{n}.{e}") for e in O.AXES])
-    long = pairs.select(*CODON_KEYS, CODON_POSITION, "transition_score", unit("x").alias("x"), unit("y").alias("y")).crossJoin(constants)
-    term = F.element_at("x", F.col("i") + 1) * F.element_at("y", F.col("j") + 1) * F.col("sign")
-    sums = long.groupBy(*CODON_KEYS, CODON_POSITION).agg(*[F.sum(F.when(F.col("k") == k, term)).alias(f"p{k}") for k in range(8)], F.first("transition_score").alias("transition_score"))
+    rows = pairs.select(*CODON_KEYS, CODON_POSITION, "transition_score", unit("x").alias("x"), unit("y").alias("y"))
+
+    def component(k: int) -> Column:
+        constants = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), F.lit(float(sign)).alias("s")) for i, j, sign, to in O.STRUCTURE if to == k])
+        return F.aggregate(constants, F.lit(0.0), lambda t, c: t + F.element_at("x", c["i"]) * F.element_at("y", c["j"]) * c["s"])
+
+    sums = rows.select(*CODON_KEYS, CODON_POSITION, "transition_score", *[component(k).alias(f"p{k}") for k in range(8)])
     return rounded(sums.withColumn("product_norm", F.sqrt(O.squared_norm([F.col(f"p{k}") for k in range(8)]))))

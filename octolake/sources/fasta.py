@@ -25,12 +25,24 @@ def _parsed(raw: Column) -> list[Column]:
     return [checked.alias("sequence_id"), head.alias("description"), symbols.alias("sequence")]
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """(sequence_id, description, sequence) of all FASTA files at a path; a file is split at its records' ``>``.
 
-    Ids that occur twice are kept twice. A missing path and a path without records raise an error.
+    Ids that occur twice are kept twice. A missing path, a path without records, and, by a pass over the files that
+    ``check`` can leave out, a file with text before its first header or with an empty header are errors at once.
+    Records without an id or without symbols are errors when they are read.
     """
     raw = spark.read.option("lineSep", "\n>").text(path)
+    if check:
+        bare = F.regexp_replace("value", r"^\s+", "")
+        # the separator takes the > of all records but a file's first, before which there may be blank lines
+        files = raw.select(F.col("_metadata.file_path").alias("file"), bare.startswith(">").alias("first"), (bare == "").alias("blank")).groupBy("file").agg(F.sum(F.col("first").cast("long")).alias("first"), F.sum(F.col("blank").cast("long")).alias("blank"), F.count(F.lit(1)).alias("n"))
+        whole = files.agg(F.sum(F.col("n") - F.col("blank"))).first()[0]
+        if not whole:
+            raise ValueError(f"no FASTA records in {path}")
+        bad = files.where("blank > 1 or (first > 0 and blank > 0) or (first = 0 and blank = 0)").limit(3).collect()
+        if bad:
+            raise ValueError(f"text before the first header or an empty record: {', '.join(r['file'] for r in bad)}")
     return fasta_records(raw, F.col("value"))
 
 
@@ -38,7 +50,6 @@ def fasta_records(raw: DataFrame, value: Column) -> DataFrame:
     """Records of a DataFrame of texts cut at line ends that precede ``>``: the first of a file still has its ``>``."""
     text = F.regexp_replace(value, r"^\s+", "")
     rows = raw.select(text.alias("t")).where(F.length("t") > 0)
-    # the first record of a file still begins with >; a later one begins with its header
     return rows.select(F.regexp_replace("t", r"^>", "").alias("t")).select(*_parsed(F.col("t")))
 
 

@@ -42,6 +42,25 @@ def test_text_before_the_header_is_refused(spark, tmp_path):
         spark.read.format("fasta").load(folder).collect()
 
 
+@pytest.mark.parametrize("text", ["junk words\nACGT\n>a\nAC\n", "", "\n\n", ">a\nAC\n>\n>b\nGG\n"])
+def test_unsound_files_are_refused_at_once(spark, tmp_path, text):
+    folder = write(tmp_path / "unsound", "x.fasta", text)
+    if "b" in text:
+        write(tmp_path / "unsound", "y.fasta", ">c\nAC\n")
+    with pytest.raises(ValueError):
+        fasta.read_fasta(spark, folder)
+
+
+def test_cut_files_are_deleted(spark, tmp_path):
+    import os
+
+    df = shared.cut(spark.range(3).toDF("a"), "few")
+    path = df._octolake_path.removeprefix("file:")
+    assert os.path.isdir(path) and df.count() == 3
+    shared.drop(df)
+    assert not os.path.exists(path) and df._octolake_path not in shared._WRITTEN
+
+
 def test_fasta_round_trip(spark, tmp_path):
     rows = [("a", "a one", "ACGT" * 40), ("b", None, "G"), ("c", "c", "T" * 70)]
     fasta.write_fasta(spark.createDataFrame(rows, fasta.SCHEMA), str(tmp_path / "out"))
