@@ -6,23 +6,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from octolake.sources.shared import cut
+
 #: A key is heavy when it holds at least this share of the rows, so there are at most HEAVY_LIMIT heavy keys.
 HEAVY_SHARE = 1 / 1000
 HEAVY_LIMIT = 1000
 
 
-def heavy_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> DataFrame:
-    """Keys with at least ``HEAVY_SHARE`` of the rows and at least ``least`` rows.
+def heavy_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> list[Row]:
+    """Keys with at least ``HEAVY_SHARE`` of the rows and at least ``least`` rows: HEAVY_LIMIT at most, whatever the input.
 
-    The share bounds the result to HEAVY_LIMIT rows whatever the size of the input, which makes it safe to broadcast.
+    One pass counts the keys, with partial counts in every split, and the rows; null keys aren't heavy.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    return counts.where(F.col("_n") >= max(least, total * HEAVY_SHARE)).select(*keys)
+    total = Observation()
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
+    top = counts.where(F.col("_n") >= least).orderBy(F.desc("_n")).limit(HEAVY_LIMIT).collect()
+    if not top:
+        return []
+    rows = total.get["rows"]
+    return [Row(**{k: r[k] for k in keys}) for r in top if r["_n"] >= rows * HEAVY_SHARE]
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 100_000, heavy: list[Row] | None = None) -> DataFrame:
@@ -33,9 +39,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     (at most HEAVY_LIMIT) where the caller knows them; otherwise the keys of ``left`` are counted.
     """
     if heavy is None:
-        if left.limit(least).count() < least:
-            return left.join(right, keys, how)
-        heavy = heavy_keys(left.dropna(subset=keys), keys, least).collect()  # at most HEAVY_LIMIT rows
+        heavy = heavy_keys(left, keys, least)
     if len(heavy) > HEAVY_LIMIT:
         raise ValueError(f"more than {HEAVY_LIMIT} heavy keys")
     if not heavy:
@@ -50,17 +54,18 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def dense_key_sums(df: DataFrame, key: str, values: list[str], blocks: int | None = None) -> DataFrame:
-    """Count, and per value column the non-null count, sum, and sum of squares, for each key.
+    """Count, and per value column the non-null count, sum, and sum of squared deviations from the mean, for each key.
 
     Every input split dictionary-encodes its keys and adds its rows into dense arrays with ``bincount``; it sends one
     row per key, however many rows the key has. Those array rows are then grouped into blocks by a hash of the key, and
     each block is encoded and added up the same way. A key with a third of all rows thus costs each task the same as any
-    other rows, and the reducers see at most one row per split and key.
+    other rows, and the reducers see at most one row per split and key. Deviations are merged from means and deviations
+    of parts, not from sums of squares, so values far from 0 lose nothing.
 
     Null keys form their own row. Null and NaN values are left out of the sums. An empty table gives no rows.
-    Extra columns are ignored. The columns are ``key``, ``n`` and, for each value v, ``v_n``, ``v_sum``, ``v_sq``.
+    Extra columns are ignored. The columns are ``key``, ``n`` and, for each value v, ``v_n``, ``v_sum``, ``v_m2``.
     """
-    stats = [f"{v}_{s}" for v in values for s in ("n", "sum", "sq")]
+    stats = [f"{v}_{s}" for v in values for s in ("n", "sum", "m2")]
     work = df.select(F.col(key).cast("string").alias("_key"), *[F.col(v).cast("double").alias(f"_v{i}") for i, v in enumerate(values)])
     schema = T.StructType([T.StructField("_key", T.StringType()), T.StructField("n", T.DoubleType()), *[T.StructField(s, T.DoubleType()) for s in stats]])
     arrow = pa.schema([("_key", pa.string()), ("n", pa.float64()), *[(s, pa.float64()) for s in stats]])
@@ -74,7 +79,22 @@ def dense_key_sums(df: DataFrame, key: str, values: list[str], blocks: int | Non
         local = np.fromiter((known.setdefault(w, len(known)) for w in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
         return local[coded.indices.to_numpy(zero_copy_only=False)]
 
-    def folded(batches: Iterator[pa.RecordBatch], contribute) -> Iterator[pa.RecordBatch]:
+    def added(total: np.ndarray, codes: np.ndarray, batch: pa.RecordBatch, parts) -> None:
+        size = len(total)
+        total[:, 0] += np.bincount(codes, weights=parts(batch, None), minlength=size)
+        for i in range(len(values)):
+            n, s, m = parts(batch, i)
+            bn, bs = (np.bincount(codes, weights=w, minlength=size) for w in (n, s))
+            mean = bs / np.maximum(bn, 1)
+            bm = np.bincount(codes, weights=m + n * (s / np.maximum(n, 1) - mean[codes]) ** 2, minlength=size)
+            at = 1 + 3 * i
+            own = total[:, at]
+            gap = mean - total[:, at + 1] / np.maximum(own, 1)
+            total[:, at + 2] += bm + gap**2 * own * bn / np.maximum(own + bn, 1)
+            total[:, at] += bn
+            total[:, at + 1] += bs
+
+    def folded(batches: Iterator[pa.RecordBatch], parts) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         total = np.zeros((0, width))
         for batch in batches:
@@ -83,36 +103,41 @@ def dense_key_sums(df: DataFrame, key: str, values: list[str], blocks: int | Non
             codes = encoded(batch.column(0), known)
             if len(known) > len(total):
                 total = np.vstack([total, np.zeros((max(len(known), 2 * len(total)) - len(total), width))])
-            for i, weights in contribute(batch):
-                total[:, i] += np.bincount(codes, weights=weights, minlength=len(total))
+            added(total, codes, batch, parts)
             if len(known) >= 200_000:  # a split with very many keys sends what it has and starts anew
                 yield emit(list(known), total[: len(known)])
                 known, total = {}, np.zeros((0, width))
         if known:
             yield emit(list(known), total[: len(known)])
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray | None]]:
-        yield 0, None
-        for i in range(len(values)):
-            x = batch.column(1 + i).to_numpy(zero_copy_only=False).astype(float)
-            good = ~np.isnan(x)
-            x = np.where(good, x, 0.0)
-            yield 1 + 3 * i, good.astype(float)
-            yield 2 + 3 * i, x
-            yield 3 + 3 * i, x * x
+    def rows(batch: pa.RecordBatch, i: int | None):
+        if i is None:
+            return np.ones(batch.num_rows)
+        x = batch.column(1 + i).to_numpy(zero_copy_only=False).astype(float)
+        good = ~np.isnan(x)
+        return good.astype(float), np.where(good, x, 0.0), np.zeros(len(x))
 
-    def partials(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for i in range(width):
-            yield i, batch.column(1 + i).to_numpy()
+    def partials(batch: pa.RecordBatch, i: int | None):
+        column = lambda c: batch.column(1 + c).to_numpy()
+        return column(0) if i is None else tuple(column(1 + 3 * i + k) for k in range(3))
 
     local = work.mapInArrow(lambda it: folded(it, rows), schema)
     spread = local.repartition(blocks, F.xxhash64("_key")) if blocks else local.repartition(F.xxhash64("_key"))
-    # a block with very many keys may send a key twice, which the last aggregation joins without another shuffle of rows
     whole = spread.mapInArrow(lambda it: folded(it, partials), schema)
-    sums: list[Column] = [F.sum(c).alias(c) for c in ["n", *stats]]
-    result = whole.groupBy("_key").agg(*sums)
-    longs = [F.col(c).cast("long").alias(c) if c == "n" or c.endswith("_n") else F.col(c) for c in ["n", *stats]]
-    return result.select(F.col("_key").alias(key), *longs)
+    # a block with very many keys may send a key twice: few rows a key, joined without another shuffle of rows
+    sums: list[Column] = [F.sum(c).alias(c) for c in ["n", *[s for s in stats if not s.endswith("_m2")]]]
+    lists = [F.collect_list(F.struct(*[F.col(f"{v}_{s}").alias(s) for s in ("n", "sum", "m2")])).alias(f"_l{i}") for i, v in enumerate(values)]
+    result = whole.groupBy("_key").agg(*sums, *lists)
+    def merged(i: int, v: str) -> Column:
+        n = F.col(f"{v}_n")
+        mean = F.when(n > 0, F.col(f"{v}_sum") / F.when(n > 0, n)).otherwise(0.0)
+        gap = lambda p: p["sum"] / F.greatest(p["n"], F.lit(1.0)) - mean
+        return F.aggregate(f"_l{i}", F.lit(0.0), lambda t, p: t + p["m2"] + p["n"] * gap(p) * gap(p))
+
+    out = [F.col("n").cast("long").alias("n")]
+    for i, v in enumerate(values):
+        out += [F.col(f"{v}_n").cast("long").alias(f"{v}_n"), F.col(f"{v}_sum"), merged(i, v).alias(f"{v}_m2")]
+    return result.select(F.col("_key").alias(key), *out)
 
 
 def key_profile(df: DataFrame, row_id: str, key: str, values: list[str]) -> DataFrame:
@@ -126,10 +151,8 @@ def key_profile(df: DataFrame, row_id: str, key: str, values: list[str]) -> Data
     sums = dense_key_sums(rows, key, values)
     out = [F.col(key), F.col("n").alias("n_rows")]
     for v in values:
-        n, s, q = F.col(f"{v}_n"), F.col(f"{v}_sum"), F.col(f"{v}_sq")
-        mean = F.when(n > 0, s / F.when(n > 0, n))
-        spread = F.when(n > 0, F.sqrt(F.greatest(q / F.when(n > 0, n) - mean * mean, F.lit(0.0))))
-        out += [mean.alias(f"mean_{v}"), spread.alias(f"std_{v}")]
+        n, s, m2 = F.col(f"{v}_n"), F.col(f"{v}_sum"), F.col(f"{v}_m2")
+        out += [F.when(n > 0, s / F.when(n > 0, n)).alias(f"mean_{v}"), F.when(n > 0, F.sqrt(m2 / F.when(n > 0, n))).alias(f"std_{v}")]
     return sums.select(*out)
 
 
@@ -138,7 +161,7 @@ def hot_keys(df: DataFrame, row_id: str, key: str, share: float) -> DataFrame:
 
     An empty table gives no rows.
     """
-    counts = key_profile(df, row_id, key, [])
+    counts = cut(key_profile(df, row_id, key, []), "counts")  # a row a key, read for the total and for the keys
     total = counts.agg(F.sum("n_rows").alias("_total"))
     return (
         counts.where(F.col(key).isNotNull())

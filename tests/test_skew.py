@@ -42,3 +42,17 @@ def test_skew_join(spark):
     for how in ("inner", "left"):
         plain = sorted(left.join(right, ["k"], how).collect(), key=repr)
         assert sorted(skew.skew_join(left, right, ["k"], how, least=100).select("k", "id", "w").collect(), key=repr) == sorted(plain, key=repr)
+
+
+def test_deviations_of_values_far_from_zero(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, f"k{i % 3}", 1e9 + float(rng.normal()), "x") for i in range(3000)]
+    got = {r["k"]: r for r in skew.key_profile(table(spark, rows).repartition(7), "id", "k", ["v"]).collect()}
+    for k in got:
+        some = np.array([r[2] for r in rows if r[1] == k])
+        assert np.isclose(got[k]["std_v"], some.std(), rtol=1e-5) and np.isclose(got[k]["mean_v"], some.mean(), rtol=1e-12)
+
+
+def test_heavy_keys(spark):
+    df = spark.range(1000).select(F.when(F.col("id") < 400, "a").when(F.col("id") < 500, None).otherwise(F.col("id").cast("string")).alias("k"))
+    assert [r["k"] for r in skew.heavy_keys(df, ["k"], 50)] == ["a"] and skew.heavy_keys(df, ["k"], 500) == [] and skew.heavy_keys(df.limit(0), ["k"], 1) == []
