@@ -7,22 +7,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octolake.sources.shared import cut, drop
 
-#: Rows of each scheme on which the centroids are fitted, chosen by a hash of the row's id; every row is indexed.
-FIT_ROWS = 20_000
-#: Rows that a cell should hold, and the bounds of the number of centroids of a half.
-CELL_ROWS, LEAST_CENTROIDS, MOST_CENTROIDS = 150, 2, 256
+#: Rows of each scheme on which the centroids are fitted, for each centroid of a half, and at least; chosen by a hash of
+#: the row's id. Every row is indexed.
+FIT_PER_CENTROID, FIT_ROWS = 40, 20_000
+#: Rows that a cell should hold. The centroids grow with the root of a scheme's rows, until all schemes have MOST_CELLS.
+CELL_ROWS, LEAST_CENTROIDS, MOST_CELLS = 150, 2, 1 << 22
 #: Rows that a query must meet before its traversal ends.
 CANDIDATES = 3000
 #: Up to so many queries are searched on the rows' side, without a shuffle; more are joined with the cells.
-FEW_QUERIES = 20_000
+FEW_QUERIES = 2000
 #: Rows of a cell, and queries of a cell, that one group of the join holds at most, on average of a hash.
 PART_ROWS, PART_QUERIES = 20_000, 20_000
-#: Different schemes (groups that are searched apart) that the index holds at most.
+#: Different schemes (groups that are searched apart) that the index holds at most; more are an error.
 MOST_SCHEMES = 200
 
 
@@ -31,14 +33,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
     rows = np.unique(x, axis=0)
     c = rows[np.random.default_rng(seed).permutation(len(rows))[: min(k, len(rows))]].copy()
     for _ in range(rounds):
-        d = _squared(x, c)
-        near = d.argmin(1)
+        near, least = _nearest_centroid(x, c)
         n = np.bincount(near, minlength=len(c))
         total = np.stack([np.bincount(near, weights=x[:, j], minlength=len(c)) for j in range(x.shape[1])], 1)
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         empty = np.flatnonzero(n == 0)
         if len(empty):
-            c[empty] = x[np.argsort(-d.min(1), kind="stable")[: len(empty)]]
+            c[empty] = x[np.argsort(-least, kind="stable")[: len(empty)]]
     return c
 
 
@@ -46,29 +47,42 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None], 0.0)
 
 
+def _nearest_centroid(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of every row and its squared distance, in blocks that bound memory."""
+    near, least = np.zeros(len(x), np.int64), np.zeros(len(x))
+    step = max(1, 4_000_000 // len(c))
+    for lo in range(0, len(x), step):
+        d = _squared(x[lo : lo + step], c)
+        near[lo : lo + step] = d.argmin(1)
+        least[lo : lo + step] = d.min(1)
+    return near, least
+
+
 class MultiIndex:
-    """Centroids of both halves of each scheme, and of each filled cell its rows and its bounding box."""
+    """Centroids of both halves of each scheme, the rows of each cell, and the bounds of the rows of each half's centroids."""
 
     def __init__(self, centroids: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
         self.centroids = centroids
         self.size: dict[str, np.ndarray] = {}
-        self.filled: dict[str, np.ndarray] = {}
-        self.low: dict[str, np.ndarray] = {}
-        self.high: dict[str, np.ndarray] = {}
+        self.bounds: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
     def cells(self, scheme: str, x: np.ndarray) -> np.ndarray:
         a, b = self.centroids[scheme]
         h = a.shape[1]
-        return _squared(x[:, :h], a).argmin(1) * len(b) + _squared(x[:, h:], b).argmin(1)
+        return _nearest_centroid(x[:, :h], a)[0] * len(b) + _nearest_centroid(x[:, h:], b)[0]
 
-    def fill(self, table: pd.DataFrame, axes: list[str]) -> None:
-        for scheme, some in table.groupby("scheme"):
+    def fill(self, cells: pd.DataFrame, halves: list[pd.DataFrame], axes: list[str]) -> None:
+        for scheme, some in cells.groupby("scheme"):
             a, b = self.centroids[scheme]
-            self.size[scheme] = np.zeros(len(a) * len(b), np.int64)
-            self.size[scheme][some["cell"]] = some["n"]
-            self.filled[scheme] = some["cell"].to_numpy()
-            self.low[scheme] = some[[f"lo_{e}" for e in axes]].to_numpy()
-            self.high[scheme] = some[[f"hi_{e}" for e in axes]].to_numpy()
+            self.size[scheme] = np.zeros(len(a) * len(b), np.int32)
+            self.size[scheme][some["cell"]] = np.minimum(some["n"], 2**31 - 1)
+            h = a.shape[1]
+            self.bounds[scheme] = []
+            for table, names, k in zip(halves, (axes[:h], axes[h:]), (len(a), len(b))):
+                mine = table[table["scheme"] == scheme]
+                low, high = np.full((k, len(names)), np.inf), np.full((k, len(names)), -np.inf)
+                low[mine["half"]], high[mine["half"]] = mine[[f"lo_{e}" for e in names]], mine[[f"hi_{e}" for e in names]]
+                self.bounds[scheme].append((low, high))
 
     def traverse(self, scheme: str, q: np.ndarray, candidates: int) -> list[int]:
         """Filled cells in the order of the summed distances of their centroids, until they hold enough rows.
@@ -99,9 +113,18 @@ class MultiIndex:
         return found
 
     def within(self, scheme: str, q: np.ndarray, squared: float) -> np.ndarray:
-        """Filled cells whose bounding box comes as near as a squared distance: no other cell has a nearer row."""
-        gap = np.maximum(np.maximum(self.low[scheme] - q, q - self.high[scheme]), 0.0)
-        return self.filled[scheme][(gap * gap).sum(1) <= squared * (1 + 1e-9) + 1e-12]
+        """Filled cells that can hold a row as near as a squared distance, by the bounds of both halves: no other cell can."""
+        h = self.centroids[scheme][0].shape[1]
+        gaps = []
+        for (low, high), part in zip(self.bounds[scheme], (q[:h], q[h:])):
+            gap = np.maximum(np.maximum(low - part, part - high), 0.0)
+            gaps.append((gap * gap).sum(1))
+        most = squared * (1 + 1e-9) + 1e-12
+        first = np.flatnonzero((gaps[0] <= most) & np.isfinite(gaps[0]))
+        wide = len(gaps[1])
+        near = [a * wide + np.flatnonzero(gaps[1] <= most - gaps[0][a]) for a in first]
+        found = np.concatenate(near) if near else np.zeros(0, np.int64)
+        return found[self.size[scheme][found] > 0]
 
 
 def _complete(vectors: DataFrame, row_id: str, scheme: str, axes: list[str]) -> DataFrame:
@@ -130,34 +153,40 @@ def build_index(vectors: DataFrame, row_id: str, scheme: str, axes: list[str], s
     if not counts:
         return None, rows.withColumn("cell", F.lit(0))
     u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    total = sum(counts.values())
+    width = {name: max(LEAST_CENTROIDS, int(round(np.sqrt(min(n / CELL_ROWS, MOST_CELLS * n / total))))) for name, n in counts.items()}
+    wanted = {name: max(FIT_ROWS, FIT_PER_CENTROID * k) for name, k in width.items()}
     share = F.lit(0)
     for name, n in sorted(counts.items()):
-        share = F.when(F.col("scheme") == name, F.lit(int(min(1.0, FIT_ROWS / n) * (1 << 30)))).otherwise(share)
-    sample = rows.where(u < share).limit(2 * FIT_ROWS * len(counts)).toArrow().to_pandas()  # bounded by FIT_ROWS a scheme
+        share = F.when(F.col("scheme") == name, F.lit(int(min(1.0, wanted[name] / n) * (1 << 30)))).otherwise(share)
+    sample = rows.where(u < share).limit(2 * sum(wanted.values())).toArrow().to_pandas()  # bounded by the rows wanted
     half = (len(axes) + 1) // 2
     centroids = {}
-    for name, n in counts.items():
+    for name in counts:
         x = sample.loc[sample["scheme"] == name].sort_values(["id", *axes])[axes].to_numpy()
         if not len(x):
             x = np.array([rows.where(F.col("scheme") == name).select(*axes).first()], float)
-        k = int(np.clip(round(np.sqrt(n / CELL_ROWS)), LEAST_CENTROIDS, MOST_CENTROIDS))
-        centroids[name] = (kmeans(x[:, :half], k), kmeans(x[:, half:], k))
+        centroids[name] = (kmeans(x[:, :half], width[name]), kmeans(x[:, half:], width[name]))
     index = MultiIndex(centroids)
+    wide = {name: len(b) for name, (_, b) in centroids.items()}
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # centroids only, as yet
 
     def assign(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            cell = np.zeros(len(pdf), np.int64)
+            cell, first = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
             names, x = pdf["scheme"].to_numpy(), pdf[axes].to_numpy()
             for name in pd.unique(names):
                 at = names == name
-                cell[at] = index.cells(name, x[at])
-            yield pdf.assign(cell=cell)
-
-    table = cut(rows.mapInPandas(assign, rows.schema.simpleString()[7:-1].replace(":", " ") + ", cell long"), "cells")
-    boxes = table.groupBy("scheme", "cell").agg(F.count(F.lit(1)).alias("n"), *[F.min(e).alias(f"lo_{e}") for e in axes], *[F.max(e).alias(f"hi_{e}") for e in axes])
-    index.fill(boxes.toArrow().to_pandas(), axes)  # at most MOST_CENTROIDS squared rows a scheme
+                cell[at] = shared.value.cells(name, x[at])
+                first[at] = cell[at] // wide[name]
+            yield pdf.assign(cell=cell, a=first.astype(np.int32), b=(cell - first * np.array([wide[n] for n in names], np.int64)).astype(np.int32))
+
+    table = cut(rows.mapInPandas(assign, rows.schema.simpleString()[7:-1].replace(":", " ") + ", cell long, a int, b int"), "cells")
+    cells = table.groupBy("scheme", "cell").agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas()  # MOST_CELLS rows at most
+    bounds = lambda side, names: table.groupBy("scheme", F.col(side).alias("half")).agg(*[f(e).alias(f"{s}_{e}") for e in names for s, f in (("lo", F.min), ("hi", F.max))]).toArrow().to_pandas()
+    index.fill(cells, [bounds("a", axes[:half]), bounds("b", axes[half:])], axes)  # a row a centroid
     drop(rows)
-    return index, table
+    return index, table.drop("a", "b")
 
 
 def _top(q_id: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
@@ -233,53 +262,47 @@ def _merge(found: DataFrame, k: int) -> DataFrame:
     return top.select("query", F.posexplode("top").alias("rank", "n")).select("query", F.col("n.neighbour").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("n.squared").alias("squared"))
 
 
-def _few(index: MultiIndex, table: DataFrame, queries: pd.DataFrame, axes: list[str], k: int, candidates: int, exact: bool) -> DataFrame:
+def _visits(index: Broadcast, queries: DataFrame, axes: list[str], candidates: int, rest: bool) -> DataFrame:
+    """(id, scheme, cell, axes): the cells that each query visits, walked in tasks.
+
+    With ``rest`` these are the cells that a query has not visited yet and that can hold a row as near as its column
+    ``far``, the squared distance of the k-th row found (null: fewer were found, so all cells can).
+    """
+
+    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in it:
+            for lo in range(0, len(whole), 500):
+                pdf = whole.iloc[lo : lo + 500]
+                x = pdf[axes].to_numpy()
+                visits = [np.array(index.value.traverse(s, q, candidates), np.int64) for s, q in zip(pdf["scheme"], x)]
+                if rest:
+                    visits = [np.setdiff1d(index.value.within(s, q, np.inf if np.isnan(f) else f), v) for s, q, f, v in zip(pdf["scheme"], x, pdf["far"].to_numpy(float), visits)]
+                at = np.repeat(np.arange(len(pdf)), [len(v) for v in visits])
+                out = pdf.iloc[at].reset_index(drop=True)
+                out["cell"] = np.concatenate([*visits, np.zeros(0, np.int64)]).astype(np.int64)
+                yield out[["id", "scheme", "cell", *axes]]
+
+    wanted = queries.select("id", "scheme", *axes, *(["far"] if rest else []))
+    return wanted.mapInPandas(walk, "id long, scheme string, cell long, " + ", ".join(f"{e} double" for e in axes))
+
+
+def _few(table: DataFrame, queries: pd.DataFrame, visits: pd.DataFrame, axes: list[str], k: int) -> DataFrame:
+    """The rows of the visited cells are ranked where they lie; ``queries`` are FEW_QUERIES at most."""
+    place = pd.Series(np.arange(len(queries)), queries["id"])
+    cells = {key: place[g["id"]].to_numpy() for key, g in visits.groupby(["scheme", "cell"])}
+    cells = {(str(s), int(c)): v for (s, c), v in cells.items()}
     spark = table.sparkSession
-    x = queries[axes].to_numpy()
-    schemes = queries["scheme"].tolist()
-
-    def listed(visits: list) -> dict[tuple[str, int], np.ndarray]:
-        at: dict = {}
-        for q, cells in enumerate(visits):
-            for c in cells:
-                at.setdefault((schemes[q], int(c)), []).append(q)
-        return {key: np.array(v) for key, v in at.items()}
-
-    def search(visits: list) -> DataFrame:
-        cells = listed(visits)
-        wanted = spark.createDataFrame([(s, c) for s, c in cells] or [("", -1)], "scheme string, cell long")
-        rows = table.join(F.broadcast(wanted), ["scheme", "cell"], "left_semi").select("id", "scheme", "cell", *axes)  # at most all cells
-        return rows.mapInPandas(_search_rows(queries, cells, axes, k), "query long, neighbour long, squared double")
-
-    first = [index.traverse(s, q, candidates) for s, q in zip(schemes, x)]
-    found = search(first)
-    if exact:
-        found = cut(found, "near")
-        limits = {r["query"]: r["far"] for r in _merge(found, k).groupBy("query").agg(F.max("squared").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).collect()}
-        rest = []
-        for s, q, q_id, seen in zip(schemes, x, queries["id"].tolist(), first):
-            near = index.within(s, q, limits.get(q_id, np.inf))
-            rest.append(np.setdiff1d(near, seen))
-        found = found.unionByName(search(rest))
-    return _merge(found, k)
+    wanted = spark.createDataFrame(list(cells) or [("", -1)], "scheme string, cell long")
+    rows = table.join(F.broadcast(wanted), ["scheme", "cell"], "left_semi").select("id", "scheme", "cell", *axes)  # the cells of FEW_QUERIES
+    return rows.mapInPandas(_search_rows(queries, cells, axes, k), "query long, neighbour long, squared double")
 
 
-def _many(index: MultiIndex, table: DataFrame, queries: DataFrame, axes: list[str], k: int, candidates: int) -> DataFrame:
+def _many(table: DataFrame, visits: DataFrame, axes: list[str], k: int) -> DataFrame:
     """Queries meet the rows of their cells in a shuffle; large cells and much-visited cells are cut into parts."""
-
-    def walk(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            x = pdf[axes].to_numpy()
-            visits = [index.traverse(s, q, candidates) for s, q in zip(pdf["scheme"], x)]
-            at = np.repeat(np.arange(len(pdf)), [len(v) for v in visits])
-            out = pdf.iloc[at].reset_index(drop=True)
-            out["cell"] = np.array([c for v in visits for c in v], np.int64)
-            yield out[["id", "scheme", "cell", *axes]]
-
-    visits = cut(queries.select("id", "scheme", *axes).mapInPandas(walk, "id long, scheme string, cell long, " + ", ".join(f"{e} double" for e in axes)), "visits")
+    visits = cut(visits, "visits")
     asked = visits.groupBy("scheme", "cell").agg(F.ceil(F.count(F.lit(1)) / PART_QUERIES).cast("int").alias("qparts"))
     held = table.groupBy("scheme", "cell").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    plan = F.broadcast(asked.join(held, ["scheme", "cell"]))  # one row a cell, at most MOST_CENTROIDS squared a scheme
+    plan = F.broadcast(asked.join(held, ["scheme", "cell"]))  # one row a cell: MOST_CELLS at most
     left = visits.join(plan, ["scheme", "cell"]).withColumn("qpart", F.pmod(F.xxhash64("id"), F.col("qparts")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     right = table.join(plan, ["scheme", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)))
     keys = ["scheme", "cell", "part", "qpart"]
@@ -290,8 +313,7 @@ def _many(index: MultiIndex, table: DataFrame, queries: DataFrame, axes: list[st
         q, r = q.drop_duplicates("id"), r.drop_duplicates("id")
         return _top(*_nearest(q["id"].to_numpy(), q[axes].to_numpy(), r["id"].to_numpy(), r[axes].to_numpy(), k), k)
 
-    met = left.select("id", *keys, *axes).groupBy(*keys).cogroup(right.select("id", *keys, *axes).groupBy(*keys)).applyInPandas(meet, "query long, neighbour long, squared double")
-    return _merge(met, k)
+    return left.select("id", *keys, *axes).groupBy(*keys).cogroup(right.select("id", *keys, *axes).groupBy(*keys)).applyInPandas(meet, "query long, neighbour long, squared double")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, scheme: str, axes: list[str], k: int = 5, candidates: int = CANDIDATES, exact: bool = False) -> DataFrame:
@@ -299,21 +321,27 @@ def nearest(vectors: DataFrame, queries: DataFrame, row_id: str, scheme: str, ax
 
     ``queries`` has the column ``row_id``. The cells of the inverted multi-index are visited by summed centroid
     distance until they hold ``candidates`` rows, and these are reranked by their distance over all axes. With
-    ``exact`` (few queries only) all other cells whose bounding box is nearer than the k-th row found are searched
-    too, so nothing is missed. Ties go to the lesser id. Queries that are unknown or incomplete give no rows; a row
-    delivered several times counts once; a scheme with fewer than k other rows gives what it has.
+    ``exact`` all other cells that the bounds of their halves allow to hold a row nearer than the k-th row found are
+    searched too, so nothing is missed, for any number of queries. Ties go to the lesser id. Queries that are unknown or
+    incomplete give no rows; a row delivered several times counts once; a scheme with fewer than k other rows gives
+    what it has.
     """
     index, table = build_index(vectors, row_id, scheme, axes)
     asked = queries.select(F.col(row_id).cast("long").alias("id")).where(F.col("id").isNotNull()).distinct()
-    n = asked.count()
-    few = n <= FEW_QUERIES
-    rows = table.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "scheme", *axes)
-    if exact and not few:
-        raise ValueError(f"the exact search takes up to {FEW_QUERIES} queries")
+    few = asked.count() <= FEW_QUERIES
+    rows = table.join(F.broadcast(asked) if few else asked, "id", "left_semi").select("id", "scheme", *axes).dropDuplicates(["id"])
     if index is None:
-        top = table.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.col("cell").alias("rank"), F.lit(0.0).alias("squared"))
-    elif few:
-        top = _few(index, table, rows.toArrow().to_pandas().drop_duplicates("id").sort_values("id").reset_index(drop=True), axes, k, candidates, exact)
-    else:
-        top = _many(index, table, rows.dropDuplicates(["id"]), axes, k, candidates)
-    return top.select("query", "neighbour", "rank", F.sqrt("squared").alias("distance"))
+        return table.select(F.col("id").alias("query"), F.col("id").alias("neighbour"), F.col("cell").alias("rank"), F.lit(0.0).alias("distance"))
+    shared = vectors.sparkSession.sparkContext.broadcast(index)
+    rows = cut(rows, "queries")
+    known = rows.toArrow().to_pandas().sort_values("id").reset_index(drop=True) if few else None  # FEW_QUERIES at most
+
+    def met(visits: DataFrame) -> DataFrame:
+        return _few(table, known, visits.select("id", "scheme", "cell").toArrow().to_pandas(), axes, k) if few else _many(table, visits, axes, k)
+
+    found = met(_visits(shared, rows, axes, candidates, False))
+    if exact:
+        found = cut(found, "near")
+        far = _merge(found, k).groupBy("query").agg(F.max("squared").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select(F.col("query").alias("id"), "far")
+        found = found.unionByName(met(_visits(shared, rows.join(far, "id", "left"), axes, candidates, True)))
+    return _merge(found, k).select("query", "neighbour", "rank", F.sqrt("squared").alias("distance"))

@@ -27,7 +27,10 @@ def data():
     return x, ["a" if i % 9 else "b" for i in range(len(x))]
 
 
-def test_exact_search(spark, data):
+@pytest.mark.parametrize("few", [True, False])
+def test_exact_search(spark, data, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(N, "FEW_QUERIES", 1)
     x, schemes = data
     q = list(range(0, 1600, 97)) + [9000, 123456]
     got = {}
@@ -93,7 +96,7 @@ def test_walk_is_in_order():
     rng = np.random.default_rng(0)
     a, b = rng.normal(size=(6, 2)), rng.normal(size=(5, 2))
     index = N.MultiIndex({"a": (a, b)})
-    index.size["a"] = np.ones(30, np.int64)
+    index.size["a"] = np.ones(30, np.int32)
     q = rng.normal(size=4)
     sums = [((q[:2] - a[c // 5]) ** 2).sum() + ((q[2:] - b[c % 5]) ** 2).sum() for c in index.traverse("a", q, 10**9)]
     assert len(sums) == 30 and np.all(np.diff(sums) >= -1e-12)
@@ -104,3 +107,23 @@ def test_query_against_sql(same_as_sql):
     from octolake.llm import queries
 
     same_as_sql(queries.p4_found, queries.SQL["p4_found"])
+
+
+def test_bounds_leave_no_near_cell_out():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 4))
+    index = N.MultiIndex({"a": (N.kmeans(x[:, :2], 9), N.kmeans(x[:, 2:], 7))})
+    import pandas as pd
+
+    cell = index.cells("a", x)
+    frame = pd.DataFrame(x, columns=AXES).assign(scheme="a", cell=cell, a=cell // 7, b=cell % 7)
+    halves = []
+    for side, names in (("a", AXES[:2]), ("b", AXES[2:])):
+        g = frame.groupby(["scheme", side])[names].agg(["min", "max"])
+        g.columns = [f"{'lo' if s == 'min' else 'hi'}_{e}" for e, s in g.columns]
+        halves.append(g.reset_index().rename(columns={side: "half"}))
+    index.fill(frame.groupby(["scheme", "cell"]).size().reset_index(name="n"), halves, AXES)
+    for q in rng.normal(size=(40, 4)):
+        d = ((x - q) ** 2).sum(1)
+        for far in (0.05, 0.4, np.inf):
+            assert set(cell[d <= far]) <= set(index.within("a", q, far))
