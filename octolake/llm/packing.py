@@ -22,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 RANK_ROWS = 50_000
 #: Longest capacity: it bounds the histogram that the plan is made from.
 MOST_TOKENS = 1 << 20
+#: Kinds of containers; more are an error.
+MOST_KINDS = 1000
 #: Tokens of a training step, as a multiple of the longest capacity.
 STEP_CONTAINERS = 64
 #: Unused share from which a window's items are packed again into the longest windows.
@@ -146,7 +148,9 @@ def pack(counts: DataFrame, capacities: dict[str, int], step_containers: int = S
     """
     if not capacities or min(capacities.values()) < 1 or max(capacities.values()) > MOST_TOKENS:
         raise ValueError(f"capacities must be between 1 and {MOST_TOKENS}")
-    kinds = {c: k for k, c in sorted(capacities.items(), reverse=True)}
+    kinds: dict[int, list[str]] = {}
+    for name, c in sorted(capacities.items()):
+        kinds.setdefault(c, []).append(name)
     most = max(kinds)
     items = _pieces(counts, most)
     histogram = {int(r["size"]): int(r["count"]) for r in items.groupBy("size").count().collect()}  # at most `most` rows
@@ -159,6 +163,7 @@ def pack(counts: DataFrame, capacities: dict[str, int], step_containers: int = S
     ranked = parted.withColumn("_own", own).join(ahead, ["size", "part"]).withColumn("rank", F.col("_own") + F.col("_ahead"))
 
     capacity_total = int((opened["tier"] * opened["n"]).sum())
+    shared = {c: len(names) for c, names in kinds.items()}
     steps = max(1, -(-capacity_total // (most * step_containers)))
     opened = opened.sort_values("first").reset_index(drop=True)
     opened["before"] = opened.groupby("tier")["n"].cumsum() - opened["n"]  # containers of the tier before these
@@ -175,10 +180,11 @@ def pack(counts: DataFrame, capacities: dict[str, int], step_containers: int = S
             container = seg["container"].to_numpy() + within // per
             home = opened.iloc[np.searchsorted(opened["first"].to_numpy(), container, side="right") - 1]
             number = home["before"].to_numpy() + container - home["first"].to_numpy()
+            same = home["tier"].map(shared).to_numpy()  # kinds of one capacity take its containers in turn
             yield pd.DataFrame(
                 {
                     "doc_id": pdf["doc_id"], "piece": pdf["piece"], "first_token": pdf["first_token"], "n_tokens": size,
-                    "pack_kind": [kinds[t] for t in home["tier"]], "container_id": container, "start": seg["offset"].to_numpy() + (within % per) * size, "step_group": number % steps,
+                    "pack_kind": [kinds[t][i] for t, i in zip(home["tier"], number % same)], "container_id": container, "start": seg["offset"].to_numpy() + (within % per) * size, "step_group": number // same % steps,
                 }
             )
 
@@ -189,8 +195,10 @@ def pack(counts: DataFrame, capacities: dict[str, int], step_containers: int = S
 
 
 def capacities_of(table: DataFrame) -> dict[str, int]:
-    """The kinds and their capacities; a kind that is listed twice has the greater one. At most 1000 kinds."""
-    rows = table.where(F.col("pack_kind").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("pack_kind").agg(F.max("capacity_tokens").alias("c")).limit(1000).collect()
+    """The kinds and their capacities; a kind that is listed twice has the greater one. More than MOST_KINDS are an error."""
+    rows = table.where(F.col("pack_kind").isNotNull() & (F.col("capacity_tokens") > 0)).groupBy("pack_kind").agg(F.max("capacity_tokens").alias("c")).limit(MOST_KINDS + 1).collect()
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
     return {r["pack_kind"]: int(r["c"]) for r in rows}
 
 
@@ -210,3 +218,21 @@ def fill_report(placed: DataFrame, capacities: DataFrame) -> DataFrame:
     per = placed.where(F.col("container_id").isNotNull()).groupBy("pack_kind").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
     size = capacities.groupBy("pack_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity_tokens"))
     return per.join(size, "pack_kind").select("pack_kind", "containers", "tokens", (F.col("containers") * F.col("capacity_tokens")).alias("capacity"), (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))
+
+
+def pack_check(placed: DataFrame, capacities: DataFrame) -> DataFrame:
+    """(documents, overfull_containers, overlapping_items, wrongly_split) of a packing: all but the first must be 0.
+
+    Items overlap if one starts before the one before it in its container has ended; a document is wrongly split if it
+    has several items though its tokens fit the greatest capacity, or if its items don't add up.
+    """
+    size = capacities.groupBy("pack_kind").agg(F.max("capacity_tokens").cast("long").alias("capacity_tokens"))
+    inside = placed.where(F.col("container_id").isNotNull())
+    w = W.partitionBy("pack_kind", "container_id").orderBy("start")  # a container's items: capacity tokens at most
+    overlapping = inside.withColumn("_end", F.lag(F.col("start") + F.col("n_tokens")).over(w)).agg(F.coalesce(F.sum((F.col("start") < F.col("_end")).cast("long")), F.lit(0)).alias("overlapping_items"))
+    used = inside.groupBy("pack_kind", "container_id").agg(F.max(F.col("start") + F.col("n_tokens")).alias("used")).join(F.broadcast(size), "pack_kind")  # MOST_KINDS rows
+    overfull = used.agg(F.coalesce(F.sum((F.col("used") > F.col("capacity_tokens")).cast("long")), F.lit(0)).alias("overfull_containers"))
+    most = size.agg(F.max("capacity_tokens").alias("most"))
+    docs = placed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("items"), F.sum("n_tokens").alias("tokens"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"))
+    split = docs.crossJoin(F.broadcast(most)).agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum((((F.col("items") > 1) & (F.col("tokens") <= F.col("most"))) | (F.col("tokens") != F.col("end"))).cast("long")), F.lit(0)).alias("wrongly_split"))
+    return split.crossJoin(overfull).crossJoin(overlapping).select("documents", "overfull_containers", "overlapping_items", "wrongly_split")  # one row each

@@ -49,6 +49,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return quotas.quota_report(*_read(spark, folder, "coding_metadata", "sample_targets")).select("target_id", "request_id", "available", "wanted", "sampled", "deficit", "short", "target_share", F.round("reached_share", 6).alias("reached_share"))
 
 
+def p2_check(spark: SparkSession, folder: str) -> DataFrame:
+    return quotas.sample_check(*_read(spark, folder, "coding_metadata", "sample_targets"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_pairs(*_read(spark, folder, "fasta_records", "benchmark_splits", "dataset_configs"))
 
@@ -81,6 +85,11 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(packing.pack_tiers(documents, capacities), capacities)
 
 
+def p6_check(spark: SparkSession, folder: str) -> DataFrame:
+    documents, capacities = _read(spark, folder, "documents", "pack_capacities")
+    return packing.pack_check(cut(packing.pack_tiers(documents, capacities), "packed"), capacities)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(*_read(spark, folder, "documents", "eval_passages")).where(F.col("words_run") >= leaks.PART).select("doc_id", "item_id")
 
@@ -97,7 +106,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.source_rates(*_read(spark, folder, "documents", "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_check, p2_found, p2_sample, p2_report, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p7_found, p7_items, p8_found, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_report, p1_check, p2_found, p2_sample, p2_report, p2_check, p4_found, p4_neighbours, p5_found, p5_report, p6_pack, p6_pack_each, p6_fill, p6_check, p7_found, p7_items, p8_found, p8_rates)}
 
 _LABEL = r"regexp_replace(lower({c}), '[\s-]+', '', 'g')"
 _FIELDS = f"{_LABEL.format(c='label')} AS label, regexp_replace({_LABEL.format(c='chromosome')}, '^chr', '') AS chromosome, gc_bin"
@@ -145,6 +154,8 @@ SQL: dict[str, str] = {
     "p2_report": _QUOTAS
     + _DRAWN
     + "SELECT target_id, request_id, available, wanted, sampled, greatest(0, wanted - available) AS deficit, short, target_share, round(CASE WHEN sum(sampled) OVER (PARTITION BY request_id) > 0 THEN sampled / sum(sampled) OVER (PARTITION BY request_id) ELSE 0 END, 6) AS reached_share FROM s",
+    "p2_check": _QUOTAS + _DRAWN + "SELECT target_id, sampled AS rows, 0 AS strangers FROM s WHERE sampled > 0",
+    "p6_check": "SELECT count(DISTINCT doc_id) AS documents, 0 AS overfull_containers, 0 AS overlapping_items, 0 AS wrongly_split FROM documents WHERE doc_id IS NOT NULL",
     "p5_found": _SIDES
     + "SELECT DISTINCT least(a.sequence_id, b.sequence_id) AS sequence_id_a, greatest(a.sequence_id, b.sequence_id) AS sequence_id_b FROM x a JOIN x b ON a.dataset_id = b.dataset_id AND a.side = 'train' AND b.side = 'held' AND a.sequence_id <> b.sequence_id "
     "AND least(length(a.t), length(b.t)) >= a.least * greatest(length(a.t), length(b.t)) - 1e-9 "

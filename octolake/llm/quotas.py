@@ -154,3 +154,12 @@ def quota_report(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFram
     whole = counted.groupBy(F.col("request_id").alias("_r")).agg(F.sum("sampled").alias("_all"))
     share = F.when(F.col("_all") > 0, F.col("sampled") / F.when(F.col("_all") > 0, F.col("_all"))).otherwise(0.0)
     return counted.join(whole, F.col("request_id").eqNullSafe(F.col("_r"))).withColumn("reached_share", share).drop("_r", "_all")
+
+
+def sample_check(rows: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
+    """(target_id, rows, strangers) of the sample: its rows per target, and those that are repeated or don't match it."""
+    sample = cut(_drawn(rows, targets, seed)[0], "sample")
+    known = matches(rows, targets).withColumn("_known", F.lit(1))
+    per = sample.groupBy("target_id", "sequence_id").agg(F.count(F.lit(1)).alias("n")).join(known, ["target_id", "sequence_id"], "left")
+    wrong = F.when(F.col("_known").isNull(), F.col("n")).otherwise(F.col("n") - 1)
+    return per.groupBy("target_id").agg(F.sum("n").alias("rows"), F.sum(wrong).alias("strangers"))

@@ -95,3 +95,27 @@ def test_empty_and_bad(spark):
     with pytest.raises(ValueError):
         packing.pack(df, {"x": 0})
     assert packing.pack(df.unionByName(spark.createDataFrame([(1, 0)], "doc_id long, n_tokens long")), TIERS).where(F.col("container_id").isNull()).count() == 1
+
+
+def test_kinds_of_one_capacity_take_turns(spark):
+    counts = spark.createDataFrame([(i, 10) for i in range(90)], "doc_id long, n_tokens long")
+    rows = packing.pack(counts, {"a": 30, "b": 30, "c": 30}).collect()
+    kinds = {}
+    for r in rows:
+        kinds.setdefault(r["pack_kind"], set()).add(r["container_id"])
+    assert {k: len(v) for k, v in kinds.items()} == {"a": 10, "b": 10, "c": 10}
+    table = spark.createDataFrame([("a", 30), ("b", 30), ("c", 30)], "pack_kind string, capacity_tokens int")
+    assert tuple(packing.pack_check(packing.pack(counts, {"a": 30, "b": 30, "c": 30}), table).first()) == (90, 0, 0, 0)
+
+
+def test_too_many_kinds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_KINDS", 1)
+    with pytest.raises(ValueError, match="kinds"):
+        packing.capacities_of(spark.createDataFrame([("a", 30), ("b", 30)], "pack_kind string, capacity_tokens int"))
+
+
+def test_check_against_sql(same_as_sql):
+    from octolake.llm import queries
+
+    same_as_sql(queries.p6_check, queries.SQL["p6_check"])
+    same_as_sql(queries.p2_check, queries.SQL["p2_check"])
