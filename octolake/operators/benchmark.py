@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from octolake.functions import octonion as O
 from octolake.operators import trajectory as T
-from octolake.operators.skew import skew_join
+from octolake.operators.skew import running_totals, skew_join
 from octolake.sources.shared import cut
 
 
@@ -206,8 +206,7 @@ def ranking_scores(df: DataFrame, by: list[str], score: str, positive: str) -> D
     PR-AUC is the average precision over the scores from the highest on. Null without rows of either kind.
     """
     counts = df.select(*by, F.col(score).cast("double").alias("s"), F.col(positive).cast("int").alias("y")).dropna().groupBy(*by, "s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    w = W.partitionBy(*by).orderBy(F.desc("s"))
-    run = counts.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("q").over(w))
+    run = running_totals(counts, by, "s", ["p", "q"], descending=True).withColumn("tp", F.col("before_p") + F.col("p")).withColumn("fp", F.col("before_q") + F.col("q"))
     total = run.groupBy(*by).agg(
         F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"),
         F.sum(F.col("q") * (F.col("tp") - F.col("p") / 2.0)).alias("_u"),

@@ -14,10 +14,9 @@ from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VarianceT
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from octolake.operators.skew import skew_join
+from octolake.operators.skew import running_totals, skew_join
 from octolake.sources.shared import cut
 
 #: Labels that ``cross_validated`` takes; their counts are broadcast.
@@ -200,11 +199,10 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str] | None = None) -> Dat
 def rank_auc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """(n_pos, n_neg, auc): area under the ROC curve by ranks, ties sharing theirs; null where a class is missing.
 
-    Scores are counted first, so only different scores are ordered.
+    Scores are counted first, so only different scores are ordered, in ranges.
     """
     counts = df.select(F.col(score).cast("double").alias("s"), F.col(positive).cast("int").alias("y")).dropna().groupBy("s").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    w = W.orderBy("s").rowsBetween(W.unboundedPreceding, -1)
-    won = counts.withColumn("_below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    won = running_totals(counts, [], "s", ["q"]).withColumnRenamed("before_q", "_below")
     total = won.agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("_below") + F.col("q") / 2.0)).alias("_u"))
     both = F.col("n_pos") * F.col("n_neg")
     return total.select("n_pos", "n_neg", F.when(both > 0, F.col("_u") / F.when(both > 0, both)).alias("auc"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,3 +170,20 @@ def hot_keys(df: DataFrame, row_id: str, key: str, share: float) -> DataFrame:
         .where(F.col("n_rows") >= share * F.col("_total"))
         .select(key, "n_rows")
     )
+
+
+def running_totals(df: DataFrame, keys: list[str], order: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``df`` with ``before_<c>``: per key the sum of c over the rows that come earlier by ``order``, which must be unique in a key.
+
+    Rows are cut into ranges of (key, order) from a sample, so ranges hold alike many rows however the values lie; each
+    range is summed in order by itself and starts from the totals of the key's ranges before it. No task orders a whole
+    key.
+    """
+    by = F.desc(order) if descending else F.asc(order)
+    ranged = cut(df.repartitionByRange(*keys, by).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    whole = W.partitionBy(*keys).orderBy("_part") if keys else W.partitionBy(F.lit(0)).orderBy("_part")  # a row a range
+    starts = totals.select(*keys, "_part", *[(F.sum(f"_t_{c}").over(whole) - F.col(f"_t_{c}")).alias(f"_s_{c}") for c in columns])
+    inside = W.partitionBy(*keys, "_part").orderBy(by)
+    summed = ranged.select("*", *[(F.sum(c).over(inside) - F.col(c)).alias(f"_o_{c}") for c in columns])
+    return summed.join(starts, [*keys, "_part"]).select(*df.columns, *[(F.col(f"_o_{c}") + F.col(f"_s_{c}")).alias(f"before_{c}") for c in columns])

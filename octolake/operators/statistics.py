@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from octolake.operators.skew import skew_join
+from octolake.operators.skew import running_totals, skew_join
 from octolake.operators.trajectory import group_quantiles
 
 
@@ -48,19 +48,13 @@ def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> Da
     return df.withColumn(name, F.when(v.isNotNull() & ~F.isnan(v), n))
 
 
-def average_ranks(df: DataFrame, value: str, buckets: int = 512) -> DataFrame:
+def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """(value, rank) of the different values: equal ones share their mean rank, from 1.
 
-    Values are counted, put into buckets of their range, and ordered within buckets; no task orders the table.
+    Values are counted and ordered in ranges; no task orders the table, wherever the values lie.
     """
     counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("_n"))
-    low, high = counts.agg(F.min("value"), F.max("value")).first()
-    width = ((high - low) or 1.0) / buckets if low is not None else 1.0
-    placed = counts.withColumn("_b", F.floor((F.col("value") - F.lit(low if low is not None else 0.0)) / width))
-    hist = placed.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    before = hist.select("_b", (F.sum("_bn").over(W.orderBy("_b")) - F.col("_bn")).alias("_before"))  # at most buckets + 1 rows
-    own = F.sum("_n").over(W.partitionBy("_b").orderBy("value")) - F.col("_n")
-    return placed.withColumn("_own", own).join(F.broadcast(before), "_b").select("value", (F.col("_before") + F.col("_own") + (F.col("_n") + 1) / 2).alias("rank"))
+    return running_totals(counts, [], "value", ["_n"]).select("value", (F.col("before__n") + (F.col("_n") + 1) / 2).alias("rank"))
 
 
 def correlation(a: str, b: str) -> Column:

@@ -12,6 +12,8 @@ from octolake.sources.shared import cut
 
 #: Positions of one key that a task orders together; a longer trajectory is cut into as many chunks as it needs.
 CHUNK = 4096
+#: Different values of one group that one aggregate holds.
+MOST_HELD = 50_000
 PRODUCT = [f"p{i}" for i in range(8)]
 ASSOCIATOR = [f"a{i}" for i in range(8)]
 
@@ -155,18 +157,28 @@ def strongest(products: DataFrame, keys: list[str], position: str, n: int) -> Da
     return products.orderBy(F.desc("transition_score"), *keys, position).limit(n)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = 256) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], buckets: int = 64) -> DataFrame:
     """keys and q0, q1, ... : exact quantiles by linear interpolation, for groups of any size.
 
-    Equal values of a group are counted first; a histogram of the group's range tells in which bucket each wanted rank
-    lies, and only the different values of such buckets are ordered. Null and NaN values are left out; a group without
+    Equal values of a group are counted first. Groups with up to MOST_HELD different values are then held in one
+    aggregate each. For larger ones approximate quantiles of the different values part these into buckets of
+    alike size, wherever they lie; the buckets' counts tell in which of them each wanted rank lies, and only the
+    different values of such buckets are ordered. Null and NaN values are left out; a group without
     a value gives no row.
     """
     counts = cut(df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")), "counts")
-    ranges = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_all"))
-    spread = F.col("_hi") - F.col("_lo")
-    bucket = F.when(spread > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / F.when(spread > 0, spread) * buckets), F.lit(buckets - 1))).otherwise(0).cast("int")
-    placed = cut(skew_join(counts, ranges, keys).withColumn("_b", bucket), "values")
+    large = cut(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > MOST_HELD).select(*keys), "large")
+    some = bool(large.take(1))
+    small = counts.join(large, keys, "left_anti") if some else counts
+    held = small.groupBy(*keys).agg(F.percentile("_v", F.array(*[F.lit(p) for p in probs]), F.col("_n")).alias("_q")).select(*keys, *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
+    return held.unionByName(_large_quantiles(cut(counts.join(large, keys, "left_semi"), "large"), keys, probs, buckets)) if some else held
+
+
+def _large_quantiles(counts: DataFrame, keys: list[str], probs: list[float], buckets: int) -> DataFrame:
+    edges = F.percentile_approx("_v", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000))
+    ranges = counts.groupBy(*keys).agg(edges.alias("_edges"), F.sum("_n").alias("_all"))
+    bucket = F.size(F.filter("_edges", lambda e: e < F.col("_v")))
+    placed = cut(skew_join(counts, ranges, keys).withColumn("_b", bucket).drop("_edges"), "values")
     hist = placed.groupBy(*keys, "_b", "_all").agg(F.sum("_n").alias("_bn"))
     hist = hist.withColumn("_before", F.sum("_bn").over(W.partitionBy(*keys).orderBy("_b")) - F.col("_bn"))
     ranks = [F.struct(F.lit(i).alias("q"), F.lit(side).alias("side"), f(F.lit(p) * (F.col("_all") - 1)).cast("long").alias("rank")) for i, p in enumerate(probs) for side, f in ((0, F.floor), (1, F.ceil))]

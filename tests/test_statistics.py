@@ -20,7 +20,7 @@ def test_bins_and_ranks(spark):
     assert bins[100] is None and bins[0] == 0 and bins[6] == max(b for b in bins.values() if b is not None)
     flat = ST.quantile_bins(df.withColumn("v", F.lit(2.0)), "v", 3)
     assert {r["bin"] for r in flat.collect()} == {0}
-    ranks = {r["value"]: r["rank"] for r in ST.average_ranks(df, "v", buckets=3).collect()}
+    ranks = {r["value"]: r["rank"] for r in ST.average_ranks(df, "v").collect()}
     assert ranks == {1.0: 2.0, 2.0: 4.0, 3.0: 5.0, 4.0: 6.0, 5.0: 7.0}
     both = df.withColumn("w", -F.col("v"))
     r = ST.rank_correlation(both, "id", "v", "w").collect()[0]

@@ -72,9 +72,11 @@ def test_empty(spark):
         assert out.count() == 0
 
 
-def test_quantiles(spark):
+@pytest.mark.parametrize("held", [10, 10**6])
+def test_quantiles(spark, monkeypatch, held):
+    monkeypatch.setattr(T, "MOST_HELD", held)
     rng = np.random.default_rng(1)
-    groups = {"a": rng.normal(size=500), "b": np.repeat(2.0, 40), "c": np.array([1.0]), "d": rng.integers(0, 3, 77).astype(float)}
+    groups = {"a": rng.normal(size=500), "b": np.repeat(2.0, 40), "c": np.array([1.0]), "d": rng.integers(0, 3, 77).astype(float), "o": np.append(rng.normal(size=300), 1e12)}
     rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("a", None), ("e", None), ("a", float("nan"))]
     got = {r["k"]: r for r in T.group_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", [0.0, 0.25, 0.5, 1.0]).collect()}
     assert set(got) == set(groups)
