@@ -280,20 +280,24 @@ def _parting(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(cuts[np.argmax(above(positive) - WRONG * above(unlabelled))])
 
 
-def best_share(corpus: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def best_share(corpus: np.ndarray, toxic: np.ndarray, wrong: float = WRONG) -> tuple[float, float]:
     """The share of the corpus to flag for the best F1, and the estimated share of toxic documents.
 
     ``corpus`` and ``toxic`` are counts of documents by steps of the score, from the lowest on: of all documents, and of
-    confirmed ones that the model wasn't fitted on. At the step that parts both best, what the corpus has above is taken
+    confirmed ones that the model wasn't fitted on. Recall is taken one standard deviation of its count lower, so that
+    few confirmed ones don't make much of chance. At the step that parts both best, what the corpus has above is taken
     for the share of toxic documents, and what confirmed ones have below for readers' errors; hits are the recall of the
     others times that share. Of the steps whose F1 is within 0.01 of the best the middle one is taken. (0, 0) without
-    documents.
+    documents, or if confirmed ones score no higher than others.
     """
     if not corpus.sum() or not toxic.sum():
         return 0.0, 0.0
     flagged = corpus[::-1].cumsum()[::-1] / corpus.sum()
-    recall = toxic[::-1].cumsum()[::-1] / toxic.sum()
-    part = int(np.argmax(recall - flagged))
+    hits = toxic[::-1].cumsum()[::-1]
+    recall = (hits - np.sqrt(hits)) / toxic.sum()
+    part = int(np.argmax(recall - wrong * flagged))
+    if recall[part] <= wrong * flagged[part]:
+        return 0.0, 0.0
     share = flagged[part]
     f1 = 2 * share * np.minimum(1.0, recall / recall[part]) / (share + flagged)
     good = np.flatnonzero(f1 >= f1.max() - 0.01)
@@ -419,6 +423,7 @@ def threshold_of(scores: DataFrame, labels: DataFrame) -> tuple[float, float]:
 
     Every confirmed document is judged by the model of the half that it isn't in, so none speaks for itself. For either
     half :func:`best_share` gives the share to flag; the mean of both is the share that the model of all documents flags.
+    Where confirmed documents are too few to tell, a document is flagged if its worst window is likelier toxic than not.
     """
     toxic = votes(labels).where("toxic > clear").select("doc_id", F.lit(1).alias("toxic"))
     z = lambda c: F.when(F.isnan(c), None).otherwise(F.floor((F.col(c) + FARTHEST) / STEP).cast("int"))
@@ -430,11 +435,14 @@ def threshold_of(scores: DataFrame, labels: DataFrame) -> tuple[float, float]:
     table = {m: (np.bincount(g["step"], weights=g["n"], minlength=size), np.bincount(g["step"], weights=g["t"], minlength=size)) for m, g in counts.groupby("model")}
     if len(table) < 3:
         return np.inf, 0.0
-    flag, share = np.mean([best_share(*table[m]) for m in (1, 2)], axis=0)
+    found = [f for f in (best_share(*table[m]) for m in (1, 2)) if f[0] > 0]
+    if not found:
+        return 0.0, 0.0
+    flag, share = np.mean(found, axis=0)
     corpus = table[0][0]
     above = corpus[::-1].cumsum()[::-1] / corpus.sum()
     step = int(np.argmin(np.abs(above - flag)))
-    return (step * STEP - FARTHEST if flag > 0 else np.inf), float(share)
+    return step * STEP - FARTHEST, float(share)
 
 
 def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
