@@ -112,7 +112,7 @@ def test_scores_and_rates(spark, tables):
     said = {i for i, r in got.items() if r["flagged"]}
     toxic = {i for i, b in truth.items() if b}
     # either half has some fifty confirmed texts here, so the share to flag is a rough one
-    assert len(said & toxic) >= 0.9 * len(toxic) and len(said & toxic) >= 0.8 * len(said)
+    assert len(said & toxic) >= 0.85 * len(toxic) and len(said & toxic) >= 0.85 * len(said)
     rates = {r["source"]: r for r in T.source_rates(docs, labels).collect()}
     assert set(rates) == {"s1", "s2", None} and sum(r["documents"] for r in rates.values()) == 702
     assert sum(r["flagged"] for r in rates.values()) == len(said)
