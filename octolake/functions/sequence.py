@@ -145,3 +145,36 @@ def mirror_similarity(c: Column) -> Column:
     """
     n = F.length(c)
     return F.when(n > 0, _mirrored(c) / F.when(n > 0, n)).otherwise(0.0)
+
+
+def equal_places(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Per pair of strings, the places at which both have the same symbol, counted from the start."""
+    (x, x_edges), (y, y_edges) = symbols(a), symbols(b)
+    n = np.minimum(np.diff(x_edges), np.diff(y_edges))
+    out = np.zeros(len(n), np.int64)
+    at = 0
+    total = np.concatenate([[0], np.cumsum(n)])
+    while at < len(n):  # pairs are taken together up to a bounded number of symbols; a longer one is alone
+        end = max(at + 1, int(np.searchsorted(total, total[at] + MIRROR_SYMBOLS, "right")) - 1)
+        owner = np.repeat(np.arange(at, end), n[at:end])
+        inside = np.arange(len(owner)) - np.repeat(total[at:end] - total[at], n[at:end])
+        same = x[x_edges[owner] + inside].astype(np.uint32) == y[y_edges[owner] + inside].astype(np.uint32)
+        out[at:end] = np.bincount(owner - at, weights=same, minlength=end - at)
+        at = end
+    return out
+
+
+@F.arrow_udf(LongType())
+def _equal_places(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(equal_places(a, b))
+
+
+def positional_identity(a: Column, b: Column) -> Column:
+    """Equal places of two strings over the longer length; 1 for two empty strings, null if either is null."""
+    longer = F.greatest(F.length(a), F.length(b))
+    return F.when(a.isNull() | b.isNull(), None).when(longer > 0, _equal_places(a, b) / F.when(longer > 0, longer)).otherwise(1.0)
+
+
+def valid(c: Column, alphabet: str) -> Column:
+    """Whether a string is not empty and holds letters of the alphabet alone; false for null."""
+    return F.coalesce(c.rlike(f"^[{alphabet}]+$"), F.lit(False))

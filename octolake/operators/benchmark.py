@@ -62,6 +62,11 @@ def balanced_sample(df: DataFrame, by: list[str], label: str, row_id: str, most:
     return skew_join(rows, sizes, by).where(F.col("place") < least).select(*df.columns)
 
 
+def capped_per_parent(df: DataFrame, parent: str, row_id: str, most: int) -> DataFrame:
+    """At most ``most`` rows of every parent, in the md5 order of the id; rows with a null parent or id are left out."""
+    return placed_in_order(df.dropna(subset=[parent, row_id]), [parent], F.col(row_id).cast("string")).where(F.col("place") < most).select(*df.columns)
+
+
 def fold_of(group: Column, folds: int) -> Column:
     """A fold from the md5 of the group, so that a group stays in one fold, in any engine."""
     return F.pmod(F.conv(F.substring(F.md5(group), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")

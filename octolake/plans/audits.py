@@ -17,6 +17,7 @@ from octolake.operators import controls as N
 from octolake.operators import sequences as Q
 from octolake.operators import statistics as ST
 from octolake.operators import trajectory as T
+from octolake.operators.skew import skew_join
 from octolake.plans import analysis as PA
 from octolake.plans import sequences as PS
 from octolake.plans import trajectories as PT
@@ -25,7 +26,7 @@ from octolake.plans.common import CODON_ID, CODON_KEYS, CODON_POSITION, WINDOW_I
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 W, C = (WINDOW_KEYS, WINDOW_POSITION, WINDOW_ID), (CODON_KEYS, CODON_POSITION, CODON_ID)
-SPACE_K, PER_LABEL, MATRICES = 3, 50, 3
+SPACE_K, PER_LABEL, PER_PARENT, MATRICES = 3, 50, 2, 3
 RESIDUE_LETTERS = "".join(S.RESIDUES)
 
 
@@ -347,3 +348,35 @@ def table_digests(spark, folder):
         one = ST.table_digest(table(spark, folder, name), columns).select(F.lit(name).alias("table_name"), "rows", "digest")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@_add("capped_clusters", f"SELECT sequence_id, homology_cluster FROM (SELECT *, row_number() OVER (PARTITION BY homology_cluster ORDER BY md5(sequence_id), sequence_id) AS i FROM (SELECT DISTINCT sequence_id, homology_cluster FROM homology_clusters WHERE sequence_id IS NOT NULL AND homology_cluster IS NOT NULL)) WHERE i <= {PER_PARENT}")
+def capped_clusters(spark, folder):
+    """A few members of every homology cluster: a sampling operator."""
+    rows = table(spark, folder, "homology_clusters").select("sequence_id", "homology_cluster").distinct()
+    return B.capped_per_parent(rows, "homology_cluster", "sequence_id", PER_PARENT)
+
+
+_SAME = "list_sum(list_transform(range(1, least(length(a.s), length(b.s)) + 1), lambda i: (substr(a.s, i, 1) = substr(b.s, i, 1))::INT))"
+
+
+@_add(
+    "cluster_identity",
+    f"WITH d AS ({PS._CLEAN}), o AS (SELECT sequence_id, min(s) AS s FROM d WHERE s <> '' GROUP BY 1), m AS (SELECT DISTINCT sequence_id, homology_cluster FROM homology_clusters WHERE homology_cluster IS NOT NULL), r AS (SELECT m.homology_cluster, min(m.sequence_id) AS first FROM m JOIN o ON o.sequence_id = m.sequence_id GROUP BY 1) "
+    f"SELECT m.homology_cluster, m.sequence_id, {sql6(f'CASE WHEN greatest(length(a.s), length(b.s)) > 0 THEN coalesce({_SAME}, 0)::DOUBLE / greatest(length(a.s), length(b.s)) ELSE 1 END', 'identity')} FROM m JOIN r ON r.homology_cluster = m.homology_cluster JOIN o a ON a.sequence_id = m.sequence_id JOIN o b ON b.sequence_id = r.first",
+)
+def cluster_identity(spark, folder):
+    """The positional identity of every member of a homology cluster with the cluster's least member."""
+    text = _records(spark, folder, None).groupBy("sequence_id").agg(F.min("sequence").alias("s"))
+    members = table(spark, folder, "homology_clusters").where(F.col("homology_cluster").isNotNull()).select("sequence_id", "homology_cluster").distinct().join(text, "sequence_id")
+    first = members.groupBy("homology_cluster").agg(F.min_by("s", "sequence_id").alias("t"))
+    both = skew_join(members, first, ["homology_cluster"])
+    return rounded(both.select("homology_cluster", "sequence_id", S.positional_identity(F.col("s"), F.col("t")).alias("identity")))
+
+
+@_add("alphabet_validity", f"SELECT dataset_id, count(*) AS records, sum(regexp_full_match(s, '[ACGT]+')::INT)::BIGINT AS valid_dna, sum(regexp_full_match(s, '[{RESIDUE_LETTERS}]+')::INT)::BIGINT AS valid_protein FROM (SELECT DISTINCT dataset_id, sequence_id FROM benchmark_metadata) m JOIN (SELECT * FROM ({PS._CLEAN}) WHERE s <> '') d ON d.sequence_id = m.sequence_id GROUP BY 1")
+def alphabet_validity(spark, folder):
+    """How many records of every data set hold known bases, or known residues, alone."""
+    rows = table(spark, folder, "benchmark_metadata").select("dataset_id", "sequence_id").distinct().join(_records(spark, folder, None), "sequence_id")
+    count = lambda alphabet: F.sum(S.valid(F.col("sequence"), alphabet).cast("long"))
+    return rows.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("records"), count(S.BASES).alias("valid_dna"), count(RESIDUE_LETTERS).alias("valid_protein"))

@@ -127,3 +127,17 @@ def test_words_longer_than_a_number(spark):
     text = "".join(np.random.default_rng(4).choice(list("ACGT"), 200))
     for k in (31, 40):
         assert {r["kmer"]: r["n"] for r in Q.kmer_counts(frame(spark, text + "N" + text[:50]), k).collect()}[text[:k]] == 2
+
+
+def test_positional_identity(spark):
+    rng = np.random.default_rng(6)
+    pairs = [("".join(rng.choice(list("ACé"), n)), "".join(rng.choice(list("ACé"), m))) for n, m in rng.integers(0, 30, (50, 2))]
+    want = [sum(a == b for a, b in zip(x, y)) / max(len(x), len(y)) if x or y else 1.0 for x, y in pairs]
+    rows = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate([*pairs, (None, "A"), ("", "")])], "i int, x string, y string")
+    got = [r["v"] for r in rows.select("i", S.positional_identity(F.col("x"), F.col("y")).alias("v")).orderBy("i").collect()]
+    assert np.allclose(got[:50], want) and got[50] is None and got[51] == 1.0
+    old, S.MIRROR_SYMBOLS = S.MIRROR_SYMBOLS, 9
+    try:
+        assert S.equal_places(*(pa.array([p[i] for p in pairs]) for i in (0, 1))).tolist() == [sum(a == b for a, b in zip(x, y)) for x, y in pairs]
+    finally:
+        S.MIRROR_SYMBOLS = old
