@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,15 +21,15 @@ HEAVY_LIMIT = 1000
 def heavy_keys(df: DataFrame, keys: list[str], least: int = 100_000) -> list[Row]:
     """Keys with at least ``HEAVY_SHARE`` of the rows and at least ``least`` rows: HEAVY_LIMIT at most, whatever the input.
 
-    One pass counts the keys, with partial counts in every split, and the rows; null keys aren't heavy.
+    One pass counts the keys, with partial counts in every split; the rows of all keys with fewer than ``least`` come as
+    one sum, so the total needs no pass of its own. Null keys aren't heavy.
     """
-    total = Observation()
-    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).observe(total, F.sum("_n").alias("rows"))
-    top = counts.where(F.col("_n") >= least).orderBy(F.desc("_n")).limit(HEAVY_LIMIT).collect()
-    if not top:
-        return []
-    rows = total.get["rows"]
-    return [Row(**{k: r[k] for k in keys}) for r in top if r["_n"] >= rows * HEAVY_SHARE]
+    counts = df.dropna(subset=keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    many = F.when(F.col("_n") >= least, F.struct(*keys)).alias("_key")
+    sums = counts.select(many, "_n").groupBy("_key").agg(F.sum("_n").alias("_n"))
+    top = sums.orderBy(F.col("_key").isNull().desc(), F.desc("_n")).limit(HEAVY_LIMIT + 1).collect()
+    total = sum(r["_n"] for r in top)
+    return [r["_key"] for r in top if r["_key"] is not None and r["_n"] >= total * HEAVY_SHARE][:HEAVY_LIMIT]
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", least: int = 100_000, heavy: list[Row] | None = None) -> DataFrame:
