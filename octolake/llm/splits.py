@@ -32,7 +32,7 @@ def star_links(members: DataFrame) -> DataFrame:
 
     A key with n records gives fewer than n links, never the pairs of its records, and no task holds a whole key.
     """
-    known = members.where(F.col("key").isNotNull() & F.col("node").isNotNull()).select("key", "node").distinct()
+    known = cut(members.where(F.col("key").isNotNull() & F.col("node").isNotNull()).select("key", "node").distinct(), "members")
     parted = known.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(PARTS)))
     least = parted.groupBy("key", "part").agg(F.min("node").alias("low"))
     root = least.groupBy("key").agg(F.min("low").alias("root"))
